@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capsieve.functions.labels import PHASES, PRIMARY_ENGINE, SECONDARY_ENGINE
 from capsieve.operators import catalog
 from capsieve.operators.ordering import running_sum_in_blocks
+from capsieve.session import materialize
 
 PIECE = 24
 RUNS = 40
@@ -15,6 +20,29 @@ TURN_BLOCK = 512
 BLANK = " \r\n\t"
 
 
+_scope = threading.local()
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Inputs shared by the branches of one query are materialised once inside it."""
+    outer = getattr(_scope, "tables", None)
+    _scope.tables = {}
+    try:
+        yield
+    finally:
+        _scope.tables = outer
+
+
+def once(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    tables = getattr(_scope, "tables", None)
+    if tables is None:
+        return build()
+    if name not in tables:
+        tables[name] = materialize(build())
+    return tables[name]
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -28,6 +56,10 @@ def run_of(sample: Column) -> Column:
 
 def pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Every conversation cut into 24-character pieces laid out in time."""
+    return once("pieces", lambda: _pieces(spark, sf))
+
+
+def _pieces(spark: SparkSession, sf: str) -> DataFrame:
     sample = F.col("sample_id")
     turns = table(spark, sf, "conversations").select(
         F.col("conv_id").alias("sample_id"), "turn", "text", F.char_length("text").cast("bigint").alias("n")
@@ -80,6 +112,10 @@ def secondary(spark: SparkSession, sf: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """One candidate per conversation, with its audio length."""
+    return once("candidates", lambda: _candidates(spark, sf))
+
+
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     spans = primary(spark, sf).select("run_id", "sample_id", "end_ms").unionByName(
         secondary(spark, sf).select("run_id", "sample_id", "end_ms")
     )

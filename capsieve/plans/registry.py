@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,13 @@ METRICS = ("duration_seconds", "text_density", "text_length_ratio", "longest_dup
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def scoped(spark: SparkSession, sf: str) -> DataFrame:
+        with fx.scope():
+            return fn(spark, sf)
+
+    QUERIES[fn.__name__] = scoped
+    return scoped
 
 
 def joined(column: str) -> Column:
@@ -518,7 +524,12 @@ def density_rank_correlation(spark, sf):
 
 
 def _reports(spark, sf):
-    return _quality(spark, sf).select(*KEYS, "video_path", "target_path", "passed", "warning_count", "errors", "warnings")
+    return fx.once(
+        "reports",
+        lambda: _quality(spark, sf).select(
+            *KEYS, "video_path", "target_path", "passed", "warning_count", "errors", "warnings"
+        ),
+    )
 
 
 @query
@@ -564,7 +575,7 @@ def warned_samples(spark, sf):
 
 
 def _digests(spark, sf):
-    return captions.caption_digests(captions.caption_parts(fx.primary(spark, sf)))
+    return fx.once("digests", lambda: captions.caption_digests(captions.caption_parts(fx.primary(spark, sf))))
 
 
 @query
@@ -575,6 +586,10 @@ def broken_staging(spark, sf):
 
 
 def _entries(spark, sf):
+    return fx.once("entries", lambda: _commit_plan(spark, sf))
+
+
+def _commit_plan(spark, sf):
     cands, fails = fx.candidates(spark, sf), fx.failures(spark, sf)
     summary = runs.stage_summary(_reports(spark, sf), cands, fails)
     return runs.commit_plan(cands, fails, _digests(spark, sf), summary)
@@ -586,6 +601,10 @@ def commit_entries(spark, sf):
 
 
 def _published(spark, sf):
+    return fx.once("published", lambda: _verify(spark, sf))
+
+
+def _verify(spark, sf):
     """Candidates with baselines, and what is found after publishing."""
     s = F.col("sample_id")
     time = F.timestamp_seconds(s + 1_700_000_000)

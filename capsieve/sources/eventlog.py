@@ -23,38 +23,40 @@ NUMERIC = ("index", "total")
 FIELDS = ("engine", "device", "index", "total", "video_path", "path", "run_dir", "phase", "reason", "sample_id")
 
 
-def _text(value: Column) -> Column:
-    """The member as text; a present null reads as the word None, booleans as True and False."""
-    text = F.try_variant_get(value, "$", "string")
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), None)
-        .when(kind == "VOID", "None")
-        .when(kind == "BOOLEAN", F.initcap(text))
-        .otherwise(text)
-    )
+def _member(value: Column) -> Column:
+    """STRUCT<kind, text> of a member; a null reads as the word None, booleans as True and False."""
+    text, kind = F.try_variant_get(value, "$", "string"), F.schema_of_variant(value)
+    shown = F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text)
+    return F.struct(kind.alias("kind"), shown.alias("text"))
 
 
-def _integer(value: Column) -> Column:
+def _integer(member: Column) -> Column:
     """Numbers lose their fraction, text must be a whole number, booleans are 0 and 1."""
-    text, kind = F.try_variant_get(value, "$", "string"), F.schema_of_variant(value)
+    text, kind = member["text"], member["kind"]
     return (
-        F.when(kind == "BOOLEAN", F.when(text == "true", 1).otherwise(0))
-        .when(kind == "STRING", F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text).try_cast("bigint")))
-        .otherwise(text.try_cast("decimal(38,6)").cast("bigint"))
+        F.when(kind == "BOOLEAN", F.when(text == "True", "1").otherwise("0"))
+        .when(kind == "STRING", F.nullif(F.regexp_extract(text, r"^\s*([+-]?\d+)\s*$", 1), F.lit("")))
+        .otherwise(text)
+        .try_cast("decimal(38,6)")
         .cast("bigint")
     )
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Adds ``event`` (null for a human line) and the event's fields to ``run_id, line_no, value`` rows."""
-    doc = lines.withColumn("_doc", F.when(F.col("value").rlike(r"\A\s*\{"), F.try_parse_json("value")))
-    member = lambda name: F.try_variant_get("_doc", f"$.{name}", "variant")
-    parsed = doc.withColumns(
+    """Adds ``event`` (null for a human line) and the event's fields to ``run_id, line_no, value`` rows.
+
+    A line is parsed once, into a map of its members.
+    """
+    doc = F.when(F.col("value").rlike(r"\A\s*\{"), F.try_parse_json("value"))
+    members = F.transform_values(F.try_variant_get(doc, "$", "map<string,variant>"), lambda _, v: _member(v))
+    # Exploding one element keeps later filters above the parse, which would be repeated below them.
+    read = lines.select(*lines.columns, F.explode(F.array(members)).alias("_members"))
+    read = read.withColumns({f"_m_{f}": F.try_element_at("_members", F.lit(f)) for f in ("event", *FIELDS)})
+    parsed = read.withColumns(
         {
-            "_kind": F.when(F.schema_of_variant(member("event")) == "STRING", _text(member("event"))),
-            **{f"_{f}": _integer(member(f)) if f in NUMERIC else _text(member(f)) for f in FIELDS},
-            **{f"_{f}_null": F.schema_of_variant(member(f)) == "VOID" for f in ("video_path", "sample_id")},
+            "_kind": F.when(F.col("_m_event.kind") == "STRING", F.col("_m_event.text")),
+            **{f"_{f}": _integer(F.col(f"_m_{f}")) if f in NUMERIC else F.col(f"_m_{f}.text") for f in FIELDS},
+            **{f"_{f}_null": F.col(f"_m_{f}.kind") == "VOID" for f in ("video_path", "sample_id")},
         }
     )
 
@@ -74,7 +76,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
             value = F.when((F.col("event") == "error") & F.col(f"_{name}_null"), None).otherwise(value)
         return F.when(F.col("event").isin(*kinds), value)
 
-    return parsed.withColumns({f: field(f) for f in FIELDS}).select(*lines.columns, "event", *FIELDS)
+    done = parsed.select(*lines.columns, F.inline(F.array(F.struct("event", *[field(f).alias(f) for f in FIELDS]))))
+    return done
 
 
 def events(lines: DataFrame) -> DataFrame:

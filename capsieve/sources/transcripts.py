@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capsieve import schemas
+from capsieve.functions.binding import let
 from capsieve.functions.text import is_blank, strip_space
 from capsieve.operators.ordering import lag_in_blocks
 
@@ -80,12 +81,27 @@ def clamp_secondary(raw: DataFrame, duration: Column) -> DataFrame:
 
 def clamp_primary_bounds(start: Column, end: Column, duration_ms: Column) -> Column:
     """STRUCT<start_ms, end_ms>; null when nothing is left inside the audio."""
-    low = F.coalesce(F.least(F.greatest(F.lit(0.0), start), duration_ms), F.lit(0.0))
-    low = F.when(start.isNull(), 0.0).otherwise(low)
-    high = F.when(end.isNull(), duration_ms).otherwise(F.least(F.greatest(low, end), duration_ms))
-    high = F.when(high <= low, F.least(duration_ms, low + 500.0)).otherwise(high)
-    return F.when(
-        high > low, F.struct(_whole(low).alias("start_ms"), _whole(high).alias("end_ms"))
+
+    def stretch(b: Column) -> Column:
+        high = F.when(b["high"] <= b["low"], F.least(duration_ms, b["low"] + 500.0)).otherwise(b["high"])
+        return F.struct(b["low"].alias("low"), high.alias("high"))
+
+    low = F.when(start.isNull(), 0.0).otherwise(F.least(F.greatest(F.lit(0.0), start), duration_ms))
+    bounded = let(
+        F.struct(low.alias("low"), end.alias("end")),
+        lambda b: F.struct(
+            b["low"].alias("low"),
+            F.when(b["end"].isNull(), duration_ms)
+            .otherwise(F.least(F.greatest(b["low"], b["end"]), duration_ms))
+            .alias("high"),
+        ),
+    )
+    return let(
+        let(bounded, stretch),
+        lambda b: F.when(
+            b["high"] > b["low"],
+            F.struct(_whole(b["low"]).alias("start_ms"), _whole(b["high"]).alias("end_ms")),
+        ),
     )
 
 
@@ -105,9 +121,9 @@ def clamp_primary(raw: DataFrame, duration: Column) -> DataFrame:
 # --- raw primary engine results ------------------------------------------------------------------
 
 
-def _get(value: Column, key: str) -> Column:
-    """The member as VARIANT: SQL null when the key is absent, a VARIANT null when it is null."""
-    return F.try_variant_get(value, f"$.{key}", "variant")
+def _members(value: Column) -> Column:
+    """An object as MAP<STRING, VARIANT>, else null. A member that is null stays a VARIANT null."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
 def _items(value: Column) -> Column:
@@ -115,13 +131,9 @@ def _items(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
-def _is_object(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
-
-
-def _present(value: Column, *keys: str) -> Column:
+def _present(members: Column, *keys: str) -> Column:
     """The first key that is present, even when its value is null."""
-    return F.coalesce(*[_get(value, k) for k in keys])
+    return F.coalesce(*[F.try_element_at(members, F.lit(k)) for k in keys])
 
 
 def _string(value: Column) -> Column:
@@ -131,69 +143,75 @@ def _string(value: Column) -> Column:
 
 def _milliseconds(value: Column) -> Column:
     """A finite number >= 0 (also as text), else null; booleans are not numbers."""
-    text = F.try_variant_get(value, "$", "string")
-    number = F.when(
-        (F.schema_of_variant(value) != "BOOLEAN")
-        & text.rlike(r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"),
-        text.try_cast("double"),
-    )
-    return F.when((number >= 0) & (number < float("inf")), number)
+    text = F.when(F.schema_of_variant(value) != "BOOLEAN", F.try_variant_get(value, "$", "string"))
+    number = F.regexp_extract(text, r"^\s*\+?((?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?)\s*$", 1)
+    return let(number.try_cast("double"), lambda n: F.when(n < float("inf"), n))
 
 
 def _bounds(value: Column) -> Column:
     """STRUCT<start, end> over the valid pairs of a timestamp list: first start, last end."""
-    as_pair = lambda item: F.struct(
-        _milliseconds(F.get(_items(item), F.lit(0))).alias("start"),
-        _milliseconds(F.get(_items(item), F.lit(1))).alias("end"),
-    )
+
+    def as_pair(item: Column) -> Column:
+        numbers = F.transform(_items(item), _milliseconds)
+        return let(numbers, lambda n: F.struct(F.get(n, F.lit(0)).alias("start"), F.get(n, F.lit(1)).alias("end")))
+
     pairs = F.filter(F.transform(_items(value), as_pair), lambda p: p["end"] >= p["start"])
-    return F.when(
-        F.size(pairs) > 0,
-        F.struct(
-            F.element_at(pairs, 1)["start"].alias("start"), F.element_at(pairs, -1)["end"].alias("end")
+    return let(
+        pairs,
+        lambda p: F.struct(
+            F.get(p, F.lit(0))["start"].alias("start"),
+            F.get(p, F.size(p) - 1)["end"].alias("end"),
         ),
     )
 
 
-def _segment(value: Column, duration_ms: Column) -> Column:
+def _segment(members: Column, duration_ms: Column) -> Column:
     """STRUCT<start_ms, end_ms, text, confidence> of one result object, or null."""
-    texts = [strip_space(_string(_get(value, k))) for k in ("text", "sentence", "value")]
-    text = F.coalesce(*[F.when(t != "", t) for t in texts])
-    stamps = _bounds(_present(value, "timestamp", "timestamps"))
-    start = F.coalesce(_milliseconds(_present(value, "start", "start_ms", "begin")), stamps["start"])
-    end = F.coalesce(_milliseconds(_present(value, "end", "end_ms", "finish")), stamps["end"])
-    bounds = clamp_primary_bounds(start, end, duration_ms)
-    score = _get(value, "score")
-    kind = F.schema_of_variant(score)
-    confidence = F.when(
-        kind == "BOOLEAN", F.try_variant_get(score, "$", "boolean").cast("int").cast("double")
-    ).when(kind != "STRING", F.try_variant_get(score, "$", "double"))
-    return F.when(
-        text.isNotNull() & bounds.isNotNull(),
-        F.struct(
-            bounds["start_ms"].alias("start_ms"),
-            bounds["end_ms"].alias("end_ms"),
-            text.alias("text"),
-            confidence.alias("confidence"),
-        ),
-    )
 
+    def clamp(f: Column) -> Column:
+        start = F.coalesce(F.get(f["own"], F.lit(0)), f["stamps"]["start"])
+        end = F.coalesce(F.get(f["own"], F.lit(1)), f["stamps"]["end"])
+        return F.struct(
+            f["text"].alias("text"),
+            f["score"].alias("score"),
+            clamp_primary_bounds(start, end, duration_ms).alias("b"),
+        )
 
-def _objects(value: Column, depth: int) -> Column:
-    """Result objects of a value: itself, or those of its lists down to ``depth`` levels."""
-    empty = F.array().cast("array<variant>")
-    inner = (lambda x: _objects(x, depth - 1)) if depth else (
-        lambda x: F.when(_is_object(x), F.array(x)).otherwise(empty)
+    def build(f: Column) -> Column:
+        kind = F.schema_of_variant(f["score"])
+        confidence = F.when(
+            kind == "BOOLEAN", F.try_variant_get(f["score"], "$", "boolean").cast("int").cast("double")
+        ).when(kind != "STRING", F.try_variant_get(f["score"], "$", "double"))
+        return F.when(
+            f["text"].isNotNull() & f["b"].isNotNull(),
+            F.struct(
+                f["b"]["start_ms"].alias("start_ms"),
+                f["b"]["end_ms"].alias("end_ms"),
+                f["text"].alias("text"),
+                confidence.alias("confidence"),
+            ),
+        )
+
+    texts = F.transform(
+        F.array(*[F.try_element_at(members, F.lit(k)) for k in ("text", "sentence", "value")]),
+        lambda v: strip_space(_string(v)),
+    )
+    own = F.transform(
+        F.array(_present(members, "start", "start_ms", "begin"), _present(members, "end", "end_ms", "finish")),
+        _milliseconds,
     )
-    listed = F.flatten(F.transform(_items(value), inner))
-    return F.when(_is_object(value), F.array(value)).otherwise(F.coalesce(listed, empty))
+    fields = F.struct(
+        F.get(F.filter(texts, lambda t: t != ""), F.lit(0)).alias("text"),
+        own.alias("own"),
+        _bounds(_present(members, "timestamp", "timestamps")).alias("stamps"),
+        F.try_element_at(members, F.lit("score")).alias("score"),
+    )
+    return let(let(fields, clamp), build)
 
 
-def _too_deep(value: Column, depth: int) -> Column:
-    """True when lists nest beyond ``depth`` levels inside lists."""
-    if depth == 0:
-        return F.coalesce(F.exists(_items(value), lambda x: _items(x).isNotNull()), F.lit(False))
-    return F.coalesce(F.exists(_items(value), lambda x: _too_deep(x, depth - 1)), F.lit(False))
+def _flatten_once(items: Column) -> Column:
+    """Lists inside the list are replaced by their elements."""
+    return F.flatten(F.transform(items, lambda x: F.coalesce(_items(x), F.array(x))))
 
 
 def normalize_primary(
@@ -206,31 +224,48 @@ def normalize_primary(
     and documents without a valid segment.
     """
     duration_ms = F.col("duration_seconds") * 1000.0
+    level = "level_0"
+    staged = raw.withColumn("doc", F.try_parse_json("raw")).withColumn(
+        level, F.coalesce(_items(F.col("doc")), F.array("doc"))
+    )
+    for depth in range(MAX_NESTING):
+        level = f"level_{depth + 1}"
+        staged = staged.withColumn(level, _flatten_once(F.col(f"level_{depth}")))
+    members = F.filter(F.transform(level, _members), lambda m: m.isNotNull())
 
     def chosen(item: Column) -> Column:
-        sentences = F.filter(_items(_get(item, "sentence_info")), _is_object)
-        children = F.filter(
-            F.transform(sentences, lambda s: _segment(s, duration_ms)), lambda s: s.isNotNull()
+        sentences = F.transform(_items(F.try_element_at(item, F.lit("sentence_info"))), _members)
+        # The parent stands last, behind its children; it counts only when no child is valid.
+        both = F.concat(F.coalesce(sentences, F.array().cast("array<map<string,variant>>")), F.array(item))
+        found = F.transform(both, lambda m: _segment(m, duration_ms))
+        children = lambda a: F.filter(
+            F.slice(a, F.lit(1), F.size(a) - 1), lambda s: s.isNotNull()
+        )
+        return let(
+            let(found, lambda a: F.struct(a.alias("all"), children(a).alias("children"))),
+            lambda f: F.when(F.size(f["children"]) > 0, f["children"]).otherwise(
+                F.filter(F.slice(f["all"], F.lit(-1), F.lit(1)), lambda s: s.isNotNull())
+            ),
         )
-        own = F.filter(F.array(_segment(item, duration_ms)), lambda s: s.isNotNull())
-        return F.when(F.size(children) > 0, children).otherwise(own)
 
-    parsed = raw.withColumn("doc", F.try_parse_json("raw"))
-    found = parsed.withColumn("objects", _objects(F.col("doc"), MAX_NESTING)).withColumn(
-        "segments", F.flatten(F.transform("objects", chosen))
+    judged = (
+        staged.withColumn("objects", members)
+        .withColumn("segments", F.flatten(F.transform("objects", chosen)))
+        .withColumn(
+            "rejected_reason",
+            F.when(F.col("doc").isNull(), "invalid_json")
+            .when(F.exists(level, lambda x: _items(x).isNotNull()), "too_deep")
+            .when(F.size("segments") == 0, "no_segments"),
+        )
     )
     ordered = F.array_sort(
         F.transform(
             "segments",
-            lambda s, i: F.struct(s["start_ms"].alias("start_ms"), s["end_ms"].alias("end_ms"), i.alias("i"), s.alias("s")),
+            lambda s, i: F.struct(
+                s["start_ms"].alias("start_ms"), s["end_ms"].alias("end_ms"), i.alias("i"), s.alias("s")
+            ),
         )
     )
-    judged = found.withColumn(
-        "rejected_reason",
-        F.when(F.col("doc").isNull(), "invalid_json")
-        .when(_too_deep(F.col("doc"), MAX_NESTING), "too_deep")
-        .when(F.size("segments") == 0, "no_segments"),
-    )
     segments = (
         judged.filter("rejected_reason IS NULL")
         .select(*keys, F.posexplode(ordered).alias("seg_index", "o"))
