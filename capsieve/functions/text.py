@@ -26,6 +26,7 @@ STABLE_RANGES = (
 
 # The punctuation that captions drop.
 DROPPED_MARKS = "，。！？；：、…“”‘’《》【】,.!?;:"
+_ASCII_MARKS = "".join(filter(str.isascii, DROPPED_MARKS))
 
 # Fixed value: engine markup such as <|en|>.
 ENGINE_TAG = r"<\|[^|>]+\|>"
@@ -33,14 +34,19 @@ ENGINE_TAG = r"<\|[^|>]+\|>"
 # Fixed value: words with inner joiners, and numbers.
 TOKEN_PATTERN = r"[A-Za-z]+(?:[._+#/-][A-Za-z0-9]+)*|\p{Nd}+(?:\.\p{Nd}+)?"
 
-# Unicode white space plus the four separators U+001C..U+001F, which Java leaves out.
-SPACE = r"(?U)[\s\x1c-\x1f]"
+# White space characters, the separators U+001C..U+001F among them.
+_WIDE = r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = rf"[\t-\r\x1c-\x20{_WIDE}]"
+_ODD_SPACE = rf"[\t-\r\x1c-\x1f{_WIDE}]"
 ANSI_CSI = r"\x1b\[[0-9;?]*[A-Za-z]"
 
 
 def needs_unicode(text: Column) -> Column:
-    """True when the text holds a character outside the NFKC-stable ranges."""
-    return text.rlike(f"[^{STABLE_RANGES}]")
+    """True when the text holds a character outside the NFKC-stable ranges.
+
+    ASCII passes on the first test; only other characters are looked up in the ranges.
+    """
+    return text.rlike(rf"[^\x00-\x7f](?<![{STABLE_RANGES}])")
 
 
 def _map(values: pd.Series, fn) -> pd.Series:
@@ -68,8 +74,7 @@ def _comparison(values: pd.Series) -> pd.Series:
 
 
 def _native_or(text: Column, native: Column, udf) -> Column:
-    odd = needs_unicode(text)
-    return F.when(odd, udf(F.when(odd, text))).otherwise(native)
+    return F.coalesce(udf(F.when(needs_unicode(text), text)), native)
 
 
 def _lower(text: Column) -> Column:
@@ -114,7 +119,10 @@ def _digit_class() -> str:
 
 
 def collapse_space(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, SPACE + "+", " "), "^ | $", "")
+    """Runs of white space to one plain space, none at the ends. Lone plain spaces are not touched."""
+    # The second branch starts with a cheap class that no letter or mark of common scripts is in.
+    odd = rf"[^\x20-\x7e\xa1-\u167f\u3001-\uffff](?<={_ODD_SPACE}){SPACE}*"
+    return F.trim(F.regexp_replace(text, f"\x20{SPACE}+|{odd}", " "))
 
 
 def strip_space(text: Column) -> Column:
@@ -122,29 +130,29 @@ def strip_space(text: Column) -> Column:
 
 
 def strip_left(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+", "")
+    return F.regexp_replace(text, rf"\A{SPACE}+", "")
 
 
 def strip_right(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+\z", "")
+    return F.regexp_replace(text, rf"(?<!{SPACE}){SPACE}+\z", "")
 
 
 def is_blank(text: Column) -> Column:
-    return ~text.rlike(r"(?U)[^\s\x1c-\x1f]")
+    return ~text.rlike(SPACE.replace("[", "[^", 1))
 
 
 def drop_marks(text: Column) -> Column:
     """Punctuation by context; look-arounds read the neighbours before any replacement.
 
     A dot stays between two ASCII letters or digits, a colon between two digits. Every other mark
-    becomes a space between two ASCII letters or digits, and nothing elsewhere.
+    becomes a space between two ASCII letters or digits, and nothing elsewhere. Patterns start with
+    the mark, so that other characters are passed over at once.
     """
     word, digit = "[A-Za-z0-9]", f"[{_digit_class()}]"
-    marks = f"[{DROPPED_MARKS}]"
-    kept_colon = f"(?<={digit}):(?={digit})"
-    kept_dot = rf"(?<={word})\.(?={word})"
-    spaced = F.regexp_replace(text, rf"(?<={word})(?!\.|{kept_colon}){marks}(?={word})", " ")
-    return F.regexp_replace(spaced, f"(?!{kept_dot}|{kept_colon}){marks}", "")
+    mark = rf"[{_ASCII_MARKS}\u2018-\uffff](?<=[{DROPPED_MARKS}])"
+    spaced = F.regexp_replace(text, rf"{mark}(?<={word}[^.])(?={word})(?!(?<={digit}:){digit})", " ")
+    kept = rf"(?!(?<={word}\.){word})(?!(?<={digit}:){digit})"
+    return F.regexp_replace(spaced, f"{mark}{kept}", "")
 
 
 def normalize_text(text: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capsieve.session import ensure_checkpoint_dir
+from capsieve.session import materialize
 
 LOW_BITS = (1 << 33) - 1
 
@@ -20,19 +20,18 @@ LOW_BITS = (1 << 33) - 1
 def number_rows(df: DataFrame, order: Sequence[Column], name: str = "row_no") -> DataFrame:
     """1-based rank in a total order.
 
-    Range partitioning and a sort per partition give the order; the rows are checkpointed so that the
-    counts and the numbers see the same partitions. The offsets hold one row per shuffle partition.
+    Range partitioning and a sort per partition give the order. The rows are written out with their
+    partition and place, so that the counts and the numbers see the same ones. The offsets hold one
+    row per shuffle partition.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fixed = (
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = (
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit(LOW_BITS)))
-        .checkpoint()
     )
+    fixed = materialize(placed)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         fixed.groupBy("_part")

@@ -38,13 +38,13 @@ def quantiles(rows: DataFrame, groups: Sequence[str], value: str = "value") -> D
     """
     ranked = number_in_groups(rows.select(*groups, value), groups, [F.col(value)], "rank")
     sizes = ranked.groupBy(*groups).agg(F.count("*").alias("n"))
-    at = lambda q: (F.col("n") - 1) * q + 1
+    at = lambda q: (F.col("n") - 1) * q
     wanted = F.array_distinct(
-        F.flatten(F.array(*[F.array(F.floor(at(q)), F.ceil(at(q))) for q in PROBABILITIES]))
+        F.flatten(F.array(*[F.array(F.floor(at(q)) + 1, F.ceil(at(q)) + 1) for q in PROBABILITIES]))
     )
     picks = sizes.select(*groups, "n", F.explode(wanted).alias("rank"))
     found = ranked.join(picks, [*groups, "rank"])
-    take = lambda rank: F.max(F.when(F.col("rank") == rank, F.col(value)))
+    take = lambda rank: F.max(F.when(F.col("rank") == rank + 1, F.col(value)))
     spot = lambda q: (
         take(F.floor(at(q))) + (take(F.ceil(at(q))) - take(F.floor(at(q)))) * (F.max(at(q)) - F.max(F.floor(at(q))))
     )

@@ -43,8 +43,12 @@ def once(name: str, build: Callable[[], DataFrame]) -> DataFrame:
     return tables[name]
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """A given table. One of fewer files than cores is spread over the cores, narrowed to ``columns`` first."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def run_of(sample: Column) -> Column:
@@ -61,7 +65,7 @@ def pieces(spark: SparkSession, sf: str) -> DataFrame:
 
 def _pieces(spark: SparkSession, sf: str) -> DataFrame:
     sample = F.col("sample_id")
-    turns = table(spark, sf, "conversations").select(
+    turns = table(spark, sf, "conversations", "conv_id", "turn", "text").select(
         F.col("conv_id").alias("sample_id"), "turn", "text", F.char_length("text").cast("bigint").alias("n")
     ).filter("n > 0")
     placed = running_sum_in_blocks(
@@ -71,8 +75,10 @@ def _pieces(spark: SparkSession, sf: str) -> DataFrame:
     pace = (
         F.when(sample % 11 == 0, 20).when(sample % 11 == 1, 60).otherwise(F.lit(110) + (sample % 5) * 60)
     ).cast("bigint")
-    cut = placed.withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / PIECE) - 1)))
-    text = F.substr(F.col("text"), (F.col("c") * PIECE + 1).cast("int"), F.lit(PIECE))
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    cut = placed.select(
+        "sample_id", "n", "pieces_before", "chars_before", F.posexplode(parts).alias("c", "piece")
+    ).withColumn("c", F.col("c").cast("bigint"))
     index = F.col("pieces_before") + F.col("c")
     start = pace * (F.col("chars_before") + F.col("c") * PIECE)
     length = pace * F.least(F.lit(PIECE), F.col("n") - F.col("c") * PIECE)
@@ -83,7 +89,7 @@ def _pieces(spark: SparkSession, sf: str) -> DataFrame:
         index.alias("seg_index"),
         start.alias("start_ms"),
         (start + length).alias("end_ms"),
-        F.when(repeated, "same line again").otherwise(text).alias("text"),
+        F.when(repeated, "same line again").otherwise(F.col("piece")).alias("text"),
     )
 
 

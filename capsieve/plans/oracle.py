@@ -324,7 +324,7 @@ oracle("duplicate_runs", f"{ALL} select * from dups")
 oracle("quality_gate", f"""{ALL} select run_id, sample_id, passed, warning_count, high_risk_count, primary_segments, secondary_segments, longest_duplicate_run, text_density, text_length_ratio,
   median_text_chars, array_to_string(errs,'|') errors, array_to_string(warns,'|') warnings from rep""")
 METRICS = ("duration_seconds", "text_density", "text_length_ratio", "longest_duplicate_run", "primary_segments", "segment_margin", "median_text_chars")
-QUANTS = ", ".join(f"quantile_cont(value, {q}) as {n}" for q, n in zip((0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0), ("min", "p10", "p25", "p50", "p75", "p90", "max")))
+QUANTS = ", ".join(f"round(quantile_cont(value, {q}), 6) as {n}" for q, n in zip((0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0), ("min", "p10", "p25", "p50", "p75", "p90", "max")))
 TALL = " union all ".join(f"select duration_seconds d, '{m}' metric, {m}::double as value from rep" for m in METRICS)
 oracle("corpus_profile", f"{ALL}, tall as ({TALL}) select metric, count(*) n, {QUANTS} from tall group by 1")
 oracle("bucket_profile", f"""{ALL}, tall as ({TALL}) select case when d<60 then 'under_1m' when d<=300 then '1m_to_5m' when d<=1200 then '5m_to_20m' when d<=10800 then '20m_to_3h' else 'over_3h' end bucket,
@@ -363,7 +363,7 @@ oracle("run_summaries", f"""{FULL}, vs as (select run_id, bool_and(failure_code
   case when vs.ok is null then 'none' when vs.ok then 'passed' else 'failed' end verification, vs.good verified_count, vs.bad verify_failure_count
   from runs r left join vs on vs.run_id=r.run_id""")
 oracle("completion_stats", f"""{FULL} select r.run_id,
-  case when status='committed' then (60-n%30)*60.0+30 when updated_at_utc is not null then 420.0 end elapsed_seconds,
+  case when status='committed' then ((60-n%30)*60+30)::double when updated_at_utc is not null then 420::double end elapsed_seconds,
   (select count(*) from entries x where x.run_id=r.run_id) written_count, coalesce(s.warning_count,0) warning_count,
   (select count(*) from fails f where f.run_id=r.run_id) failed_count from runs r left join stages s on s.run_id=r.run_id""")
 oracle("run_issues", f"""{FULL}, w as (select run_id, sample_id, warns, unnest(generate_series(0, len(warns)-1)) i from rep where len(warns)>0), x as (select run_id, sample_id, errs, unnest(generate_series(0, len(errs)-1)) i from rep where len(errs)>0)

@@ -504,14 +504,18 @@ def quality_gate_ratios(spark, sf):
     )
 
 
+def _rounded(rows):
+    return rows.withColumns({name: F.round(name, 6) for name in profile.NAMES})
+
+
 @query
 def corpus_profile(spark, sf):
-    return profile.corpus_profile(_quality(spark, sf), METRICS)
+    return _rounded(profile.corpus_profile(_quality(spark, sf), METRICS))
 
 
 @query
 def bucket_profile(spark, sf):
-    return profile.profile_by_bucket(_quality(spark, sf), METRICS)
+    return _rounded(profile.profile_by_bucket(_quality(spark, sf), METRICS))
 
 
 @query
