@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from capsieve.functions.binding import strict_json
 from capsieve.functions.labels import PHASES
 
 # Required fields per event kind.
@@ -47,7 +48,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
     A line is parsed once, into a map of its members.
     """
-    doc = F.when(F.col("value").rlike(r"\A\s*\{"), F.try_parse_json("value"))
+    doc = F.when(F.col("value").rlike(r"\A\s*\{"), strict_json(F.col("value")))
     members = F.transform_values(F.try_variant_get(doc, "$", "map<string,variant>"), lambda _, v: _member(v))
     # Exploding one element keeps later filters above the parse, which would be repeated below them.
     read = lines.select(*lines.columns, F.explode(F.array(members)).alias("_members"))

@@ -2,51 +2,126 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import hashlib
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from capsieve.functions.binding import strict_json
 from capsieve.functions.paths import is_video
 from capsieve.functions.text import strip_space
-
-
-def _listing(spark: SparkSession, roots: Sequence[str], content: bool, glob: str | None) -> DataFrame:
-    """One row per file under the roots; ``content`` is read only when asked for."""
-    frames = []
-    for order, root in enumerate(dict.fromkeys(roots)):
-        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        if glob:
-            reader = reader.option("pathGlobFilter", glob)
-        files = reader.load(root).select(
-            F.lit(root).alias("root"),
-            F.lit(order).alias("root_ord"),
-            F.regexp_replace("path", "^file:/*", "/").alias("path"),
-            "length",
-            F.col("modificationTime").alias("modification_time"),
-            *(["content"] if content else []),
-        )
-        frames.append(files)
-    if not frames:
+from capsieve.session import materialize
+
+LISTED = "root STRING, root_ord INT, path STRING, is_dir BOOLEAN, length BIGINT, modification_time TIMESTAMP"
+ROWS_PER_BATCH = 10_000
+CHUNK = 1 << 20
+
+
+def _open(path: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+
+
+def _list_folders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for root, order, folder in zip(frame["root"], frame["root_ord"], frame["path"]):
+            store, inner = _open(folder)
+            entries = store.get_file_info(FileSelector(inner))
+            base = folder[: len(folder) - len(inner)]
+            for at in range(0, len(entries), ROWS_PER_BATCH):
+                some = entries[at : at + ROWS_PER_BATCH]
+                yield pd.DataFrame(
+                    {
+                        "root": root,
+                        "root_ord": order,
+                        "path": [base + e.path for e in some],
+                        "is_dir": [e.type == FileType.Directory for e in some],
+                        "length": [e.size or 0 for e in some],
+                        "modification_time": pd.to_datetime([e.mtime_ns for e in some], unit="ns", utc=True).floor("us"),
+                    }
+                )
+
+
+def list_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """Every file under the roots, level by level; the folders of one level are listed in parallel.
+
+    Spark's own file sources leave out empty files and names that start with ``_`` or ``.``, which
+    count here.
+    """
+    if not roots:
         raise ValueError("at least one root is needed")
-    return reduce(DataFrame.unionByName, frames)
+    distinct = [r.rstrip("/") for r in dict.fromkeys(roots)]
+    level = spark.createDataFrame([(r, i, r) for i, r in enumerate(dict.fromkeys(distinct))], "root STRING, root_ord INT, path STRING")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = []
+    while True:
+        spread = level.select("root", "root_ord", "path").repartition(parts, "path")
+        listed = materialize(spread.mapInPandas(_list_folders, LISTED))
+        found.append(listed.filter("NOT is_dir").drop("is_dir"))
+        level = listed.filter("is_dir")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
 
 
 def scan_media(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     """Video files under the roots; file contents are not read."""
-    return _listing(spark, roots, content=False, glob=None).filter(is_video(F.col("path")))
+    return list_files(spark, roots).filter(is_video(F.col("path")))
 
 
 def scan_texts(spark: SparkSession, roots: Sequence[str], content: bool = True) -> DataFrame:
-    """``*.txt`` files under the roots, with their bytes."""
-    return _listing(spark, roots, content=content, glob="*.txt")
+    """``*.txt`` files under the roots, with their bytes; listed once, read where they are listed."""
+    listed = list_files(spark, roots).filter(F.col("path").rlike(r"\.txt$"))
+    return _with_bytes(listed) if content else listed
+
+
+def _read_whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for i in range(len(frame)):
+            one = frame.iloc[i : i + 1]
+            store, inner = _open(one["path"].iloc[0])
+            with store.open_input_stream(inner) as stream:
+                yield one.assign(content=[stream.read()])
+
+
+def _with_bytes(listed: DataFrame) -> DataFrame:
+    schema = T.StructType([*listed.schema.fields, T.StructField("content", T.BinaryType())])
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(parts, "path").mapInPandas(_read_whole, schema)
+
+
+def _hash_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        digests = []
+        for path in frame["path"]:
+            store, inner = _open(path)
+            digest = hashlib.sha256()
+            with store.open_input_stream(inner) as stream:
+                while chunk := stream.read(CHUNK):
+                    digest.update(chunk)
+            digests.append(digest.hexdigest())
+        yield frame.assign(sha256=digests)
+
+
+def fingerprints(listed: DataFrame, with_hash: bool = True) -> DataFrame:
+    """``path, exists, size, mtime, sha256``. Files of any size are hashed in constant memory."""
+    plain = listed.select(
+        "path", F.lit(True).alias("exists"), F.col("length").alias("size"), F.col("modification_time").alias("mtime")
+    )
+    if not with_hash:
+        return plain.withColumn("sha256", F.lit(None).cast("string"))
+    schema = T.StructType([*plain.schema.fields, T.StructField("sha256", T.StringType())])
+    parts = int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return plain.repartition(parts, "path").mapInPandas(_hash_chunks, schema)
 
 
 def scan_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     """Every file with its size, for storage accounting."""
-    return _listing(spark, roots, content=False, glob=None)
+    return list_files(spark, roots)
 
 
 def read_optional_json(spark: SparkSession, path: str | Iterable[str], schema: str) -> DataFrame:
@@ -59,7 +134,7 @@ def read_optional_json(spark: SparkSession, path: str | Iterable[str], schema: s
             raise
         return spark.createDataFrame([], f"source_file STRING, {schema}")
     parsed = F.from_json("value", f"{schema}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"})
-    whole = F.try_parse_json("value").isNotNull() & F.col("value").rlike(r"\A\s*\{")
+    whole = strict_json(F.col("value")).isNotNull() & F.col("value").rlike(r"\A\s*\{")
     return (
         raw.select(F.col("_metadata.file_path").alias("source_file"), "value")
         .filter(whole)
@@ -87,7 +162,7 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
 def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
     """Distinct excluded video paths from a JSON array of strings; any other content is an error."""
     raw = spark.read.text(path, wholetext=True).select(
-        F.try_parse_json(F.regexp_replace("value", "^\ufeff", "")).alias("doc")
+        strict_json(F.regexp_replace("value", "^\ufeff", "")).alias("doc")
     )
     items = raw.select(
         F.expr("try_variant_get(doc, '$', 'array<variant>')").alias("items"),

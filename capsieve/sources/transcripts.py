@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capsieve import schemas
-from capsieve.functions.binding import let
+from capsieve.functions.binding import let, strict_json
 from capsieve.functions.text import is_blank, strip_space
 from capsieve.operators.ordering import lag_in_blocks
 
@@ -225,7 +225,7 @@ def normalize_primary(
     """
     duration_ms = F.col("duration_seconds") * 1000.0
     level = "level_0"
-    staged = raw.withColumn("doc", F.try_parse_json("raw")).withColumn(
+    staged = raw.withColumn("doc", strict_json(F.col("raw"))).withColumn(
         level, F.coalesce(_items(F.col("doc")), F.array("doc"))
     )
     for depth in range(MAX_NESTING):
