@@ -30,11 +30,18 @@ FORMAT_RULES = (
 
 
 def caption_blocks(segments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row per caption block: segments whose normalised text is not empty."""
-    return (
-        segments.withColumn("caption", normalize_text(F.col("text")))
-        .filter("caption <> ''")
-        .select(*keys, "start_ms", "end_ms", "seg_index", "caption", format_timestamp(F.col("start_ms")).alias("timecode"))
+    """One row per caption block: segments whose normalised text is not empty.
+
+    The empty ones are dropped by the generator: a filter would be pushed down and repeat the rules.
+    """
+    solid = F.filter(F.array(normalize_text(F.col("text"))), lambda caption: caption != "")
+    return segments.select(
+        *keys,
+        "start_ms",
+        "end_ms",
+        "seg_index",
+        format_timestamp(F.col("start_ms")).alias("timecode"),
+        F.explode(solid).alias("caption"),
     )
 
 

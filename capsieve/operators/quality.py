@@ -41,17 +41,24 @@ def confidence(secondary: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
-def text_lengths(primary: DataFrame, secondary: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Segment counts and comparison-text lengths of both transcripts, in one aggregation.
+def transcript_metrics(primary: DataFrame, secondary: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Segment counts, comparison-text lengths and caption lengths of both transcripts, in one aggregation.
 
     Lengths add up over segments, so no transcript is concatenated. (Conjoining Hangul letters split
     between two segments would join into one letter when concatenated; they count singly here.)
+    Caption lengths are whole numbers, so the median's value table stays small.
     """
-    first = primary.select(
-        *keys, F.lit(1).alias("p"), F.char_length(comparison_text(normalize_text(F.col("text")))).alias("n")
+    first = (
+        # One generated element: without it the rules would be repeated above and below the UDF.
+        primary.select(*keys, F.explode(F.array(normalize_text(F.col("text")))).alias("caption"))
+        .select(*keys, F.char_length("caption").alias("c"), F.char_length(comparison_text(F.col("caption"))).alias("n"))
+        .withColumn("p", F.lit(1))
+    )
+    second = secondary.select(
+        *keys, F.lit(None).cast("int").alias("c"), F.char_length(comparison_text(F.col("text"))).alias("n"), F.lit(0).alias("p")
     )
-    second = secondary.select(*keys, F.lit(0).alias("p"), F.char_length(comparison_text(F.col("text"))).alias("n"))
     side = lambda p, c: F.coalesce(F.sum(F.when(F.col("p") == p, c)), F.lit(0)).cast("bigint")
+    shown = F.when(F.col("c") > 0, F.col("c"))
     return (
         first.unionByName(second)
         .groupBy(*keys)
@@ -60,6 +67,9 @@ def text_lengths(primary: DataFrame, secondary: DataFrame, keys: Sequence[str] =
             side(0, F.lit(1)).alias("secondary_segments"),
             side(1, F.col("n")).alias("primary_chars"),
             side(0, F.col("n")).alias("secondary_chars"),
+            F.count(shown).alias("caption_count"),
+            F.percentile(shown, 0.5).alias("median_text_chars"),
+            F.max(shown).cast("bigint").alias("max_text_chars"),
         )
     )
 
@@ -112,34 +122,36 @@ def quality(
     candidates: DataFrame,
     primary: DataFrame,
     secondary: DataFrame,
-    caption_report: DataFrame,
     risk: DataFrame,
+    captions: DataFrame | None = None,
     keys: Sequence[str] = KEYS,
     bounds: Bounds = Bounds(),
 ) -> DataFrame:
     """One row per candidate: metrics, ``errors``, ``warnings``, ``passed``.
 
-    ``candidates`` carry ``duration_seconds``; ``caption_report`` the caption metrics, with a
-    ``format_code`` when it comes from caption files; ``risk`` the alignment summary. A candidate
-    without a caption fails with ``format_empty_caption``. Every joined table has one row per candidate.
+    ``candidates`` carry ``duration_seconds``; ``risk`` is the alignment summary. ``captions`` adds
+    columns of staged captions (size, hash, gaps) and, for checked files, their ``format_code``; rendered
+    captions keep the format by construction, and a candidate without any block fails with
+    ``format_empty_caption``. Every joined table has one row per candidate.
     """
-    has_code = "format_code" in caption_report.columns
-    report = caption_report.withColumn("_rendered", F.lit(True))
-    lengths = text_lengths(primary, secondary, keys)
+    metrics = transcript_metrics(primary, secondary, keys)
     repeats = longest_duplicate_run(primary, keys)
     joined = candidates
-    for part in (lengths, repeats, confidence(secondary, keys), report, risk):
+    for part in (metrics, repeats, confidence(secondary, keys), risk):
         joined = joined.join(part, list(keys), "left")
+    if captions is not None:
+        extra = [c for c in captions.columns if c not in joined.columns or c in keys]
+        joined = joined.join(captions.select(extra), list(keys), "left")
     zero = {
         name: F.coalesce(name, F.lit(0))
         for name in (
             "primary_segments", "secondary_segments", "primary_chars", "secondary_chars",
-            "checked_segments", "high_risk_count", "median_text_chars",
+            "checked_segments", "high_risk_count", "caption_count", "median_text_chars",
         )
     }
     minutes = F.col("duration_seconds") / F.lit(60.0)
-    format_code = F.when(F.col("_rendered").isNull(), "empty_caption")
-    if has_code:
+    format_code = F.when(F.coalesce("caption_count", F.lit(0)) == 0, "empty_caption")
+    if "format_code" in joined.columns:
         format_code = format_code.otherwise(F.col("format_code"))
     joined = joined.withColumn("format_code", format_code).withColumns(zero)
     joined = joined.withColumns(
@@ -195,5 +207,5 @@ def quality(
                 "text_length_ratio": F.when(r == float("inf"), r).otherwise(F.bround("length_ratio", 6)),
             }
         )
-        .drop("_rendered", "_timed")
+        .drop("_timed")
     )

@@ -323,6 +323,8 @@ oracle("text_lengths", f"{ALL} select * from lengths")
 oracle("duplicate_runs", f"{ALL} select * from dups")
 oracle("quality_gate", f"""{ALL} select run_id, sample_id, passed, warning_count, high_risk_count, primary_segments, secondary_segments, longest_duplicate_run, text_density, text_length_ratio,
   median_text_chars, array_to_string(errs,'|') errors, array_to_string(warns,'|') warnings from rep""")
+oracle("quality_reports", f"""{ALL} select r.run_id, r.sample_id, r.passed, r.warning_count, d.caption_size, d.caption_sha256, m.segment_count caption_count, m.median_text_chars, m.max_text_chars,
+  m.median_gap_seconds, m.first_timestamp, m.last_timestamp from rep r join digests d on d.sample_id=r.sample_id join metrics m on m.sample_id=r.sample_id""")
 METRICS = ("duration_seconds", "text_density", "text_length_ratio", "longest_duplicate_run", "primary_segments", "segment_margin", "median_text_chars")
 QUANTS = ", ".join(f"round(quantile_cont(value, {q}), 6) as {n}" for q, n in zip((0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0), ("min", "p10", "p25", "p50", "p75", "p90", "max")))
 TALL = " union all ".join(f"select duration_seconds d, '{m}' metric, {m}::double as value from rep" for m in METRICS)

@@ -468,7 +468,8 @@ def confidence(spark, sf):
 
 @query
 def text_lengths(spark, sf):
-    return quality.text_lengths(*_sides(spark, sf))
+    rows = quality.transcript_metrics(*_sides(spark, sf))
+    return rows.select(*KEYS, "primary_segments", "secondary_segments", "primary_chars", "secondary_chars")
 
 
 @query
@@ -479,7 +480,7 @@ def duplicate_runs(spark, sf):
 def _quality(spark, sf, with_ratio=False):
     prim, sec = _sides(spark, sf)
     risk = align.alignment_summary(align.align(prim, sec, with_ratio=with_ratio))
-    report = quality.quality(fx.candidates(spark, sf), prim, sec, captions.block_metrics(prim), risk)
+    report = quality.quality(fx.candidates(spark, sf), prim, sec, risk)
     return report.withColumns(
         {"text_density": F.col("density"), "text_length_ratio": F.col("length_ratio"), "segment_margin": F.col("primary_segments") - F.col("minimum_segments")}
     )
@@ -508,6 +509,19 @@ def _rounded(rows):
     return rows.withColumns({name: F.round(name, 6) for name in profile.NAMES})
 
 
+@query
+def quality_reports(spark, sf):
+    """Full reports: the gate beside the staged captions' size, hash and gaps."""
+    prim, sec = _sides(spark, sf)
+    risk = align.alignment_summary(align.align(prim, sec, with_ratio=False))
+    staged = captions.caption_digests(captions.caption_parts(prim)).join(captions.block_metrics(prim), list(KEYS))
+    report = quality.quality(fx.candidates(spark, sf), prim, sec, risk, staged)
+    return report.select(
+        *KEYS, "passed", "warning_count", "caption_size", "caption_sha256", "caption_count", "median_text_chars",
+        "max_text_chars", "median_gap_seconds", "first_timestamp", "last_timestamp",
+    )
+
+
 @query
 def corpus_profile(spark, sf):
     return _rounded(profile.corpus_profile(_quality(spark, sf), METRICS))

@@ -26,6 +26,8 @@ def local_session(cores: str = "8", app: str = "capsieve", **extra: str) -> Spar
         **SETTINGS,
         "spark.sql.shuffle.partitions": str(cores),
         "spark.ui.enabled": "false",
+        # Small local files: one task per file rather than a few tasks for all.
+        "spark.sql.files.openCostInBytes": "65536",
         "spark.driver.memory": "16g",
         **extra,
     }

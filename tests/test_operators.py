@@ -306,7 +306,7 @@ def test_quality_gates(spark):
         sec = s if sec is None else sec.unionByName(s)
     cands = spark.createDataFrame([("r", n, 60.0) for n in GATES] + [("r", "zero", 0.0)], "run_id STRING, sample_id STRING, duration_seconds DOUBLE")
     risk = align.alignment_summary(align.align(prim, sec))
-    report = quality.quality(cands, prim, sec, captions.block_metrics(prim), risk)
+    report = quality.quality(cands, prim, sec, risk, captions.block_metrics(prim))
     got = {r.sample_id: r for r in report.collect()}
     errors = {n: r.errors for n, r in got.items() if r.errors}
     assert errors == {
