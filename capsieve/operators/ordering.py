@@ -65,8 +65,13 @@ def lag_in_blocks(
     order: Sequence[str],
     values: Sequence[str],
     name: str = "previous",
+    per_key: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds the struct of ``values`` of the preceding row; ``block`` must not decrease along ``order``."""
+    """Adds the struct of ``values`` of the preceding row; ``block`` must not decrease along ``order``.
+
+    The columns of ``per_key`` (one row per key) come along by way of the block table, so that a large
+    key is never joined in one piece; rows without a partner there are dropped.
+    """
     cells = F.struct(*values)
     blocked = df.withColumn("_block", block)
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
@@ -74,6 +79,8 @@ def lag_in_blocks(
     carried = tails.select(
         *keys, "_block", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_block")).alias("_carry")
     )
+    if per_key is not None:
+        carried = carried.join(per_key, list(keys))
     return (
         blocked.withColumn("_lag", F.lag(cells).over(inside))
         .join(carried, [*keys, "_block"])

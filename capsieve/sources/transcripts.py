@@ -300,15 +300,17 @@ def validate_segments(
     """Per engine output: ``segment_count, first_bad_index, invalid_reason`` (null when valid).
 
     ``outputs`` lists the outputs with their ``duration_seconds``; one without segments is invalid.
-    The duration is joined to block-sized groups, never to a whole sample in one task.
+    The end limit reaches the segments by way of the block table, never for a whole sample in one task.
     """
     limit = (F.ceil(F.col("duration_seconds") * 1000.0) + 5000).alias("_limit")
+    limits = outputs.select(*keys, limit)
     lagged = lag_in_blocks(
         segments.select(*keys, "seg_index", "start_ms", "end_ms", is_blank(F.col("text")).alias("_blank")),
         keys,
         F.floor(F.col("seg_index") / INDEX_BLOCK),
         ["seg_index"],
         ["start_ms"],
+        per_key=limits,
     )
     bad = (
         (F.col("start_ms") < 0)
@@ -316,15 +318,10 @@ def validate_segments(
         | (F.col("start_ms") < F.coalesce(F.col("previous.start_ms"), F.lit(-1)))
         | F.col("_blank")
     )
-    # The end limit depends on the output; the only candidates for the first late segment are kept by
-    # joining the limits to the slim rows.
-    checked = (
-        lagged.join(outputs.select(*keys, limit), list(keys))
-        .groupBy(*keys)
-        .agg(
-            F.count("*").alias("segment_count"),
-            F.min(F.when(bad | (F.col("end_ms") > F.col("_limit")), F.col("seg_index"))).alias("first_bad_index"),
-        )
+    late = F.col("end_ms") > F.col("_limit")
+    checked = lagged.groupBy(*keys).agg(
+        F.count("*").alias("segment_count"),
+        F.min(F.when(bad | late, F.col("seg_index"))).alias("first_bad_index"),
     )
     return (
         outputs.select(*keys)

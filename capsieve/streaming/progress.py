@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from capsieve.operators.progress import ENGINES, derive_progress, last_events
 from capsieve.sources.eventlog import events
@@ -57,6 +58,18 @@ def failed_candidates(parsed: DataFrame, run: str = "run_id") -> DataFrame:
     )
 
 
+def store_steps(steps: DataFrame, path: str) -> DataStreamWriter:
+    """Writer that keeps the steps as a table, one folder per batch; a repeated batch overwrites its own.
+
+    Folders of finished runs can be compacted or dropped outside the stream, which keeps them small.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return steps.writeStream.outputMode("append").foreachBatch(save)
+
+
 def fold_steps(steps: DataFrame, totals: DataFrame, run: str = "run_id", engines: Sequence[str] = ENGINES) -> DataFrame:
     """Progress rows from a table that the step stream appends to (batch side of ``foreachBatch``)."""
     per_video = steps.groupBy(run, "video_path").agg(

@@ -23,7 +23,12 @@ def inputs(spark, sf, tmp_path):
 def test_progress_stream_equals_batch(spark, sf, tmp_path):
     lines, stream = inputs(spark, sf, tmp_path)
     totals = fx.progress_totals(spark, sf).withColumn("run_id", F.col("run_id").cast("string"))
-    steps = run_stream(spark, live.progress_steps(stream), "steps", "append")
+    table = str(tmp_path / "steps")
+    writer = live.store_steps(live.progress_steps(stream), table).option("checkpointLocation", str(tmp_path / "state"))
+    running = writer.start()
+    running.processAllAvailable()
+    running.stop()
+    steps = spark.read.parquet(table)
     want = sorted(map(tuple, progress(events(lines), totals).collect()))
     assert sorted(map(tuple, live.fold_steps(steps, totals).collect())) == want
     counted = run_stream(spark, live.run_progress(stream), "counted", "complete")
