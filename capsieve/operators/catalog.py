@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from capsieve.functions import paths as P
 from capsieve.functions.text import initial_state
+from capsieve.functions.timecode import estimate_seconds
 from capsieve.operators.ordering import number_in_groups, number_rows
 
 SAMPLE_PREFIX = "CC-CANDIDATE-"  # fixed value
@@ -129,8 +130,17 @@ def matched_exclusions(candidates_: DataFrame, excluded: DataFrame) -> DataFrame
     return candidates_.join(excluded.select("video_path"), "video_path", "left_semi")
 
 
-def selection_summary(candidates_: DataFrame, selected: DataFrame, conflict_rows: DataFrame, protected: DataFrame) -> DataFrame:
-    """Candidate, selected, excluded, conflict, colliding-video and protected counts in one row."""
+def selection_summary(
+    candidates_: DataFrame,
+    selected: DataFrame,
+    conflict_rows: DataFrame,
+    protected: DataFrame,
+    stated_excluded: int | None = None,
+) -> DataFrame:
+    """Candidate, selected, excluded, conflict and protected counts in one row.
+
+    The excluded count of the confirmation is the stated one, else the number of colliding videos.
+    """
     parts = [
         candidates_.select(F.lit("candidate").alias("kind")),
         selected.select(F.lit("selected").alias("kind")),
@@ -148,13 +158,15 @@ def selection_summary(candidates_: DataFrame, selected: DataFrame, conflict_rows
         F.greatest(F.lit(0), of("candidate") - of("selected")).alias("excluded_count"),
         of("conflict").alias("conflict_count"),
         of("conflict_video").alias("conflict_video_count"),
+        (of("conflict_video") if stated_excluded is None else F.lit(stated_excluded).cast("bigint")).alias(
+            "confirmed_excluded_count"
+        ),
         of("protected").alias("protected_count"),
     )
 
 
 def cost_profile(candidates_: DataFrame, duration: Column, size: Column) -> DataFrame:
-    from capsieve.functions.timecode import estimate_seconds
-
+    """Adds the expected processing time of each candidate."""
     return candidates_.withColumn("estimate_seconds", estimate_seconds(duration, size))
 
 

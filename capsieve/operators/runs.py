@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capsieve.functions.labels import status_label
@@ -18,8 +18,17 @@ DURATION_TOLERANCE = 0.05  # fixed value, seconds
 LARGE_RUN_STORE = 5 * 1024**3  # fixed value, bytes
 
 
-def _engine_list(spark: SparkSession, engines: Sequence[str]) -> Column:
-    return F.array(*[F.lit(e) for e in engines])
+def manifest_tables(manifests: DataFrame) -> dict[str, DataFrame]:
+    """Run manifests (``schemas.MANIFEST``) as the tables the other operators take."""
+    listed = lambda column: manifests.select("run_id", F.explode(column).alias("x"))
+    return {
+        "runs": manifests.select(
+            "run_id", "status", "created_at_utc", "updated_at_utc", "discovery.video_count", "discovery.candidate_count"
+        ),
+        "candidates": listed("candidates").select("run_id", "x.*"),
+        "failures": listed("candidate_failures").select("run_id", "x.*"),
+        "excluded": listed("excluded_videos").select("run_id", F.col("x").alias("video_path")).distinct(),
+    }
 
 
 def pending(candidates: DataFrame, valid_outputs: DataFrame, engines: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:

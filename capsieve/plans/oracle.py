@@ -244,7 +244,7 @@ oracle("text_states", f"{CATALOG} select path, state from txt")
 oracle("exclusions", f"{CATALOG} select sample_id, path video_path, doc_id%9=0 excluded from cands")
 oracle("selection_counts", f"""{CATALOG} select (select count(*) from cands) candidate_count, (select count(*) from cands where doc_id%9<>0) selected_count,
   (select count(*) from cands where doc_id%9=0) excluded_count, (select count(*) from groups where video_count>1) conflict_count,
-  (select count(*) from conflicts) conflict_video_count, (select count(*) from prot) protected_count""")
+  (select count(*) from conflicts) conflict_video_count, (select count(*) from conflicts) confirmed_excluded_count, (select count(*) from prot) protected_count""")
 oracle("cost_estimates", f"{CATALOG} select path, case when doc_id%6<>0 then cast(ceil(30.0::double+doc_id*0.5::double*0.3::double+length*4096/8388608.0::double) as bigint) end estimate_seconds from vid")
 oracle("engine_terms", """with c as (select distinct conv_id s, 'run'||(conv_id%40) run_id from conversations),
   x as (select s, 0 pos, 'Lesson' term from c union all select s, 1, run_id from c union all select s, 2, 'T'||(s%150) from c),

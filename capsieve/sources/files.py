@@ -74,9 +74,14 @@ def scan_media(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
 
 
 def scan_texts(spark: SparkSession, roots: Sequence[str], content: bool = True) -> DataFrame:
-    """``*.txt`` files under the roots, with their bytes; listed once, read where they are listed."""
-    listed = list_files(spark, roots).filter(F.col("path").rlike(r"\.txt$"))
-    return _with_bytes(listed) if content else listed
+    """``*.txt`` files under the roots, with their bytes."""
+    return scan_listed_texts(list_files(spark, roots), content)
+
+
+def scan_listed_texts(listed: DataFrame, content: bool = True) -> DataFrame:
+    """The ``*.txt`` files of a listing, once each, with their bytes."""
+    texts = listed.filter(F.col("path").rlike(r"\.txt$")).dropDuplicates(["path"])
+    return _with_bytes(texts) if content else texts
 
 
 def _read_whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

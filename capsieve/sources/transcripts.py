@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from capsieve import schemas
 from capsieve.functions.binding import let, strict_json
 from capsieve.functions.text import is_blank, strip_space
-from capsieve.operators.ordering import lag_in_blocks
+from capsieve.operators.ordering import lag_in_blocks, number_in_groups
 
 MAX_NESTING = 3
 INDEX_BLOCK = 4096
@@ -288,8 +288,6 @@ def index_segments(
     segments: DataFrame, keys: Sequence[str] = ("run_id", "sample_id"), raw_position: str = "raw_pos"
 ) -> DataFrame:
     """``seg_index`` by (start, end, raw position) inside each sample, without one task per sample."""
-    from capsieve.operators.ordering import number_in_groups
-
     order = [F.col("start_ms"), F.col("end_ms"), F.col(raw_position)]
     return number_in_groups(segments, keys, order, "_n").withColumn("seg_index", F.col("_n") - 1).drop("_n")
 

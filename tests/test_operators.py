@@ -386,6 +386,41 @@ def test_run_summary_and_completion(spark):
     assert (row.elapsed_seconds, row.written_count, row.warning_count, row.failed_count) == (330.0, 7, 3, 0)
 
 
+def test_manifest_tables(spark, tmp_path):
+    from capsieve import schemas
+
+    body = {"run_id": "r", "status": "running", "discovery": {"video_count": 4, "candidate_count": 2}, "excluded_videos": ["/x", "/x"],
+            "candidates": [{"sample_id": "a", "video_path": "/a"}, {"sample_id": "b", "video_path": "/b"}],
+            "candidate_failures": [{"sample_id": "b", "video_path": "/b", "phase": "verify", "reason": "y"}]}
+    (tmp_path / "manifest.json").write_text(json.dumps(body, indent=2))
+    (tmp_path / "broken.json").write_text("{")
+    tables = runs.manifest_tables(files.read_optional_json(spark, str(tmp_path), schemas.MANIFEST))
+    assert {k: v.count() for k, v in tables.items()} == {"runs": 1, "candidates": 2, "failures": 1, "excluded": 1}
+    left = runs.eligible(tables["candidates"], tables["failures"]).collect()
+    assert [r.sample_id for r in left] == ["a"] and runs.is_resumable(tables["runs"]).count() == 1
+
+
+def test_flows(spark, tmp_path):
+    from capsieve.plans import flows
+
+    (tmp_path / "a.mp4").write_bytes(b"v")
+    (tmp_path / "n.txt").write_bytes(b"keep")
+    scanned = flows.scan(spark, [str(tmp_path)])
+    assert {k: v.count() for k, v in scanned.items()} == {"candidates": 1, "conflicts": 0, "protected": 1, "summary": 1}
+    extra = ", avg_logprob DOUBLE, no_speech_prob DOUBLE"
+    prim = segments(spark, spread(varied(30, 5)), "ok", extra).unionByName(segments(spark, spread(varied(20, 2)), "few", extra))
+    cands = spark.createDataFrame([("r", s, f"/{s}.mp4", f"/{s}.txt", 60.0) for s in ("ok", "few")], "run_id STRING, sample_id STRING, video_path STRING, target_path STRING, duration_seconds DOUBLE")
+    none = spark.createDataFrame([], "run_id STRING, sample_id STRING")
+    staged = flows.stage(cands, prim, prim, none)
+    assert {r.sample_id: r.passed for r in staged["reports"].collect()} == {"ok": True, "few": False}
+    assert staged["entries"].count() == 0 and staged["summary"].first().all_passed is False
+    failed = cands.filter("sample_id = 'few'").select("run_id", "sample_id")
+    again = flows.stage(cands, prim, prim, failed)
+    assert [r.sample_id for r in again["entries"].collect()] == ["ok"]
+    sinks.write_reports({k: again[k] for k in ("reports", "alignments", "entries")}, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out" / "reports")).count() == 1
+
+
 def test_inventory(spark):
     sizes = spark.createDataFrame([("c", 5), ("A", 1), ("A", 2), ("b", 4)], "run_id STRING, length BIGINT")
     known = spark.createDataFrame([("A", "committed", "t"), ("b", "staged_partial", None)], "run_id STRING, status STRING, created_at_utc STRING")
