@@ -119,10 +119,6 @@ def secondary(spark: SparkSession, sf: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """One candidate per conversation, with its audio length."""
-    return once("candidates", lambda: _candidates(spark, sf))
-
-
-def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     spans = primary(spark, sf).select("run_id", "sample_id", "end_ms").unionByName(
         secondary(spark, sf).select("run_id", "sample_id", "end_ms")
     )
