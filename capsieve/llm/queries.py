@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from capsieve.llm import exact_dedup
+from capsieve.llm import exact_dedup, pieces
 from capsieve.llm.tables import prepare, table
 
 
@@ -13,7 +14,19 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup}
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    found = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    sha = lambda c: F.sha2(F.col(c), 256).alias(f"{c}_sha256")
+    return found.select("doc_id", "n_tokens", sha("ids"), sha("decoded"))
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op10_pieces": op10_pieces,
+}
 
 ORACLE = {
     "op1_exact_dedup": """
