@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capsieve.llm import exact_dedup, pieces
+from capsieve.llm import exact_dedup, pieces, private
 from capsieve.llm.tables import prepare, table
 
 
@@ -14,6 +14,18 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    found = private.detect(docs).withColumn("base", F.filter("found", lambda s: s["base"]))
+
+    def number(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = map(number, private.KINDS)
+    digest = F.sha2(private.spell(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, private.spell(F.col("found")).alias("spans"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -25,6 +37,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_private": op3_private,
     "op10_pieces": op10_pieces,
 }
 
