@@ -23,8 +23,8 @@ from capsieve.llm.tables import packed
 #: The mark that stands for a space inside pieces, and the piece types of the file format.
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Distinct units whose encoding a worker remembers; when full, it starts afresh. Longer units aren't remembered.
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 48
+#: Distinct units whose ids a worker remembers: the newest up to this number and as many before. Longer ones aren't.
+REMEMBERED, LONGEST_REMEMBERED = 600_000, 48
 
 
 def read_model(path: str) -> tuple[list[tuple[str, float, int]], bool]:
@@ -73,8 +73,12 @@ class Codec:
         self.automaton.make_automaton()
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.reach), None) for p in self.reach}
         self.fits: dict[tuple[str, str], bool] = {}
-        self.parts: dict[str, list[str]] = {}
-        self.known: dict[str, tuple[int, str, str]] = {}
+        text_of = {NORMAL: lambda p: p.replace(SPACE, " ").encode(), BYTE: lambda p: bytes([int(p[3:5], 16)]), UNKNOWN: lambda p: " ⁇ ".encode()}
+        #: Bytes of each id, by its decimal text.
+        self.raw = {str(i): text_of[kind](p) if kind in text_of else b"" for i, (p, _, kind) in enumerate(pieces)}
+        self.parts: dict[str, str] = {}
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def merge(self, text: str) -> list[str]:
         """Merging as defined: the pair of the best score first, of equal ones the leftmost. For short texts."""
@@ -117,25 +121,28 @@ class Codec:
                 piece = longest[at] if at < n else None
         return out
 
-    def part(self, text: str) -> list[str]:
+    def spelt(self, text: str) -> str:
+        """Ids of a text without runs of spaces, as decimal text; remembered for short ones."""
         found = self.parts.get(text)
         if found is None:
-            found = self.backtrack(text)
+            found = self.spell(self.backtrack(text))
             if len(text) <= LONGEST_REMEMBERED:
-                if len(self.parts) > REMEMBERED:
+                if len(self.parts) >= REMEMBERED // 2:
                     self.parts.clear()
                 self.parts[text] = found
         return found
 
+    def cut(self, text: str) -> list[str]:
+        """Parts between which no merge is possible."""
+        joined = self.joined
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joined]
+        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])] if cuts else [text]
+
     def split(self, unit: str) -> list[str]:
         """Pieces of a unit: spaces, then other characters."""
         word = unit.lstrip(SPACE)
         spaces = len(unit) - len(word)
-        text = SPACE * min(1, spaces) + word
-        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.joined]
-        out: list[str] = []
-        for a, b in zip([0, *cuts], [*cuts, len(text)]):
-            out += self.part(text[a:b])
+        out = [p for part in self.cut(SPACE * min(1, spaces) + word) for p in self.backtrack(part)]
         if spaces > 1:  # merges of spaces come last, from the left
             left = spaces - (out[0] != SPACE)
             out = self.run(left) + out[out[0] == SPACE :]
@@ -150,12 +157,13 @@ class Codec:
                 out[-2:] = [out[-2] + out[-1]]
         return [SPACE * k for k in out]
 
-    def ids(self, pieces: Iterable[str]) -> list[int]:
-        out: list[int] = []
+    def spell(self, pieces: Iterable[str]) -> str:
+        """Decimal ids joined by a space; a character without a piece becomes its bytes."""
+        out: list[str] = []
         for p in pieces:
             i = self.id.get(p)
-            out += [self.byte_id[b] for b in p.encode()] if i is None else [i]
-        return out
+            out += [str(self.byte_id[b]) for b in p.encode()] if i is None else [str(i)]
+        return " ".join(out)
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids: bytes join to characters (bad ones give U+FFFD), marks become spaces, the first one goes."""
@@ -179,15 +187,23 @@ class Codec:
                 out.append(piece.replace(SPACE, " "))
         return "".join(out) + raw.decode(errors="replace")
 
-    def entry(self, unit: str) -> tuple[int, str, str]:
-        """How many ids a unit has, the ids as text, and their text again."""
-        ids = self.ids(self.split(unit))
-        first, self.dummy_prefix = self.dummy_prefix, False
-        found = len(ids), " ".join(map(str, ids)), self.decode(ids)
-        self.dummy_prefix = first
+    def decode_spelt(self, ids: str) -> str:
+        """The same from decimal ids, all pieces' bytes joined at once; the long way where they aren't valid."""
+        try:
+            text = b"".join(map(self.raw.__getitem__, ids.split(" "))).decode() if ids else ""
+        except UnicodeDecodeError:
+            return self.decode(map(int, ids.split(" ")))
+        first = next((p for p in map(int, ids.split(" ", 2)[:2]) if self.pieces[p][2] != CONTROL), None) if ids else None
+        return text[1:] if self.dummy_prefix and first is not None and self.pieces[first][0][0] == SPACE else text
+
+    def entry(self, unit: str) -> str:
+        """Ids of a unit that isn't among the newest remembered ones."""
+        found = self.older.get(unit)
+        if found is None:
+            found = self.spell(self.split(unit)) if SPACE * 2 in unit else " ".join(map(self.spelt, self.cut(unit)))
         if len(unit) <= LONGEST_REMEMBERED:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
+            if len(self.known) >= REMEMBERED:
+                self.older, self.known = self.known, {}
             self.known[unit] = found
         return found
 
@@ -196,12 +212,8 @@ class Codec:
         marked = (SPACE * self.dummy_prefix + text).replace(" ", SPACE) if text else ""
         known, entry = self.known, self.entry
         found = [known.get(u) or entry(u) for u in self.unit.findall(marked) if u]
-        count, spelt, back = zip(*found) if found else ((), (), ())
-        whole = "".join(back)
-        if self.dummy_prefix and whole[:1] == " ":
-            whole = whole[1:]
-        last = self.end if end else []
-        return sum(count) + len(last), " ".join([*spelt, *last]), whole
+        ids = " ".join(found + self.end if end else found)
+        return ids.count(" ") + 1 if ids else 0, ids, self.decode_spelt(ids)
 
 
 CODECS: dict[str, Codec] = {}
