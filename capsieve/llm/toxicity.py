@@ -37,7 +37,7 @@ SHORT, LONG = 4, 12
 #: Different predecessors that a fragment needs, and how much more frequent it must be in toxic rows.
 SUPPORT, LIFT = 4, 3
 WORD = re.compile(r"[^\W\d_]+")
-FEATURES = ("largest", "second", "several", "rate")
+FEATURES = ("largest", "second", "several", "rate", "excess")
 
 
 def windows(text: str) -> list[bytes]:
@@ -79,8 +79,8 @@ def fragments(toxic: tuple[dict[str, int], int], ordinary: tuple[dict[str, int],
 
     def apart(w: str, c: int) -> bool:
         z = other.get(w, 0)
-        sure = c - 3 * c**0.5 if c > 16 else c / 4  # what is left of c after bad luck
-        return c >= SUPPORT and sure * (m or n) > LIFT * n * (z + 2 * z**0.5 + (z > 0))
+        sure = c - 2.5 * c**0.5  # what is left of c after good luck
+        return c >= SUPPORT and sure * (m or n) > LIFT * n * (z + 2 * z**0.5 + 1)
 
     kept = {w: c for w, c in own.items() if apart(w, c)}
     stems = {w: c for w, c in kept.items() if not any(w[:k] in kept for k in range(SHORT, len(w)))}
@@ -131,7 +131,10 @@ class Model:
         self.weights = np.zeros(len(FEATURES) + 1)
         self.middle, self.scale = np.zeros(len(FEATURES)), np.ones(len(FEATURES))
         self.pair = None
+        self.usual = 0.0
         if toxic and ordinary:
+            flat = [w for t in ordinary for w in windows(t)]
+            self.usual = float(sum(s for s in self.savings(flat) if s >= 2)) / len(flat) if flat else 0.0
             x = self.features(toxic + ordinary)
             y = np.repeat([1.0, 0.0], [len(toxic), len(ordinary)])
             self.calibrate(x, y)
@@ -168,7 +171,7 @@ class Model:
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """FEATURES of each text, from all of its windows: the largest and second largest saving, the sum of savings
-        of two bytes or more, and that per window."""
+        of two bytes or more, that per window, and its excess over the usual sum against the root of the windows."""
         cut = [windows(t) if t else [] for t in texts]
         flat = [w for c in cut for w in c]
         all_ = self.savings(flat) if flat else np.zeros(0)
@@ -179,7 +182,7 @@ class Model:
                 at += len(c)
                 top = np.sort(np.append(s, 0.0))[-2:]
                 several = s[s >= 2].sum()
-                out[i] = top[1], top[0], np.log1p(several), several / len(c)
+                out[i] = top[1], top[0], np.log1p(several), several / len(c), (several - self.usual * len(c)) / len(c) ** 0.5
         return out
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:

@@ -37,5 +37,5 @@ def test_bad_rows_take_no_part(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 0.0]), (5, [0.5, 0.5]), (None, [1.0, 1.0]), (50, []), (100, [1.0])]
     df = spark.createDataFrame([(i, v, 0, "x", 1) for i, v in rows], SCHEMA)
     vectors = df.select("vec_id", topk.quantised(F.col("embedding")).alias("vector"))
-    assert [tuple(r) for r in topk.top_k(vectors, vectors.where("vec_id % 50 = 0")).collect()] == [(0, 1, 5, 384 * 128)]
+    assert [tuple(r) for r in topk.top_k(vectors, vectors.where("vec_id % 50 = 0")).collect()] == [(0, 1, 5, 768 * 128)]
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
