@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capsieve.llm import exact_dedup, jaccard, language, packing, pieces, private, topk, toxicity
+from capsieve.llm import exact_dedup, jaccard, language, packing, pieces, private, substring, topk, toxicity
 from capsieve.llm.tables import held_out, prepare, table
 
 
@@ -47,6 +47,11 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(prepare(spark), sf_dir, "documents").select("doc_id", "text"))
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_language": op6_language,
     "op7_topk": op7_topk,
+    "op8_substring": op8_substring,
     "op9_jaccard": op9_jaccard,
     "op10_pieces": op10_pieces,
 }
