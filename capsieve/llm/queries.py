@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capsieve.llm import exact_dedup, jaccard, language, packing, pieces, private, substring, topk, toxicity
+from capsieve.llm import exact_dedup, jaccard, language, packing, pieces, private, quality, substring, topk, toxicity
 from capsieve.llm.tables import held_out, prepare, table
 
 
@@ -14,6 +14,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.classify(docs, table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op3_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
     found = private.detect(docs).withColumn("base", F.filter("found", lambda s: s["base"]))
@@ -67,6 +72,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality": op2_quality,
     "op3_private": op3_private,
     "op4_toxicity": op4_toxicity,
     "op5_packing": op5_packing,
