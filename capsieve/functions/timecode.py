@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,20 +26,31 @@ def format_timestamp(ms: Column) -> Column:
     return format_seconds(F.greatest(F.lit(0).cast("bigint"), F.floor(ms / 1000).cast("bigint")))
 
 
+#: Decimal digits of all scripts, and their values.
+DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdecimal())
+VALUES = "".join(str(int(c)) for c in DIGITS)
+
+
+def plain_digits(text: Column) -> Column:
+    """Decimal digits of any script as 0 to 9. Text within ASCII is not translated."""
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(text, DIGITS, VALUES)).otherwise(text)
+
+
 def parse_timestamp(text: Column) -> Column:
-    """Whole-string match of either form in seconds, else null."""
-    part = lambda pattern, i: F.regexp_extract(text, pattern, i).try_cast("bigint")
+    """Whole-string match of either form in seconds, else null; so are seconds beyond 64 bits."""
+    part = lambda pattern, i: plain_digits(F.regexp_extract(text, pattern, i)).try_cast("bigint")
+    times = lambda c, n: F.try_multiply(c, F.lit(n).cast("bigint"))
     return F.when(
-        text.rlike(TWO_FIELDS), part(TWO_FIELDS, 1) * 60 + part(TWO_FIELDS, 2)
+        text.rlike(TWO_FIELDS), F.try_add(times(part(TWO_FIELDS, 1), 60), part(TWO_FIELDS, 2))
     ).when(
         text.rlike(THREE_FIELDS),
-        part(THREE_FIELDS, 1) * 3600 + part(THREE_FIELDS, 2) * 60 + part(THREE_FIELDS, 3),
+        F.try_add(times(part(THREE_FIELDS, 1), 3600), times(part(THREE_FIELDS, 2), 60) + part(THREE_FIELDS, 3)),
     )
 
 
 def parse_probe_duration(text: Column) -> Column:
     """Seconds of the first ``Duration: H:M:S`` in probe output, else null."""
-    part = lambda i: F.regexp_extract(text, PROBE_DURATION, i).try_cast("double")
+    part = lambda i: plain_digits(F.regexp_extract(text, PROBE_DURATION, i)).try_cast("double")
     return part(1) * 3600 + part(2) * 60 + part(3)
 
 

@@ -7,7 +7,7 @@ with the length of a recording, and sizes add up.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,7 +20,6 @@ from capsieve.operators.ordering import lag_in_blocks
 KEYS = ("run_id", "sample_id")
 PART_MS = 3_600_000
 GAP_BLOCK_MS = 600_000
-NATIVE_HASH_BYTES = 16 << 20
 CRLF = "\r\n"
 
 FORMAT_RULES = (
@@ -60,43 +59,33 @@ def caption_parts(segments: DataFrame, keys: Sequence[str] = KEYS, part_ms: int
     )
 
 
-def _stream_digest(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    digest = hashlib.sha256()
-    for frame in parts:
-        for chunk in frame["caption"]:
-            digest.update(chunk)
-    yield pd.DataFrame([[*key, digest.hexdigest()]])
+def _stream_digests(keys: Sequence[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Digests of the captions of a partition, whose parts come in order; only a running hash is held."""
+    columns = [*keys, "part_count", "caption_size", "caption_sha256"]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, count, size, digest = None, 0, 0, hashlib.sha256()
+        for batch in batches:
+            done = []
+            for *key, part in batch[[*keys, "caption"]].itertuples(index=False):
+                if at != key:
+                    if at is not None:
+                        done.append((*at, count, size, digest.hexdigest()))
+                    at, count, size, digest = key, 0, 0, hashlib.sha256()
+                digest.update(part)
+                count, size = count + 1, size + len(part)
+            yield pd.DataFrame(done, columns=columns)
+        if at is not None:
+            yield pd.DataFrame([(*at, count, size, digest.hexdigest())], columns=columns)
 
-def caption_digests(
-    parts: DataFrame, keys: Sequence[str] = KEYS, native_bytes: int = NATIVE_HASH_BYTES
-) -> DataFrame:
-    """``keys, part_count, caption_size, caption_sha256`` of whole captions.
+    return run
 
-    Captions up to ``native_bytes`` are joined in one row and hashed natively. Longer ones are hashed
-    part by part from a sorted stream, in constant memory.
-    """
-    sizes = parts.groupBy(*keys).agg(
-        F.count("*").alias("part_count"), F.sum(F.octet_length("caption")).alias("caption_size")
-    )
-    sized = parts.join(sizes, list(keys))
-    ordered = F.array_sort(F.collect_list(F.struct("part_no", F.col("caption").cast("string").alias("t"))))
-    joined = F.array_join(F.transform(ordered, lambda p: p["t"]), "")
-    small = (
-        sized.filter(F.col("caption_size") <= native_bytes)
-        .groupBy(*keys)
-        .agg(F.sha2(F.encode(joined, "UTF-8"), 256).alias("caption_sha256"))
-    )
+
+def caption_digests(parts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``keys, part_count, caption_size, caption_sha256`` of whole captions, hashed part by part in order."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.select(*keys).schema)
-    large = (
-        sized.filter(F.col("caption_size") > native_bytes)
-        .select(*keys, "part_no", "caption")
-        .repartition(*keys)
-        .sortWithinPartitions(*keys, "part_no")
-        .groupBy(*keys)
-        .applyInPandas(_stream_digest, f"{fields}, caption_sha256 string")
-    )
-    return sizes.join(small.unionByName(large), list(keys))
+    ordered = parts.select(*keys, "part_no", "caption").repartition(*keys).sortWithinPartitions(*keys, "part_no")
+    return ordered.mapInPandas(_stream_digests(keys), f"{fields}, part_count bigint, caption_size bigint, caption_sha256 string")
 
 
 def whole_captions(parts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

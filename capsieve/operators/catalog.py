@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capsieve.functions import paths as P
@@ -170,12 +170,15 @@ def cost_profile(candidates_: DataFrame, duration: Column, size: Column) -> Data
     return candidates_.withColumn("estimate_seconds", estimate_seconds(duration, size))
 
 
-def terms(candidates_: DataFrame, file_terms: DataFrame | None = None, limit: int = 200) -> DataFrame:
-    """First spelling of each term: file terms first, then file-stem terms in candidate order.
+def terms(
+    candidates_: DataFrame, file_terms: DataFrame | None = None, limit: int = 200, run: str = "run_id"
+) -> DataFrame:
+    """First spelling of each term of each run: file terms first, then file-stem terms in candidate order.
 
-    ``limit`` is the feature: the engines take that many terms.
+    ``limit`` is the feature: an engine takes that many terms for a run. File terms hold for every run.
     """
     stems = candidates_.select(
+        run,
         F.lit(1).alias("source"),
         F.col("sample_id").cast("string").alias("owner"),
         F.posexplode(P.stem_terms(F.col("video_path"))).alias("position", "term"),
@@ -183,13 +186,15 @@ def terms(candidates_: DataFrame, file_terms: DataFrame | None = None, limit: in
     every = stems
     if file_terms is not None:
         listed = file_terms.select(F.lit(0).alias("source"), F.lit("").alias("owner"), "position", "term")
-        every = listed.unionByName(stems)
+        # A term list is short; it meets each run once.
+        shared = listed.groupBy().agg(F.collect_list(F.struct("source", "owner", "position", "term")).alias("_t"))
+        every = candidates_.select(run).distinct().join(shared).select(run, F.inline("_t")).unionByName(stems)
     place = F.struct("source", F.length("owner").alias("width"), "owner", "position")
     return (
         every.withColumn("term_key", P.fold_key(F.col("term")))
-        .groupBy("term_key")
+        .groupBy(run, "term_key")
         .agg(F.min(F.struct(place.alias("place"), "term")).alias("first"))
-        .orderBy("first.place")
-        .limit(limit)
-        .select("term_key", "first.term", "first.place")
+        .withColumn("_n", F.row_number().over(Window.partitionBy(run).orderBy("first.place")))
+        .where(F.col("_n") <= limit)
+        .select(run, "term_key", "first.term", "first.place")
     )

@@ -45,6 +45,26 @@ def number_rows(df: DataFrame, order: Sequence[Column], name: str = "row_no") ->
     )
 
 
+def running_totals(df: DataFrame, order: Sequence[Column], weight: str, name: str = "total_before") -> DataFrame:
+    """Sum of ``weight`` over all rows before each row of a total order; laid out as in :func:`number_rows`."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    fixed = materialize(placed)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        fixed.groupBy("_part")
+        .agg(F.sum(weight).alias("_n"))
+        .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    )
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        fixed.withColumn("_own", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+        .join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.col("_offset") + F.col("_own"))
+        .drop("_part", "_own", "_offset")
+    )
+
+
 def number_in_groups(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position"
 ) -> DataFrame:

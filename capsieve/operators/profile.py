@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capsieve.operators.ordering import number_in_groups, number_rows
+from capsieve.operators.ordering import running_totals
 
 PROBABILITIES = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
 NAMES = ("min", "p10", "p25", "p50", "p75", "p90", "max")
@@ -32,23 +32,22 @@ def melt(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame
 
 
 def quantiles(rows: DataFrame, groups: Sequence[str], value: str = "value") -> DataFrame:
-    """Exact quantiles with linear interpolation per group, from one distributed sort.
+    """Exact quantiles with linear interpolation per group, from the distinct values and their counts.
 
-    Only the rows at the wanted ranks survive to the last aggregation; no group is gathered.
+    Equal values are counted before they are sorted, so a value that most rows share weighs as one row. The
+    aggregation at the end keeps the values at the wanted ranks; no group is gathered.
     """
-    ranked = number_in_groups(rows.select(*groups, value), groups, [F.col(value)], "rank")
-    sizes = ranked.groupBy(*groups).agg(F.count("*").alias("n"))
+    counted = rows.groupBy(*groups, value).agg(F.count("*").alias("_count"))
+    summed = running_totals(counted, [*[F.col(g) for g in groups], F.col(value)], "_count", "_before")
+    sizes = summed.groupBy(*groups).agg(F.sum("_count").alias("n"), F.min("_before").alias("_first"))
+    placed = summed.join(sizes, list(groups)).withColumn("_rank", F.col("_before") - F.col("_first"))
     at = lambda q: (F.col("n") - 1) * q
-    wanted = F.array_distinct(
-        F.flatten(F.array(*[F.array(F.floor(at(q)) + 1, F.ceil(at(q)) + 1) for q in PROBABILITIES]))
-    )
-    picks = sizes.select(*groups, "n", F.explode(wanted).alias("rank"))
-    found = ranked.join(picks, [*groups, "rank"])
-    take = lambda rank: F.max(F.when(F.col("rank") == rank + 1, F.col(value)))
+    held = lambda rank: (F.col("_rank") <= rank) & (rank < F.col("_rank") + F.col("_count"))
+    take = lambda rank: F.max(F.when(held(rank), F.col(value)))
     spot = lambda q: (
         take(F.floor(at(q))) + (take(F.ceil(at(q))) - take(F.floor(at(q)))) * (F.max(at(q)) - F.max(F.floor(at(q))))
     )
-    return found.groupBy(*groups).agg(F.max("n").alias("n"), *[spot(q).alias(name) for q, name in zip(PROBABILITIES, NAMES)])
+    return placed.groupBy(*groups).agg(F.max("n").alias("n"), *[spot(q).alias(name) for q, name in zip(PROBABILITIES, NAMES)])
 
 
 def quantiles_approx(rows: DataFrame, groups: Sequence[str], value: str = "value", accuracy: int = 10_000) -> DataFrame:
@@ -60,10 +59,14 @@ def quantiles_approx(rows: DataFrame, groups: Sequence[str], value: str = "value
 
 
 def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds the rank of ``value``; equal values share the mean of their ranks."""
-    ranked = number_rows(rows, [F.col(value)], "_r")
-    shared = ranked.groupBy(value).agg(((F.min("_r") + F.max("_r")) / 2).alias(name))
-    return ranked.drop("_r").join(shared, value)
+    """Adds the rank of ``value``; equal values share the mean of their ranks.
+
+    Ranks come from the distinct values; the join back has one row for each on its side.
+    """
+    counted = rows.groupBy(value).agg(F.count("*").alias("_count"))
+    summed = running_totals(counted, [F.col(value)], "_count", "_before")
+    shared = summed.select(value, (F.col("_before") + (F.col("_count") + 1) / 2).alias(name))
+    return rows.join(shared, value)
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:

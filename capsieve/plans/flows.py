@@ -34,15 +34,20 @@ def stage(
     primary: DataFrame,
     secondary: DataFrame,
     failures: DataFrame,
-    previous: DataFrame | None = None,
+    previous: dict[str, DataFrame] | None = None,
     blockers: Sequence[DataFrame] = (),
 ) -> dict[str, DataFrame]:
     """Gate the eligible candidates and plan the publication.
 
     ``candidates`` carry paths and ``duration_seconds``. Alignments and reports are written out, as both
-    are results and inputs of what follows. ``previous`` reports stay where no new one replaces them.
+    are results and inputs of what follows. ``previous`` holds the ``reports`` and ``digests`` of an earlier
+    call: candidates that have a report there and no segments here keep both, and the plan covers them too.
     """
     judged = runs.eligible(candidates, failures)
+    if previous is not None:
+        fresh = primary.select(*KEYS).union(secondary.select(*KEYS)).distinct()
+        unseen = judged.select(*KEYS).join(previous["reports"].select(*KEYS), list(KEYS), "left_anti")
+        judged = judged.join(materialize(fresh.union(unseen).distinct()), list(KEYS), "left_semi")
     ids = judged.select(*KEYS)
     prim, sec = (side.join(ids, list(KEYS), "left_semi") for side in (primary, secondary))
     parts = materialize(captions.caption_parts(prim))
@@ -52,11 +57,13 @@ def stage(
     risk = align.alignment_summary(alignments)
     reports = materialize(quality.quality(judged, prim, sec, risk, staged))
     if previous is not None:
-        reports = runs.merge_stage(previous, reports)
+        kept = previous["digests"].join(ids, list(KEYS), "left_anti")
+        reports, digests = runs.merge_stage(previous["reports"], reports), kept.unionByName(digests)
     summary = runs.stage_summary(reports, candidates, failures)
     broken = runs.check_staged(digests, reports)
     return {
         "captions": parts,
+        "digests": digests,
         "alignments": alignments,
         "reports": reports,
         "summary": summary,

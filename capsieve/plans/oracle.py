@@ -247,9 +247,9 @@ oracle("selection_counts", f"""{CATALOG} select (select count(*) from cands) can
   (select count(*) from conflicts) conflict_video_count, (select count(*) from conflicts) confirmed_excluded_count, (select count(*) from prot) protected_count""")
 oracle("cost_estimates", f"{CATALOG} select path, case when doc_id%6<>0 then cast(ceil(30.0::double+doc_id*0.5::double*0.3::double+length*4096/8388608.0::double) as bigint) end estimate_seconds from vid")
 oracle("engine_terms", """with c as (select distinct conv_id s, 'run'||(conv_id%40) run_id from conversations),
-  x as (select s, 0 pos, 'Lesson' term from c union all select s, 1, run_id from c union all select s, 2, 'T'||(s%150) from c),
-  y as (select lower(term) term_key, first(term order by s, pos) term, min(s*10+pos) place from x group by 1)
-  select term_key, term from y order by place limit 200""")
+  x as (select s, run_id, 0 pos, 'Lesson' term from c union all select s, run_id, 1, run_id from c union all select s, run_id, 2, 'T'||(s%1500) from c union all select s, run_id, 3, 'U'||(s%1700) from c),
+  y as (select run_id, lower(term) term_key, first(term order by s, pos) term, min(s*10+pos) place from x group by 1, 2)
+  select run_id, term_key, term from y qualify row_number() over (partition by run_id order by place) <= 200""")
 
 # --- snapshots -----------------------------------------------------------------------------------
 
@@ -283,11 +283,11 @@ oracle("secondary_clamps", f"""with {PIECES}, k1 as (select *, (start_ms-300) s,
 oracle("primary_clamps", f"""with {PIECES}, k1 as (select *, case when seg_index%5<>0 then least(start_ms, 60000) else 0 end st, case when seg_index%3<>0 then end_ms-case when seg_index%4=0 then 9000 else 0 end end e from pieces),
   k2 as (select *, case when e is null then 60000 else least(60000, greatest(st, e)) end en from k1), k3 as (select *, case when en<=st then least(60000, st+500) else en end en2 from k2)
   select sample_id, seg_index, st start_ms, en2 end_ms, trim(text, {BLANK}) text from k3 where en2>st and trim(text, {BLANK})<>''""")
-DOCS = """with a as (select conv_id c, turn, text, 'D'||conv_id||'-'||turn nm from conversations),
+DOCS = """with a as (select conv_id c, turn, text, 'D'||conv_id//40||'-'||turn nm, 'run'||(conv_id%40) run_id from conversations),
   k as (select *, case when c%11=0 then 'sample_id_mismatch' when c%7=0 then 'source_path_mismatch' when c%5=0 then 'engine_mismatch' else 'accepted' end outcome from a)"""
 oracle("document_identity", f"{DOCS} select outcome, count(*) documents from k group by 1")
-oracle("document_segments", f"""{DOCS}, x as (select nm, turn, string_split(text, chr(10)) ls from k where outcome='accepted'), y as (select nm, turn, ls, unnest(generate_series(0, len(ls)-1)) i from x)
-  select nm sample_id, case when turn%2=0 then 'funasr' else 'faster_whisper' end engine, i seg_index, i*1000 start_ms, i*1000+900 end_ms, ls[i+1] text, -0.5::double avg_logprob from y""")
+oracle("document_segments", f"""{DOCS}, x as (select run_id, nm, turn, string_split(text, chr(10)) ls from k where outcome='accepted'), y as (select run_id, nm, turn, ls, unnest(generate_series(0, len(ls)-1)) i from x)
+  select run_id, nm sample_id, case when turn%2=0 then 'funasr' else 'faster_whisper' end engine, i seg_index, i*1000 start_ms, i*1000+900 end_ms, ls[i+1] text, -0.5::double avg_logprob from y""")
 oracle("raw_result_segments", f"""with c as (select conv_id, turn, trim(text, {BLANK}) t from conversations)
   select conv_id, turn, 0::bigint seg_index, 100::bigint start_ms, 2500::bigint end_ms, t text, null::double confidence from c where conv_id%5=0
   union all select conv_id, turn, 0, 700, 1800, t, 0.25 from c where conv_id%5=2

@@ -127,8 +127,8 @@ def cost_estimates(spark, sf):
 
 @query
 def engine_terms(spark, sf):
-    found = fx.candidates(spark, sf).select("run_id", F.concat_ws("-", F.lit("/v/Lesson"), F.substring("run_id", 1, 6), F.concat(F.lit("T"), (F.col("sample_id") % 150).cast("string"))).alias("stem"), "sample_id")
-    return catalog.terms(found.withColumn("video_path", F.concat("stem", F.lit(".mp4")))).select("term_key", "term")
+    found = fx.candidates(spark, sf).select("run_id", F.concat_ws("-", F.lit("/v/Lesson"), F.substring("run_id", 1, 6), F.concat(F.lit("T"), (F.col("sample_id") % 1500).cast("string")), F.concat(F.lit("U"), (F.col("sample_id") % 1700).cast("string"))).alias("stem"), "sample_id")
+    return catalog.terms(found.withColumn("video_path", F.concat("stem", F.lit(".mp4")))).select("run_id", "term_key", "term")
 
 
 # --- snapshots -----------------------------------------------------------------------------------
@@ -272,6 +272,12 @@ def primary_clamps(spark, sf):
     return transcripts.clamp_primary(raw, F.lit(60.0)).select("sample_id", "seg_index", "start_ms", "end_ms", "text")
 
 
+def _document_name() -> Column:
+    """Numbered per run, so that every run has the same names."""
+    number = F.floor(F.col("conv_id") / fx.RUNS).cast("string")
+    return F.concat(F.lit("D"), number, F.lit("-"), F.col("turn").cast("string"))
+
+
 def _documents(spark, sf):
     """Engine documents whose segments are the lines of a conversation turn."""
     c = F.col("conv_id")
@@ -283,8 +289,9 @@ def _documents(spark, sf):
             F.struct(F.lit(-0.5).alias("avg_logprob"), F.lit(0.1).alias("no_speech_prob"), F.lit(1.5).alias("compression_ratio"), F.lit(None).cast("double").alias("confidence")).alias("metadata"),
         ),
     )
-    name = F.concat(F.lit("D"), c.cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    name = _document_name()
     return fx.table(spark, sf, "conversations").select(
+        fx.run_of(c).alias("run_id"),
         F.when(c % 11 == 0, F.lit("nobody")).otherwise(name).alias("sample_id"),
         F.concat(F.lit("/d/"), name, F.when(c % 7 == 0, ".avi").otherwise(".mp4")).alias("source_path"),
         F.when(c % 5 == 0, F.lit("other")).when(F.col("turn") % 2 == 0, labels.PRIMARY_ENGINE).otherwise(labels.SECONDARY_ENGINE).alias("engine"),
@@ -293,9 +300,9 @@ def _documents(spark, sf):
 
 
 def _document_owners(spark, sf):
-    name = F.concat(F.lit("D"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    name = _document_name()
     return fx.table(spark, sf, "conversations").select(
-        name.alias("sample_id"), F.concat(F.lit("/d/"), name, F.lit(".mp4")).alias("video_path")
+        fx.run_of(F.col("conv_id")).alias("run_id"), name.alias("sample_id"), F.concat(F.lit("/d/"), name, F.lit(".mp4")).alias("video_path")
     )
 
 
@@ -311,8 +318,8 @@ def document_identity(spark, sf):
 
 @query
 def document_segments(spark, sf):
-    rows = transcripts.segment_rows(_checked(spark, sf).filter("rejected_reason IS NULL"), ["sample_id"])
-    return rows.select("sample_id", "engine", "seg_index", "start_ms", "end_ms", "text", "avg_logprob")
+    rows = transcripts.segment_rows(_checked(spark, sf).filter("rejected_reason IS NULL"))
+    return rows.select(*KEYS, "engine", "seg_index", "start_ms", "end_ms", "text", "avg_logprob")
 
 
 def _raw_results(spark, sf):

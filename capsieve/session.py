@@ -15,6 +15,8 @@ SETTINGS = {
     # Split a hot key's partition even where that costs one more shuffle downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rank limits of up to this size act before the shuffle; the text tail needs 1,201 lines of a run.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "2000",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 

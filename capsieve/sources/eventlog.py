@@ -32,15 +32,19 @@ def _member(value: Column) -> Column:
 
 
 def _integer(member: Column) -> Column:
-    """Numbers lose their fraction, text must be a whole number, booleans are 0 and 1."""
+    """Numbers lose their fraction, text must be a whole number, booleans are 0 and 1.
+
+    Numbers outside 64 bits take the nearest bound; beyond 32 digits they are no number, and the line no event.
+    """
     text, kind = member["text"], member["kind"]
-    return (
+    number = (
         F.when(kind == "BOOLEAN", F.when(text == "True", "1").otherwise("0"))
         .when(kind == "STRING", F.nullif(F.regexp_extract(text, r"^\s*([+-]?\d+)\s*$", 1), F.lit("")))
         .otherwise(text)
         .try_cast("decimal(38,6)")
-        .cast("bigint")
     )
+    bound = lambda n: F.lit(n).cast("decimal(38,6)")
+    return F.when(number.isNotNull(), F.least(F.greatest(number, bound(-(2**63))), bound(2**63 - 1)).cast("bigint"))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
@@ -27,11 +28,16 @@ def _open(path: str) -> tuple[FileSystem, str]:
     return FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
 
 
+def _linked(store: FileSystem, path: str) -> bool:
+    return isinstance(store, LocalFileSystem) and os.path.islink(path)
+
+
 def _list_folders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for root, order, folder in zip(frame["root"], frame["root_ord"], frame["path"]):
             store, inner = _open(folder)
-            entries = store.get_file_info(FileSelector(inner))
+            # A linked folder is neither a file nor walked: links can form cycles.
+            entries = [e for e in store.get_file_info(FileSelector(inner)) if e.type != FileType.Directory or not _linked(store, e.path)]
             base = folder[: len(folder) - len(inner)]
             for at in range(0, len(entries), ROWS_PER_BATCH):
                 some = entries[at : at + ROWS_PER_BATCH]

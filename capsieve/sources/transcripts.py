@@ -7,6 +7,7 @@ parsing and indexing need no shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,24 +21,47 @@ MAX_NESTING = 3
 INDEX_BLOCK = 4096
 
 
-def read_engine_outputs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per engine document (one JSON object per file, or per line in compacted files)."""
-    return (
-        spark.read.schema(schemas.ENGINE_OUTPUT)
-        .option("multiLine", "true")
-        .option("recursiveFileLookup", "true")
-        .json(path)
-    )
+def read_engine_outputs(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """Every engine document below ``path``: ``file_path, run_id, readable`` and the document's fields.
+
+    A file holds one JSON object, or one per line when it is compacted. A file of which some line is no object is
+    read as a whole; if that is no object either, it gives one row that isn't readable. ``run_id`` is the folder
+    directly below ``path``, unless it is given.
+    """
 
+    def texts(wholetext: bool = False) -> DataFrame:
+        read = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=wholetext)
+        found = read.select(F.col("_metadata.file_path").alias("file_path"), F.col("value"))
+        return found.withColumn("_object", F.startswith(F.schema_of_variant(strict_json("value")), F.lit("OBJECT")))
+
+    lines = texts().where(strip_space(F.col("value")) != "").withColumn("_object", F.coalesce("_object", F.lit(False)))
+    compacted = lines.groupBy("file_path").agg(F.bool_and("_object").alias("_compacted"))
+    by_line = lines.join(compacted.where("_compacted"), "file_path").select("file_path", "value", F.lit(True).alias("readable"))
+    whole = texts(wholetext=True).join(compacted.where("_compacted"), "file_path", "left_anti")
+    whole = whole.select("file_path", "value", F.coalesce("_object", F.lit(False)).alias("readable"))
+    below = F.substring_index("file_path", quote(path.split("://")[-1].rstrip("/")) + "/", -1)
+    folder = F.when(F.contains(below, F.lit("/")), F.substring_index(below, "/", 1))
+    folder = F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
+    document = F.from_json(F.when(F.col("readable"), F.col("value")), schemas.ENGINE_OUTPUT)
+    rows = by_line.unionByName(whole).select("file_path", (F.lit(run_id) if run_id else folder).alias("run_id"), "readable", document.alias("_d"))
+    return rows.select("file_path", "run_id", "readable", "_d.*")
+
+
+def check_identity(
+    outputs: DataFrame, candidates: DataFrame, engines: Sequence[str], keys: Sequence[str] = ("run_id", "sample_id")
+) -> DataFrame:
+    """Adds ``rejected_reason``: the document must name a known sample of its run, its video and a known engine.
 
-def check_identity(outputs: DataFrame, candidates: DataFrame, engines: Sequence[str]) -> DataFrame:
-    """Adds ``rejected_reason``: the document must name a known sample, its video and a known engine."""
-    known = candidates.select("sample_id", F.col("video_path").alias("_video"))
+    Sample ids are numbered per run, so the run belongs to the key. Each document comes out once.
+    """
+    known = candidates.select(*keys, F.col("video_path").alias("_video"))
+    unreadable = ~F.col("readable") if "readable" in outputs.columns else F.lit(False)
     return (
-        outputs.join(known, "sample_id", "left")
+        outputs.join(known, list(keys), "left")
         .withColumn(
             "rejected_reason",
-            F.when(F.col("_video").isNull(), "sample_id_mismatch")
+            F.when(unreadable, "unreadable")
+            .when(F.col("_video").isNull(), "sample_id_mismatch")
             .when(~F.col("source_path").eqNullSafe(F.col("_video")), "source_path_mismatch")
             .when(~F.coalesce(F.col("engine").isin(*engines), F.lit(False)), "engine_mismatch"),
         )

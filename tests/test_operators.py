@@ -1,7 +1,10 @@
 import json
 import random
 import statistics
+import unicodedata
+from collections import defaultdict
 from difflib import SequenceMatcher
+from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,12 +87,14 @@ def test_conflicts(spark, names, videos, conflicts, left):
 def test_terms(spark, tmp_path):
     (tmp_path / "t.txt").write_text("\ufeff# c\n\nAlpha, beta\r\n机器学习\n", encoding="utf-8")
     listed = files.read_terms(spark, str(tmp_path / "t.txt"))
-    cands = spark.createDataFrame([("1", "/v/Alpha-01.mp4"), ("2", "/v/beta-2.0.mp4"), ("3", "/v/PyTorch-1.mp4")], "sample_id STRING, video_path STRING")
+    cands = spark.createDataFrame([("r", "1", "/v/Alpha-01.mp4"), ("r", "2", "/v/beta-2.0.mp4"), ("r", "3", "/v/PyTorch-1.mp4")], "run_id STRING, sample_id STRING, video_path STRING")
     assert [r.term for r in catalog.terms(cands, listed).collect()] == ["Alpha", "beta", "机器学习", "PyTorch"]
     many = spark.createDataFrame([(i, f"own{i}") for i in range(60)], "position BIGINT, term STRING")
-    extra = spark.createDataFrame([(f"{i:03d}", f"/v/extra{i}.mp4") for i in range(150)], "sample_id STRING, video_path STRING")
-    got = [r.term for r in catalog.terms(extra, many).collect()]
-    assert len(got) == 200 and got[-1] == "extra139"
+    extra = spark.createDataFrame([(run, f"{i:03d}", f"/v/{run}{i}.mp4") for run in ("a", "b") for i in range(150)], "run_id STRING, sample_id STRING, video_path STRING")
+    got = catalog.terms(extra, many).orderBy("run_id", "place").collect()
+    for run in ("a", "b"):  # the limit is a run's own
+        own = [r.term for r in got if r.run_id == run]
+        assert len(own) == 200 and own[0] == "own0" and own[-1] == f"{run}139"
 
 
 def test_exclusions(spark, tmp_path):
@@ -162,8 +167,8 @@ def test_engine_documents(spark, tmp_path):
     doc = {"schema_version": "1.0", "sample_id": "a", "source_path": "/a.mp4", "engine": "funasr", "duration_seconds": 2.5, "segments": [{"start_ms": 0, "end_ms": 9, "text": "x", "metadata": {"avg_logprob": -0.5}}, {"start_ms": 9, "end_ms": 19, "text": "y"}]}
     for i, change in enumerate(({}, {"sample_id": "z"}, {"source_path": "/b.mp4"}, {"engine": "other"})):
         (tmp_path / f"{i}.json").write_text(json.dumps({**doc, **change}, indent=1))
-    cands = spark.createDataFrame([("a", "/a.mp4")], "sample_id STRING, video_path STRING")
-    checked = transcripts.check_identity(transcripts.read_engine_outputs(spark, str(tmp_path)), cands, progress.ENGINES)
+    cands = spark.createDataFrame([("r", "a", "/a.mp4")], "run_id STRING, sample_id STRING, video_path STRING")
+    checked = transcripts.check_identity(transcripts.read_engine_outputs(spark, str(tmp_path), "r"), cands, progress.ENGINES)
     assert sorted(str(r.rejected_reason) for r in checked.collect()) == ["None", "engine_mismatch", "sample_id_mismatch", "source_path_mismatch"]
     rows = transcripts.segment_rows(checked.filter("rejected_reason IS NULL"), ["sample_id"]).orderBy("seg_index").collect()
     assert [(r.seg_index, r.start_ms, r.text, r.avg_logprob) for r in rows] == [(0, 0, "x", -0.5), (1, 9, "y", None)]
@@ -180,18 +185,14 @@ def test_segment_validity(spark):
 # --- alignment -----------------------------------------------------------------------------------
 
 
-def brute_align(prim, sec):
-    from capsieve.functions.text import _compare
-
-    used, rows = set(), []
-    for j, s in enumerate(sec):
-        hits = [i for i, p in enumerate(prim) if min(p[1], s[1]) - max(p[0], s[0]) > 0]
-        used.update(hits)
-        joined = "".join(prim[i][2] for i in hits)
-        a, b = _compare(joined), _compare(s[2])
-        ratio = SequenceMatcher(None, a, b).ratio() if a and b else 0.0
-        rows.append((j, tuple(hits), joined, round(ratio, 6)))
-    return rows, [i for i in range(len(prim)) if i not in used]
+def covered_milliseconds(prim, sec):
+    """Partners by definition: segments that hold one millisecond in common."""
+    holders = defaultdict(set)
+    for i, (a, b, _) in enumerate(prim):
+        for ms in range(a, b):
+            holders[ms].add(i)
+    partners = [sorted(set().union(*(holders[ms] for ms in range(a, b)))) for a, b, _ in sec]
+    return partners, sorted(set(range(len(prim))).difference(*partners))
 
 
 def test_alignment_equals_brute_force(spark):
@@ -204,7 +205,11 @@ def test_alignment_equals_brute_force(spark):
         return sorted(out)
     prim, sec = make(40), make(40)
     p, s = segments(spark, prim), segments(spark, sec)
-    rows, lone = brute_align(prim, sec)
+    partners, lone = covered_milliseconds(prim, sec)
+    texts = ["".join(prim[i][2] for i in found) for found in partners]
+    fold = lambda t: "".join(filter(str.isalnum, unicodedata.normalize("NFKC", t).casefold()))
+    ratios = [SequenceMatcher(None, fold(t), fold(s[2])).ratio() if fold(t) and fold(s[2]) else 0.0 for t, s in zip(texts, sec)]
+    rows = [(j, tuple(found), t, round(r, 6)) for j, (found, t, r) in enumerate(zip(partners, texts, ratios))]
     got = align.align(p, s, width=7_000).collect()
     matched = sorted((r.secondary_index, tuple(r.primary_indexes), r.primary_text, r.similarity_ratio) for r in got if r.secondary_index is not None)
     assert matched == rows
@@ -243,9 +248,8 @@ def test_parts_join_and_hash_to_the_whole(spark):
     one = {r.sample_id: bytes(r.caption) for r in captions.whole_captions(captions.caption_parts(segs)).collect()}
     parts = captions.caption_parts(segs, part_ms=20_000)
     assert {r.sample_id: bytes(r.caption) for r in captions.whole_captions(parts).collect()} == one
-    for limit in (0, 1 << 20):
-        got = {r.sample_id: (r.caption_size, r.caption_sha256) for r in captions.caption_digests(parts, native_bytes=limit).collect()}
-        assert got == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in one.items()}
+    got = {r.sample_id: (r.caption_size, r.caption_sha256) for r in captions.caption_digests(parts).collect()}
+    assert got == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in one.items()}
     checked = {r.sample_id: r for r in captions.validate_captions(captions.whole_captions(parts)).drop("caption").collect()}
     straight = {r.sample_id: r for r in captions.block_metrics(segs).collect()}
     for k, r in straight.items():
@@ -337,11 +341,8 @@ def test_duplicate_runs_any_block_size(spark):
         df, want = None, {}
         for k in range(6):
             texts = [rng.choice(["a", "A!", "b", "…"]) for _ in range(rng.randint(1, 30))]
-            longest, run, prev = 1, 1, ""
-            for t in (x.lower().strip("!…") for x in texts):
-                run = run + 1 if t and t == prev else 1
-                longest, prev = max(longest, run), t
-            want[f"k{k}"] = longest
+            lines = groupby(x.lower().strip("!…") for x in texts)
+            want[f"k{k}"] = max(len(list(same)) if line else 1 for line, same in lines)
             part = segments(spark, [(i, i + 1, t) for i, t in enumerate(texts)], f"k{k}")
             df = part if df is None else df.unionByName(part)
         got = {r.sample_id: r.longest_duplicate_run for r in quality.longest_duplicate_run(df, block=block).collect()}
@@ -521,3 +522,67 @@ def test_quantiles_and_ranks(spark):
     secs = spark.createDataFrame([(s,) for s in (59.9, 60.0, 300.0, 1200.0, 10_800.0, 10_801.0)], "s DOUBLE")
     assert [r.b for r in secs.select(profile.length_bucket(F.col("s")).alias("b")).collect()] == ["under_1m", "1m_to_5m", "1m_to_5m", "5m_to_20m", "20m_to_3h", "over_3h"]
     assert isinstance(pd.__version__, str)
+
+
+# --- engine documents and incremental staging ----------------------------------------------------
+
+
+def test_every_document_of_a_file_and_of_each_run(spark, tmp_path):
+    doc = {"sample_id": "a", "source_path": "/a.mp4", "engine": "funasr", "segments": [{"start_ms": 0, "end_ms": 9, "text": "x"}]}
+    for run in ("r 1", "r2"):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "lines.json").write_text("\n".join(json.dumps({**doc, "sample_id": s}) for s in "abc") + "\n\n")
+    (tmp_path / "r2" / "deep").mkdir()
+    (tmp_path / "r2" / "deep" / "whole.json").write_text(json.dumps({**doc, "sample_id": "d"}, indent=2))
+    (tmp_path / "r2" / "bad.json").write_text('{"sample_id": "a"')
+    read = transcripts.read_engine_outputs(spark, str(tmp_path))
+    assert sorted((r.run_id, r.sample_id or "") for r in read.collect()) == [*(("r 1", s) for s in "abc"), ("r2", ""), *(("r2", s) for s in "abcd")]
+    cands = spark.createDataFrame([(run, s, "/a.mp4") for run in ("r 1", "r2") for s in "abd"], "run_id STRING, sample_id STRING, video_path STRING")
+    checked = transcripts.check_identity(read, cands, progress.ENGINES)
+    bad = sorted((r.run_id, r.rejected_reason) for r in checked.collect() if r.rejected_reason)
+    assert bad == [("r 1", "sample_id_mismatch"), ("r2", "sample_id_mismatch"), ("r2", "unreadable")]
+    assert transcripts.segment_rows(checked.filter("rejected_reason IS NULL")).count() == 5
+
+
+def test_staging_in_two_steps(spark):
+    from capsieve.plans import flows
+
+    extra = ", avg_logprob DOUBLE, no_speech_prob DOUBLE"
+    one, two = (segments(spark, spread(varied(30, 5)), s, extra) for s in ("a", "b"))
+    cands = spark.createDataFrame([("r", s, f"/{s}.mp4", f"/{s}.txt", 60.0) for s in "ab"], "run_id STRING, sample_id STRING, video_path STRING, target_path STRING, duration_seconds DOUBLE")
+    none = spark.createDataFrame([], "run_id STRING, sample_id STRING")
+    first = flows.stage(cands.filter("sample_id = 'a'"), one, one, none)
+    later = flows.stage(cands, two, two, none, previous=first)
+    assert {r.sample_id: (r.passed, list(r.errors)) for r in later["reports"].collect()} == {"a": (True, []), "b": (True, [])}
+    assert sorted(r.sample_id for r in later["entries"].collect()) == ["a", "b"]
+    narrow = flows.stage(cands.filter("sample_id = 'b'"), two, two, none, previous={k: first[k].limit(0) for k in ("reports", "digests")})
+    assert [r.sample_id for r in narrow["entries"].collect()] == ["b"]
+
+
+def test_bad_numbers_end_no_job(spark):
+    huge = [event("progress", engine="funasr", index=n, total=3, video_path="/v") for n in (10**19, -(10**19), 10**40, 2)]
+    got = eventlog.events(log(spark, huge)).orderBy("line_no").collect()
+    assert [r["index"] for r in got] == [2**63 - 1, -(2**63), 2]
+
+
+def test_linked_folders_are_not_walked(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "v.mp4").write_bytes(b"1")
+    (tmp_path / "a" / "loop").symlink_to(tmp_path, target_is_directory=True)
+    (tmp_path / "a" / "w.mp4").symlink_to(tmp_path / "a" / "v.mp4")
+    assert sorted(r.path.rsplit("/", 1)[1] for r in files.list_files(spark, [str(tmp_path)]).collect()) == ["v.mp4", "w.mp4"]
+
+
+def test_rank_limit_acts_before_the_shuffle(spark):
+    from capsieve.session import tune
+
+    plan = progress.output_tail(log(tune(spark), ["x"] * 5))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_quantiles_of_equal_values_stay_spread(spark):
+    rows = spark.range(4000).select(F.lit("m").alias("metric"), F.when(F.col("id") < 3990, 1.0).otherwise(F.col("id").cast("double")).alias("value"))
+    got = profile.quantiles(rows, ["metric"]).first()
+    assert (got.n, got.min, got.p50, got.p90, got.max) == (4000, 1.0, 1.0, 1.0, 3999.0)
+    ranks = profile.average_ranks(rows, "value", "r").groupBy("value").agg(F.max("r").alias("r")).orderBy("value").collect()
+    assert [r.r for r in ranks][:2] == [1995.5, 3991.0]
