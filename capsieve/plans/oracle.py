@@ -289,12 +289,12 @@ oracle("document_identity", f"{DOCS} select outcome, count(*) documents from k g
 oracle("document_segments", f"""{DOCS}, x as (select run_id, nm, turn, string_split(text, chr(10)) ls from k where outcome='accepted'), y as (select run_id, nm, turn, ls, unnest(generate_series(0, len(ls)-1)) i from x)
   select run_id, nm sample_id, case when turn%2=0 then 'funasr' else 'faster_whisper' end engine, i seg_index, i*1000 start_ms, i*1000+900 end_ms, ls[i+1] text, -0.5::double avg_logprob from y""")
 oracle("raw_result_segments", f"""with c as (select conv_id, turn, trim(text, {BLANK}) t from conversations)
-  select conv_id, turn, 0::bigint seg_index, 100::bigint start_ms, 2500::bigint end_ms, t text, null::double confidence from c where conv_id%5=0
+  select conv_id, turn, 0::bigint seg_index, 100::bigint start_ms, 2500::bigint end_ms, t text, null::double confidence from c where conv_id%5 in (0,3)
   union all select conv_id, turn, 0, 700, 1800, t, 0.25 from c where conv_id%5=2
   union all select conv_id, turn, 1, 700, 1800, t, 0.25 from c where conv_id%5=0
   union all select conv_id, turn, 0, 3000, 3500, t, null from c where conv_id%5=1
   union all select conv_id, turn, 1, 4000, 4400, 'second', null from c where conv_id%5=1""")
-oracle("raw_result_rejects", "select conv_id, turn, case when conv_id%5=3 then 'too_deep' else 'no_segments' end rejected_reason from conversations where conv_id%5 in (3,4)")
+oracle("raw_result_rejects", "select conv_id, turn, 'no_segments' rejected_reason from conversations where conv_id%5=4")
 oracle("segment_validity", f"with {PIECES}, {DAMAGED} select *, case when segment_count=0 then 'no_segments' when first_bad_index is not null then 'invalid_segment' end invalid_reason from verdict")
 oracle("segment_order", f"with {PIECES} select sample_id, start_ms, end_ms, row_number() over (partition by sample_id order by start_ms, end_ms, 10000-seg_index)-1 seg_index from prim")
 

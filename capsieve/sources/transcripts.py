@@ -6,18 +6,22 @@ parsing and indexing need no shuffle.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from urllib.parse import quote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from capsieve import schemas
 from capsieve.functions.binding import let, strict_json
 from capsieve.functions.text import is_blank, strip_space
 from capsieve.operators.ordering import lag_in_blocks, number_in_groups
 
-MAX_NESTING = 3
+#: List levels that are flattened natively; rows with more of them go through Python, whatever their depth.
+NATIVE_NESTING = 3
 INDEX_BLOCK = 4096
 
 
@@ -238,23 +242,48 @@ def _flatten_once(items: Column) -> Column:
     return F.flatten(F.transform(items, lambda x: F.coalesce(_items(x), F.array(x))))
 
 
+@F.pandas_udf(T.StringType())
+def _flat_json(raw: pd.Series) -> pd.Series:
+    """JSON documents with all their nested lists as one list; null stays null."""
+
+    def flat(text: str | None) -> str | None:
+        if text is None:
+            return None
+        out, rest = [], [json.loads(text)]
+        while rest:
+            item = rest.pop()
+            if isinstance(item, list):
+                rest.extend(reversed(item))
+            else:
+                out.append(item)
+        return json.dumps(out)
+
+    return raw.map(flat, na_action="ignore")
+
+
 def normalize_primary(
     raw: DataFrame, keys: Sequence[str] = ("run_id", "sample_id")
 ) -> tuple[DataFrame, DataFrame]:
     """Raw result JSON (``keys, raw, duration_seconds``) to (segments, rejects).
 
     Children in ``sentence_info`` replace their parent when at least one is valid. Segments are
-    indexed by (start, end), ties in document order. Rejects: invalid or too deeply nested documents,
-    and documents without a valid segment.
+    indexed by (start, end), ties in document order; lists may be nested to any depth. Rejects: invalid
+    documents, and documents without a valid segment.
     """
     duration_ms = F.col("duration_seconds") * 1000.0
     level = "level_0"
     staged = raw.withColumn("doc", strict_json(F.col("raw"))).withColumn(
         level, F.coalesce(_items(F.col("doc")), F.array("doc"))
     )
-    for depth in range(MAX_NESTING):
+    for depth in range(NATIVE_NESTING):
         level = f"level_{depth + 1}"
         staged = staged.withColumn(level, _flatten_once(F.col(f"level_{depth}")))
+    deep = F.exists(level, lambda x: _items(x).isNotNull())
+    flat = _flat_json(F.when(deep, F.col("raw")))
+    staged = staged.withColumn("_flat", flat).withColumn(
+        "level_all", F.when(F.col("_flat").isNotNull(), _items(strict_json(F.col("_flat")))).otherwise(F.col(level))
+    )
+    level = "level_all"
     members = F.filter(F.transform(level, _members), lambda m: m.isNotNull())
 
     def chosen(item: Column) -> Column:
@@ -278,7 +307,6 @@ def normalize_primary(
         .withColumn(
             "rejected_reason",
             F.when(F.col("doc").isNull(), "invalid_json")
-            .when(F.exists(level, lambda x: _items(x).isNotNull()), "too_deep")
             .when(F.size("segments") == 0, "no_segments"),
         )
     )

@@ -147,7 +147,7 @@ def test_raw_results(spark):
         "short": [{"text": "s", "start": 400, "end": 400}, {"text": "late", "start": 99999}],
         "numbers": [{"text": None, "value": 7, "start": True, "end": "1e2"}],
     }
-    rows = spark.createDataFrame([("r", k, json.dumps(v), 1.0) for k, v in docs.items()] + [("r", "bad", "{", 1.0), ("r", "deep", "[[[[[{}]]]]]", 1.0), ("r", "none", "[]", 1.0)], "run_id STRING, sample_id STRING, raw STRING, duration_seconds DOUBLE")
+    rows = spark.createDataFrame([("r", k, json.dumps(v), 1.0) for k, v in docs.items()] + [("r", "bad", "{", 1.0), ("r", "deep", "[[[[[{}]]]]]", 1.0), ("r", "none", "[]", 1.0), ("r", "forty", "[" * 40 + '{"text": "x", "start": 1, "end": 2.5}, [3, {"text": "y"}]' + "]" * 40, 1.0)], "run_id STRING, sample_id STRING, raw STRING, duration_seconds DOUBLE")
     good, bad = transcripts.normalize_primary(rows)
     got = {}
     for r in good.orderBy("sample_id", "seg_index").collect():
@@ -159,8 +159,9 @@ def test_raw_results(spark):
         "explicit null": [(0, 1000, "n", None)],
         "short": [(400, 900, "s", None)],
         "numbers": [(0, 100, "7", None)],
+        "forty": [(0, 1000, "y", None), (1, 2, "x", None)],
     }
-    assert {r.sample_id: r.rejected_reason for r in bad.collect()} == {"bad": "invalid_json", "deep": "too_deep", "none": "no_segments"}
+    assert {r.sample_id: r.rejected_reason for r in bad.collect()} == {"bad": "invalid_json", "deep": "no_segments", "none": "no_segments"}
 
 
 def test_engine_documents(spark, tmp_path):
