@@ -2,9 +2,21 @@
 
 from __future__ import annotations
 
-from capsieve.functions.labels import PHASE_LABELS, PHASES, STATUS_LABELS
-from capsieve.functions.paths import VIDEO_SUFFIXES
-from capsieve.functions.text import DROPPED_MARKS
+# Fixed values, written out here so that a wrong list in the package shows.
+PHASES = ("setup", "audio_extract", "fingerprint", "funasr", "faster_whisper", "quality_gate", "writeback", "verify")
+PHASE_LABELS = {
+    "audio_extract": "音频提取", "fingerprint": "视频完整性校验", "funasr": "FunASR 转写", "faster_whisper": "faster-whisper 转写",
+    "quality_gate": "质量门禁", "writeback": "写回", "verify": "写回",
+}
+STATUS_LABELS = {
+    "prepared": "已准备", "running": "运行中", "staged_all": "已暂存（全部候选）", "staged_partial": "已暂存（部分候选）",
+    "committed": "已完成", "unknown": "未知",
+}
+VIDEO_SUFFIXES = (
+    ".mp4", ".mkv", ".avi", ".mov", ".wmv", ".flv", ".webm", ".m4v", ".ts", ".m2ts", ".mts", ".ogv", ".mpg", ".mpeg", ".3gp",
+    ".rmvb", ".rm", ".vob", ".asf", ".f4v", ".divx",
+)
+DROPPED_MARKS = "，。！？；：、…“”‘’《》【】,.!?;:"
 
 ORACLE: dict[str, str] = {}
 
@@ -112,6 +124,14 @@ align as (select run_id, sample_id, secondary_index, primary_indexes, start_ms,
   union all select run_id, sample_id, null, cast(seg_index as varchar), start_ms, end_ms, text, '', array_to_string({tokens('text')},'|'), true, 'keep_primary_missing_secondary' from lone),
 risk as (select run_id, sample_id, count(*) alignment_count, count(*) filter (where high_risk) high_risk_count from align group by 1,2)"""
 
+
+def whole(sql: str) -> str:
+    """The same over all pieces: the gaps in the primary side matter only beside the other engine."""
+    return sql.replace("prim as (select * from pieces where seg_index%7<>5)", "prim as (select * from pieces)")
+
+
+WHOLE = whole(PIECES)
+
 CAPTIONS = f"""
 blocks as (select * from (select run_id, sample_id, seg_index, start_ms, end_ms, greatest(0, start_ms//1000) sec, {norm('text')} caption from prim) where caption<>''),
 caps as (select run_id, sample_id, string_agg({hms('sec')}||{CRLF}||caption||{CRLF}, {CRLF} order by start_ms, end_ms, seg_index) caption from blocks group by 1,2),
@@ -296,7 +316,7 @@ oracle("raw_result_segments", f"""with c as (select conv_id, turn, trim(text, {B
   union all select conv_id, turn, 1, 4000, 4400, 'second', null from c where conv_id%5=1""")
 oracle("raw_result_rejects", "select conv_id, turn, 'no_segments' rejected_reason from conversations where conv_id%5=4")
 oracle("segment_validity", f"with {PIECES}, {DAMAGED} select *, case when segment_count=0 then 'no_segments' when first_bad_index is not null then 'invalid_segment' end invalid_reason from verdict")
-oracle("segment_order", f"with {PIECES} select sample_id, start_ms, end_ms, row_number() over (partition by sample_id order by start_ms, end_ms, 10000-seg_index)-1 seg_index from prim")
+oracle("segment_order", f"with {WHOLE} select sample_id, start_ms, end_ms, row_number() over (partition by sample_id order by start_ms, end_ms, 10000-seg_index)-1 seg_index from prim")
 
 # --- alignment -----------------------------------------------------------------------------------
 
@@ -310,17 +330,17 @@ oracle("risky_candidates", f"""with {PIECES}, {ALIGN} select run_id, sample_id,
 
 # --- captions and quality ------------------------------------------------------------------------
 
-oracle("caption_blocks", f"with {PIECES}, {CAPTIONS} select run_id, sample_id, seg_index, {hms('sec')} timecode, caption from blocks")
-oracle("rendered_captions", f"with {PIECES}, {CAPTIONS} select run_id, sample_id, caption from caps")
-oracle("caption_digests", f"with {PIECES}, {CAPTIONS}, parts as (select sample_id, count(distinct start_ms//60000) part_count from blocks group by 1) select d.run_id, d.sample_id, p.part_count, d.caption_size, d.caption_sha256 from digests d join parts p using (sample_id)")
-oracle("caption_metrics", f"with {PIECES}, {CAPTIONS} select * from metrics")
-oracle("caption_checks", f"""with {PIECES}, {CAPTIONS}, k as (select *, {pick(('ok', 'encoding', 'bare_newline', 'no_final_newline', 'incomplete_block', 'invalid_block', 'missing_blank_line', 'not_monotonic', 'ok'), 'sample_id%9+1')} code from metrics)
+oracle("caption_blocks", f"with {WHOLE}, {CAPTIONS} select run_id, sample_id, seg_index, {hms('sec')} timecode, caption from blocks")
+oracle("rendered_captions", f"with {WHOLE}, {CAPTIONS} select run_id, sample_id, caption from caps")
+oracle("caption_digests", f"with {WHOLE}, {CAPTIONS}, parts as (select sample_id, count(distinct start_ms//60000) part_count from blocks group by 1) select d.run_id, d.sample_id, p.part_count, d.caption_size, d.caption_sha256 from digests d join parts p using (sample_id)")
+oracle("caption_metrics", f"with {WHOLE}, {CAPTIONS} select * from metrics")
+oracle("caption_checks", f"""with {WHOLE}, {CAPTIONS}, k as (select *, {pick(('ok', 'encoding', 'bare_newline', 'no_final_newline', 'incomplete_block', 'invalid_block', 'missing_blank_line', 'not_monotonic', 'ok'), 'sample_id%9+1')} code from metrics)
   select run_id, sample_id, nullif(code,'ok') format_code, case when code='ok' then segment_count else 0 end segment_count, case when code='ok' then median_text_chars else 0 end median_text_chars,
   case when code='ok' then max_text_chars else 0 end max_text_chars, case when code='ok' then median_gap_seconds else 0 end median_gap_seconds,
   case when code='ok' then first_timestamp else '' end first_timestamp, case when code='ok' then last_timestamp else '' end last_timestamp from k""")
 oracle("confidence", f"with {PIECES} select run_id, sample_id, round(avg(avg_logprob),6) avg_logprob_mean, min(avg_logprob) avg_logprob_min, max(no_speech_prob) no_speech_prob_max, count(*) checked_segments from sec group by 1,2")
 oracle("text_lengths", f"{ALL} select * from lengths")
-oracle("duplicate_runs", f"{ALL} select * from dups")
+oracle("duplicate_runs", f"{whole(ALL)} select * from dups")
 oracle("quality_gate", f"""{ALL} select run_id, sample_id, passed, warning_count, high_risk_count, primary_segments, secondary_segments, longest_duplicate_run, text_density, text_length_ratio,
   median_text_chars, array_to_string(errs,'|') errors, array_to_string(warns,'|') warnings from rep""")
 oracle("quality_reports", f"""{ALL} select r.run_id, r.sample_id, r.passed, r.warning_count, d.caption_size, d.caption_sha256, m.segment_count caption_count, m.median_text_chars, m.max_text_chars,

@@ -359,7 +359,7 @@ def segment_validity(spark, sf):
 
 @query
 def segment_order(spark, sf):
-    shuffled = fx.primary(spark, sf).select(
+    shuffled = fx.pieces(spark, sf).select(
         "sample_id", "start_ms", "end_ms", (F.lit(10_000) - F.col("seg_index")).alias("raw_pos")
     )
     return transcripts.index_segments(shuffled, ["sample_id"]).select("sample_id", "start_ms", "end_ms", "seg_index")
@@ -430,23 +430,23 @@ def risky_candidates(spark, sf):
 
 @query
 def caption_blocks(spark, sf):
-    return captions.caption_blocks(fx.primary(spark, sf)).select(*KEYS, "seg_index", "timecode", "caption")
+    return captions.caption_blocks(fx.pieces(spark, sf)).select(*KEYS, "seg_index", "timecode", "caption")
 
 
 @query
 def rendered_captions(spark, sf):
-    whole = captions.whole_captions(captions.caption_parts(fx.primary(spark, sf)))
+    whole = captions.whole_captions(captions.caption_parts(fx.pieces(spark, sf)))
     return whole.select(*KEYS, F.col("caption").cast("string").alias("caption"))
 
 
 @query
 def caption_digests(spark, sf):
-    return captions.caption_digests(captions.caption_parts(fx.primary(spark, sf), part_ms=60_000))
+    return captions.caption_digests(captions.caption_parts(fx.pieces(spark, sf), part_ms=60_000))
 
 
 @query
 def caption_metrics(spark, sf):
-    return captions.block_metrics(fx.primary(spark, sf))
+    return captions.block_metrics(fx.pieces(spark, sf))
 
 
 @query
@@ -463,7 +463,7 @@ def caption_checks(spark, sf):
         .when(s % 9 == 7, F.encode(F.concat(F.lit("99:59:59\r\nx\r\n\r\n"), c), "UTF-8"))
         .otherwise(F.col("caption"))
     )
-    whole = captions.whole_captions(captions.caption_parts(fx.primary(spark, sf)))
+    whole = captions.whole_captions(captions.caption_parts(fx.pieces(spark, sf)))
     return captions.validate_captions(whole.withColumn("caption", broken)).drop("caption")
 
 
@@ -481,7 +481,7 @@ def text_lengths(spark, sf):
 
 @query
 def duplicate_runs(spark, sf):
-    return quality.longest_duplicate_run(fx.primary(spark, sf), block=16)
+    return quality.longest_duplicate_run(fx.pieces(spark, sf), block=16)
 
 
 def _quality(spark, sf, with_ratio=False):
