@@ -437,3 +437,9 @@ oracle("failure_reports", f"""{LINES}, {LAST}, out as (select run_id, right(trim
     when contains(tail,'engine=faster-whisper') or contains(tail,'faster-whisper') then 'faster-whisper 转写' when contains(tail,'扫描') then '扫描' else 'fallback' end stage,
   coalesce(error_reason, tail) reason, error_file as file, case when error_reason is not null then run_dir end run_dir,
   case when error_reason is not null then done_count end done_count, case when error_reason is not null then total_count end total_count from out o left join last l using (run_id)""")
+
+# --- streams give what the batch gives -----------------------------------------------------------
+
+for stream, batch in (("streamed_events", "parsed_events"), ("streamed_progress", "run_progress"), ("streamed_status", "last_events")):
+    oracle(stream, ORACLE[batch])
+oracle("streamed_failures", f"select distinct run_id, sample_id from ({ORACLE['parsed_events']}) where event='candidate_failed'")

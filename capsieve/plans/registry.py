@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from capsieve.functions import labels, paths, text, timecode
 from capsieve.operators import align, captions, catalog, profile, progress, quality, runs, snapshot
 from capsieve.plans import fixtures as fx
+from capsieve.session import shared_dir
 from capsieve.sources import eventlog, transcripts
+from capsieve.streaming import progress as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -757,14 +760,16 @@ def run_progress(spark, sf):
     return progress.progress(eventlog.events(fx.event_lines(spark, sf)), fx.progress_totals(spark, sf))
 
 
+_STATUS = (
+    "run_id", "last_error.reason AS error_reason", "last_error.phase AS error_phase", "last_run_dir.path AS run_dir",
+    "last_progress.index AS done_count", "last_progress.total AS total_count", "done",
+)
+
+
 @query
 def last_events(spark, sf):
     rows = progress.last_events(eventlog.events(fx.event_lines(spark, sf)))
-    return rows.select(
-        "run_id", F.col("last_error.reason").alias("error_reason"), F.col("last_error.phase").alias("error_phase"),
-        F.col("last_run_dir.path").alias("run_dir"), F.col("last_progress.index").alias("done_count"),
-        F.col("last_progress.total").alias("total_count"), "done",
-    )
+    return rows.selectExpr(*_STATUS)
 
 
 @query
@@ -776,3 +781,38 @@ def failure_reports(spark, sf):
 @query
 def transfer_progress(spark, sf):
     return progress.transfer_progress(fx.transfer_lines(spark, sf), fx.transfer_plans(spark, sf))
+
+
+# --- event log as a stream -----------------------------------------------------------------------
+
+
+def _live(spark, sf):
+    """A stream of the event lines, and a folder for what it gives."""
+    folder = f"{shared_dir(spark)}/capsieve-stream-{uuid.uuid4().hex}"
+    lines = fx.event_lines(spark, sf)
+    lines.write.parquet(f"{folder}/lines")
+    return live.route(live.read_lines(spark, f"{folder}/lines", lines.schema, max_files=8)), f"{folder}/out"
+
+
+@query
+def streamed_events(spark, sf):
+    stream, out = _live(spark, sf)
+    return live.drain(stream, out)
+
+
+@query
+def streamed_progress(spark, sf):
+    stream, out = _live(spark, sf)
+    return live.fold_steps(live.drain(live.progress_steps(stream), out), fx.progress_totals(spark, sf))
+
+
+@query
+def streamed_status(spark, sf):
+    stream, out = _live(spark, sf)
+    return live.newest(live.drain(live.latest_status(stream), out, "update")).selectExpr(*_STATUS)
+
+
+@query
+def streamed_failures(spark, sf):
+    stream, out = _live(spark, sf)
+    return live.drain(live.failed_candidates(stream), out).select("run_id", "sample_id")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import StructType
 
 from capsieve.operators.progress import ENGINES, derive_progress, last_events
 from capsieve.sources.eventlog import events
@@ -14,12 +15,35 @@ from capsieve.sources.eventlog import events
 LINES = "run_id STRING, line_no BIGINT, value STRING"
 
 
-def read_lines(spark: SparkSession, path: str, schema: str = LINES, max_files: int | None = None) -> DataFrame:
-    """Event lines that producers drop as JSON or Parquet files into a folder."""
-    reader = spark.readStream.schema(schema)
+def read_lines(
+    spark: SparkSession, path: str, schema: str | StructType = LINES, max_files: int | None = None, kind: str = "parquet"
+) -> DataFrame:
+    """Event lines that producers drop into a folder, as Parquet or JSON files of ``schema``."""
+    reader = spark.readStream.schema(schema).format(kind)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+    return reader.load(path)
+
+
+def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what its source holds now; its rows as a table below ``path``.
+
+    In append mode batches are kept side by side; in update mode and complete mode each batch is a folder of its own,
+    and ``batch`` tells which.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+    if mode == "append":
+        run = writer.format("parquet").option("path", f"{path}/rows").start()
+    else:
+        run = writer.foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.parquet(f"{path}/rows")
+
+
+def newest(rows: DataFrame, run: str = "run_id") -> DataFrame:
+    """The last row of each run among the batches of an update stream."""
+    every = F.struct(*[c for c in rows.columns if c != "batch"])
+    return rows.groupBy(run).agg(F.max_by(every, "batch").alias("_r")).select("_r.*")
 
 
 def route(lines: DataFrame) -> DataFrame:

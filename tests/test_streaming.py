@@ -6,13 +6,6 @@ from capsieve.sources.eventlog import events
 from capsieve.streaming import progress as live
 
 
-def run_stream(spark, df, name, mode):
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).start()
-    q.processAllAvailable()
-    q.stop()
-    return spark.table(name)
-
-
 def inputs(spark, sf, tmp_path):
     lines = fx.event_lines(spark, sf).select(F.col("run_id").cast("string").alias("run_id"), "line_no", "value")
     folder = str(tmp_path / "log")
@@ -31,14 +24,14 @@ def test_progress_stream_equals_batch(spark, sf, tmp_path):
     steps = spark.read.parquet(table)
     want = sorted(map(tuple, progress(events(lines), totals).collect()))
     assert sorted(map(tuple, live.fold_steps(steps, totals).collect())) == want
-    counted = run_stream(spark, live.run_progress(stream), "counted", "complete")
+    counted = live.newest(live.drain(live.run_progress(stream), str(tmp_path / "counted"), "update"))
     assert {r.run_id: r.steps for r in counted.collect()} == {r[0]: r[2] for r in want if r[2]}
 
 
 def test_status_and_failures_equal_batch(spark, sf, tmp_path):
     lines, stream = inputs(spark, sf, tmp_path)
-    status = run_stream(spark, live.latest_status(stream), "status", "complete")
+    status = live.newest(live.drain(live.latest_status(stream), str(tmp_path / "status"), "update"))
     assert sorted(map(str, status.collect())) == sorted(map(str, last_events(events(lines)).collect()))
-    failed = run_stream(spark, live.failed_candidates(stream), "failed", "append")
+    failed = live.drain(live.failed_candidates(stream), str(tmp_path / "failed"))
     batch = events(lines).filter("event = 'candidate_failed'").select("run_id", "sample_id").distinct()
     assert sorted(map(tuple, failed.select("run_id", "sample_id").collect())) == sorted(map(tuple, batch.collect()))
