@@ -125,6 +125,32 @@ align as (select run_id, sample_id, secondary_index, primary_indexes, start_ms,
 risk as (select run_id, sample_id, count(*) alignment_count, count(*) filter (where high_risk) high_risk_count from align group by 1,2)"""
 
 
+
+def longest(x: str, y: str) -> str:
+    """The longest common block of two texts, of equal ones the first in x, then the first in y: (l, i, j) from 1."""
+    found = (
+        f"list_max(flatten(list_transform(range(1, length({x})+1), lambda i: list_transform(range(1, length({x})-i+2), "
+        f"lambda l: {{'l': case when instr({y}, substr({x}, i, l))>0 then l else 0 end, 'back': -i}}))))"
+    )
+    return f"list_transform([{found}], lambda m: {{'l': m.l, 'i': -m.back, 'j': instr({y}, substr({x}, -m.back, m.l))}})[1]"
+
+
+# The ratio by its definition: twice the characters in common blocks over all characters; the longest block first, then
+# the same left and right of it. Texts of 200 characters or more would need the rule for popular characters.
+RATIOS = f"""{ALIGN[:ALIGN.index("align as (")]}
+folded as (select *, {cmp('primary_text')} fa, {cmp('secondary_text')} fb from mism),
+work as (select fa, fb, fa x, fb y, {longest('fa', 'fb')} t from (select distinct fa, fb from folded where fa<>'' and fb<>'' and fa<>fb)
+  union all select fa, fb, c.x, c.y, {longest('c.x', 'c.y')} from (select fa, fb, unnest([{{'x': substr(x, 1, t.i-1), 'y': substr(y, 1, t.j-1)}},
+    {{'x': substr(x, t.i+t.l), 'y': substr(y, t.j+t.l)}}]) c from work where t.l>0) where c.x<>'' and c.y<>''),
+shared as (select fa, fb, sum(t.l) common from work group by 1,2),
+ratio as (select f.*, case when f.fa='' or f.fb='' then 0.0::double when f.fa=f.fb then 1.0::double else 2.0::double*common/(length(f.fa)+length(f.fb)) end r
+  from folded f left join shared s on s.fa=f.fa and s.fb=f.fb),
+align as (select run_id, sample_id, secondary_index, primary_indexes, start_ms, end_ms, primary_text, secondary_text, round_even(r, 6) similarity_ratio,
+  array_to_string(mm,'|') token_mismatch, primary_indexes='' or len(mm)>0 or r<0.6 high_risk, 'keep_primary_review_secondary' decision from ratio
+  union all select run_id, sample_id, null, cast(seg_index as varchar), start_ms, end_ms, text, '', 0.0::double, array_to_string({tokens('text')},'|'), true, 'keep_primary_missing_secondary' from lone),
+risk as (select run_id, sample_id, count(*) alignment_count, count(*) filter (where high_risk) high_risk_count, median(similarity_ratio) median_similarity_ratio from align group by 1,2)"""
+
+
 def whole(sql: str) -> str:
     """The same over all pieces: the gaps in the primary side matter only beside the other engine."""
     return sql.replace("prim as (select * from pieces where seg_index%7<>5)", "prim as (select * from pieces)")
@@ -324,6 +350,8 @@ oracle("overlap_pairs", f"with {PIECES}, {ALIGN} select run_id, sample_id, secon
 oracle("matched_text", f"with {PIECES}, {ALIGN} select run_id, sample_id, secondary_index, start_ms, end_ms, secondary_text, primary_text, primary_indexes from matched")
 oracle("unmatched_primary", f"with {PIECES}, {ALIGN} select run_id, sample_id, seg_index, start_ms, end_ms, text from lone")
 oracle("alignment_tokens", f"with {PIECES}, {ALIGN} select * from align")
+oracle("alignment_ratios", f"with recursive {PIECES}, {RATIOS} select * from align")
+oracle("alignment_medians", f"with recursive {PIECES}, {RATIOS} select * from risk")
 oracle("alignment_counts", f"with {PIECES}, {ALIGN} select * from risk")
 oracle("risky_candidates", f"""with {PIECES}, {ALIGN} select run_id, sample_id, count(*) high_risk_count, min(start_ms) first_risk_ms, count(*) filter (where token_mismatch<>'') token_mismatch_count
   from align where high_risk group by 1,2""")
@@ -343,6 +371,9 @@ oracle("text_lengths", f"{ALL} select * from lengths")
 oracle("duplicate_runs", f"{whole(ALL)} select * from dups")
 oracle("quality_gate", f"""{ALL} select run_id, sample_id, passed, warning_count, high_risk_count, primary_segments, secondary_segments, longest_duplicate_run, text_density, text_length_ratio,
   median_text_chars, array_to_string(errs,'|') errors, array_to_string(warns,'|') warnings from rep""")
+oracle("quality_gate_ratios", f"""with recursive {PIECES}, {RATIOS}, {CAPTIONS}, {QUALITY} select p.run_id, p.sample_id, passed, warning_count, p.high_risk_count,
+  coalesce(k.median_similarity_ratio, 0.0::double) median_similarity_ratio, array_to_string(errs,'|') errors, array_to_string(warns,'|') warnings
+  from rep p left join risk k on k.run_id=p.run_id and k.sample_id=p.sample_id""")
 oracle("quality_reports", f"""{ALL} select r.run_id, r.sample_id, r.passed, r.warning_count, d.caption_size, d.caption_sha256, m.segment_count caption_count, m.median_text_chars, m.max_text_chars,
   m.median_gap_seconds, m.first_timestamp, m.last_timestamp from rep r join digests d on d.sample_id=r.sample_id join metrics m on m.sample_id=r.sample_id""")
 METRICS = ("duration_seconds", "text_density", "text_length_ratio", "longest_duplicate_run", "primary_segments", "segment_margin", "median_text_chars")
