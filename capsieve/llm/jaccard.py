@@ -6,6 +6,9 @@ deals the feature domain over partitions, more than k / 2 of them holding featur
 partition differs in one feature or none. Each partition is dealt over three cells; one difference spares two of them,
 and the enumerated pairs of cells give the signatures. Linked sets so share a signature that isn't empty.
 
+A set that is linked with another shares most of its features with it. A count-min sketch of all features, which never
+takes a repeated one for single, tells which sets may do so; the others need no signatures.
+
 Sets that share signatures form clusters. Inside a cluster, sets are compared: a parity sketch bounds the difference
 from below, and what it can't rule out is counted exactly, unless both sets are known to be connected.
 """
@@ -20,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capsieve.llm.tables import shuffle_partitions
+from capsieve.llm import countmin
 from capsieve.llm.wordhash import A, B, C, components, mix, pack, pack_sorted, runs, together, unpack, unpack_sorted, word_hashes
 from capsieve.session import materialize
 
@@ -72,6 +75,19 @@ def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
                 yield h[:0]
 
 
+def grouped(texts: list[str | None], width: int) -> Iterator[np.ndarray]:
+    """Features of all sets, some millions at a time."""
+    held, size = [], 0
+    for s in shingle_sets(texts, width):
+        held.append(s)
+        size += len(s)
+        if size > 1_000_000:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def signatures(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of all sets, and the number of the set that each belongs to."""
     size = np.array([len(s) for s in sets], np.int64)
@@ -128,14 +144,27 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n_shingles long, digest binary")
 
 
-def spread(docs: DataFrame, width: int, rule: Rule, shards: int) -> DataFrame:
-    """Packed signatures by shard: of equal ones in a batch only the least id goes on; the links of the others to it
+def common(sets: list[np.ndarray], rule: Rule, bits: int, sketch: np.ndarray) -> list[bool]:
+    """Sets with a share of possibly repeated features that a link to another set needs."""
+    size = np.array([len(s) for s in sets], np.int64)
+    if not len(size):
+        return []
+    many = countmin.estimated(np.concatenate(sets), bits, sketch)
+    known = np.add.reduceat(many.astype(np.int64), np.concatenate([[0], np.cumsum(size)[:-1]]))
+    return (100 * known >= rule.percent * size).tolist()
+
+
+def spread(docs: DataFrame, width: int, rule: Rule, shards: int, bits: int, sketch) -> DataFrame:
+    """Packed signatures by shard, of sets with enough repeated features: of equal ones in a batch only the least id goes on; the links of the others to it
     travel beside. So a signature reaches its shard once for each batch, however many documents share it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, sets in blocks(batches, width):
             first: dict[bytes, int] = {}
+            fit = common(sets, rule, bits, sketch.value)
             for i in np.argsort(ids, kind="stable"):
+                if not fit[i]:
+                    continue
                 first.setdefault(sets[i].tobytes(), i)
             chosen = list(first.values())  # ascending ids
             own = ids[chosen]
@@ -315,7 +344,10 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = materialize(describe(rows, width))
     reps = materialize(known.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")))
-    edges = spread(rows, width, rule, 2 * shuffle_partitions(spark)).groupBy("shard").applyInPandas(meet, "a long, b long")
+    length = countmin.length(rows)
+    bits, sketch = countmin.repeated(rows, length, lambda texts: grouped(texts, width))
+    shared = spark.sparkContext.broadcast(sketch)
+    edges = spread(rows, width, rule, countmin.shards(length), bits, shared).groupBy("shard").applyInPandas(meet, "a long, b long")
     stars = connected(edges)
     nodes = stars.select(F.col("a").alias("cluster"), F.col("b").alias("doc_id")).union(stars.select("a", "a").distinct())
     clusters = nodes.join(reps.select(F.col("rep").alias("doc_id"), "n_shingles").distinct(), "doc_id")

@@ -104,4 +104,32 @@ ORACLE = {
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
         SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 5
     """,
+    "op8_substring": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+        s AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM p),
+        m AS (SELECT k, min(doc_id) AS least FROM s GROUP BY k),
+        g AS (SELECT doc_id, i FROM s JOIN m USING (k) WHERE least < doc_id),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM g),
+        l AS (SELECT doc_id, list(j) AS gone FROM c GROUP BY doc_id),
+        f AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN l USING (doc_id))
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+               sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+        FROM f
+    """,
+    "op9_jaccard": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d
+        ), u AS (SELECT doc_id, len(g) AS n, unnest(g) AS k FROM s),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, any_value(a.n) AS nx, any_value(b.n) AS ny
+              FROM u a JOIN u b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM p WHERE 100 * c >= 80 * (nx + ny - c)),
+        r AS (SELECT doc_id, doc_id AS node FROM s UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.node = l.x),
+        q AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM s JOIN q USING (doc_id)
+    """,
 }
