@@ -15,15 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capsieve.llm.tables import shuffle_partitions
+from capsieve.llm import countmin
 from capsieve.llm.wordhash import pack, pack_sorted, runs, starts_of_runs, together, unpack, unpack_sorted, word_hashes
 from capsieve.session import materialize
 
-#: Bits of a cell's number: a bit for each cell is sent to the executors, 128 MB at most, whatever the input. Beyond
-#: some hundred million windows the estimate lets more through; the second pass stays exact.
-LEAST_BITS, MOST_BITS = 20, 30
-#: Cells of a piece of the sketch, as a power of two.
-PIECE_BITS = 20
 #: Size up to which the places to remove are broadcast; beyond, texts are joined with them by shuffle.
 BROADCAST_BYTES = 64 << 20
 
@@ -38,52 +33,6 @@ def window_hashes(texts: list[str | None], size: int, lanes: int) -> Iterator[tu
         yield a, text, at - borders[:-1][text], [runs(h, size)[at] for h in words]
 
 
-def cells(size: int, bits: int):
-    """Sketch of each group of texts, by piece: cells seen, and cells seen twice or more."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for _, _, _, (h,) in window_hashes(batch["text"].tolist(), size, 1):
-                cell = np.sort((h >> np.uint64(64 - bits)).astype(np.uint32))
-                if not len(cell):
-                    continue
-                new = np.concatenate([[True], cell[1:] != cell[:-1]])
-                seen = cell[new]
-                twice = np.unique(cell[~new])
-                edges = np.arange((1 << (bits - PIECE_BITS)) + 1, dtype=np.uint64) << np.uint64(PIECE_BITS)
-                cut, again = np.searchsorted(seen, edges), np.searchsorted(twice, edges)
-                low = np.uint32((1 << PIECE_BITS) - 1)
-                yield pd.DataFrame(
-                    [(p, pack_sorted(seen[i:j] & low), pack_sorted(twice[k:m] & low)) for p, (i, j, k, m) in enumerate(zip(cut, cut[1:], again, again[1:])) if j > i],
-                    columns=["piece", "seen", "twice"],
-                )
-
-    return run
-
-
-def merge(rows: pd.DataFrame) -> pd.DataFrame:
-    """One piece of the merged sketch: a bit for each cell that was seen twice or more."""
-    seen, twice = np.zeros(1 << PIECE_BITS, bool), np.zeros(1 << PIECE_BITS, bool)
-    for s, t in zip(rows["seen"], rows["twice"]):
-        cell = unpack_sorted(s, "<u4")
-        twice[cell[seen[cell]]] = True
-        seen[cell] = True
-        twice[unpack_sorted(t, "<u4")] = True
-    return pd.DataFrame({"piece": rows["piece"].iloc[:1], "bits": [np.packbits(twice).tobytes()]})
-
-
-def repeated(docs: DataFrame, size: int) -> tuple[int, np.ndarray]:
-    """Bits of a cell's number and the merged sketch of all windows of all rows."""
-    length = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    bits = min(MOST_BITS, max(LEAST_BITS, int(length // 2).bit_length()))
-    pieces = docs.select("text").mapInPandas(cells(size, bits), "piece int, seen binary, twice binary")
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    each = (1 << PIECE_BITS) // 8
-    for r in pieces.groupBy("piece").applyInPandas(merge, "piece int, bits binary").toLocalIterator():
-        out[r["piece"] * each : (r["piece"] + 1) * each] = np.frombuffer(r["bits"], np.uint8)
-    return bits, out
-
-
 def ask(size: int, bits: int, sketch, shards: int):
     """Windows estimated as repeated, packed by shard of their digest. Of equal ones in a group of texts only that of
     the least id is asked about; the others have a smaller document in sight and are reported at once."""
@@ -92,8 +41,7 @@ def ask(size: int, bits: int, sketch, shards: int):
         for batch in batches:
             ids = batch["doc_id"].to_numpy(np.int64)
             for first, text, place, (h, g) in window_hashes(batch["text"].tolist(), size, 2):
-                cell = h >> np.uint64(64 - bits)
-                near = np.flatnonzero((sketch.value[(cell >> np.uint64(3)).astype(np.int64)] >> (7 - (cell & np.uint64(7)).astype(np.uint8))) & 1)
+                near = np.flatnonzero(countmin.estimated(h, bits, sketch.value))
                 if not len(near):
                     continue
                 h, g, place, doc = h[near], g[near], place[near].astype(np.int32), ids[first + text[near]]
@@ -130,7 +78,7 @@ def answer(rows: pd.DataFrame) -> pd.DataFrame:
     order = np.lexsort((place, doc))
     doc, place = doc[order], place[order]
     own, at = np.unique(doc, return_index=True)
-    return pd.DataFrame({"doc_id": own, "places": np.split(place, at[1:]) if len(own) else []})
+    return pd.DataFrame({"doc_id": own, "places": pd.Series(np.split(place, at[1:]) if len(own) else [], dtype=object)})
 
 
 def ranges(size: int):
@@ -144,7 +92,7 @@ def ranges(size: int):
                 gap = np.flatnonzero(np.diff(p) > size)
                 starts.append(p[np.concatenate([[0], gap + 1])])
                 ends.append(p[np.concatenate([gap, [len(p) - 1]])] + size)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "starts": starts, "ends": ends})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].tolist(), "starts": pd.Series(starts, dtype=object), "ends": pd.Series(ends, dtype=object)})
 
     return run
 
@@ -161,11 +109,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     named = rows.where("doc_id IS NOT NULL")
-    shards = shuffle_partitions(spark)
-    bits, sketch = repeated(named, size)
+    length = countmin.length(named)
+    bits, sketch = countmin.repeated(named, length, lambda texts: (h[0] for _, _, _, h in window_hashes(texts, size, 1)))
     shared = spark.sparkContext.broadcast(sketch)
     packed = "shard int, told boolean, high binary, low binary, ids binary, places binary"
-    asked = named.mapInPandas(ask(size, bits, shared, shards), packed)
+    asked = named.mapInPandas(ask(size, bits, shared, countmin.shards(length)), packed)
     found = asked.groupBy("shard").applyInPandas(answer, "doc_id long, places array<int>")
     # A list for each document and shard; all lists of a document together are no longer than its text.
     whole = found.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from capsieve.llm import substring
+from capsieve.llm import countmin, substring
 from capsieve.llm.substring import remove_repeats
 
 
@@ -41,7 +41,7 @@ def corpus(seed, size):
 @pytest.mark.parametrize("size,limit,bits", [(50, 64 << 20, 30), (3, -1, 20), (1, 64 << 20, 30)])
 def test_brute_force(documents, monkeypatch, size, limit, bits):
     monkeypatch.setattr(substring, "BROADCAST_BYTES", limit)
-    monkeypatch.setattr(substring, "MOST_BITS", bits)
+    monkeypatch.setattr(countmin, "MOST_BITS", bits)
     rows = corpus(size, size)
     got = remove_repeats(documents(rows).repartition(3), size=size).select("doc_id", "n_words", "n_removed", "kept").collect()
     assert sorted(repr(tuple(r)) for r in got) == brute(rows, size)
@@ -49,9 +49,9 @@ def test_brute_force(documents, monkeypatch, size, limit, bits):
 
 def test_a_full_sketch_loses_nothing(documents, monkeypatch):
     """With a sketch of few cells nearly every window is estimated as repeated; the result is the same."""
-    monkeypatch.setattr(substring, "MOST_BITS", 4)
-    monkeypatch.setattr(substring, "LEAST_BITS", 4)
-    monkeypatch.setattr(substring, "PIECE_BITS", 3)
+    monkeypatch.setattr(countmin, "MOST_BITS", 4)
+    monkeypatch.setattr(countmin, "LEAST_BITS", 4)
+    monkeypatch.setattr(countmin, "PIECE_BITS", 3)
     rows = corpus(9, 10)
     got = remove_repeats(documents(rows), size=10).select("doc_id", "n_words", "n_removed", "kept").collect()
     assert sorted(repr(tuple(r)) for r in got) == brute(rows, 10)
