@@ -7,25 +7,68 @@ return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from capsieve.llm import jaccard, packing, private, quality
 from capsieve.llm.exact_dedup import exact_dedup
 from capsieve.llm.tables import prepare, table
 from capsieve.session import materialize
 
+#: Rows up to which a list of ids is broadcast (16 MB); a longer one is joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose ``doc_id`` isn't among ``ids``; rows without id stay."""
+    gone = materialize(ids.select("doc_id").where("doc_id IS NOT NULL").distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity is too high for their language go."""
+    prepare(spark)
+    judged = quality.classify(docs, table(spark, sf_dir, "labels").where("quality = 1"))
+    return without(docs, judged.where("NOT kept"))
+
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One document of each group of equal texts stays, that with the largest id."""
     prepare(spark)
     return exact_dedup(docs).where("kept").select(*docs.columns)
 
 
-STAGES = [("exact dedup", unique)]
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that with the least id."""
+    prepare(spark)
+    return without(docs, jaccard.join(docs).where("component_id <> doc_id"))
+
+
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in angle brackets; n_chars is counted anew."""
+    prepare(spark)
+    found = private.detect(docs).withColumn("text", private.mask(F.col("text"), F.col("found")))
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences in length buckets and batches, from the words of the documents that are left."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", good),
+    ("exact dedup", unique),
+    ("n-gram Jaccard join", distinct),
+    ("personal data", masked),
+    ("packing", packed),
+]
 
-#: The classifier, the vote model and the bucket search have no SQL form.
+#: The classifier, the components, the span model and the bucket search have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for place, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
