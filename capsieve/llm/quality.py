@@ -20,10 +20,12 @@ from capsieve.llm.wordhash import pack, pack_sorted, unpack, unpack_sorted
 from capsieve.session import materialize
 
 #: Characters of a block; a longer text is a block of its own.
-TOGETHER = 6_000_000
+TOGETHER = 2_500_000
 #: Bits of a character, and the number of possible characters, over which unseen ones share alike.
 BITS, CHARACTERS = 21, 0x110000
 LOW, PAIR = (1 << BITS) - 1, (1 << 2 * BITS) - 1
+#: Languages up to which their thresholds are broadcast; more are joined by shuffle.
+BROADCAST_LANGUAGES = 10_000
 #: Accuracy of the quantiles: ranks are right to one part in this.
 ACCURACY = 100_000
 UNKNOWN = "und"
@@ -47,8 +49,10 @@ def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size = np.array([len(g) for g in grams], np.int64)
         flat = np.concatenate([*grams, np.zeros(0, np.int64)])
         keys, place = np.unique(flat, return_inverse=True)
+        del flat
         # One number for document and place; blocks are far too small for it to overflow.
-        both, count = np.unique(np.repeat(np.arange(len(grams)), size) * max(1, len(keys)) + place, return_counts=True)
+        place += np.repeat(np.arange(len(grams)) * max(1, len(keys)), size)
+        both, count = np.unique(place, return_counts=True)
         distinct = np.bincount(both // max(1, len(keys)), minlength=len(grams))
         return {
             "block": task << 32 | number,
@@ -196,8 +200,9 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.999, **nam
     sure = scored.where("trusted AND n_chars > 0")
     cut = F.percentile_approx("perplexity", quantile, ACCURACY).alias("threshold")
     overall = sure.agg(cut).first()["threshold"]
-    by_language = sure.groupBy("lang").agg(cut)
-    found = scored.join(by_language, "lang", "left")
+    by_language = materialize(sure.groupBy("lang").agg(cut))
+    few = by_language.count() <= BROADCAST_LANGUAGES
+    found = scored.join(F.broadcast(by_language) if few else by_language, "lang", "left")
     if overall is not None:
         found = found.withColumn("threshold", F.coalesce("threshold", F.lit(overall)))
     kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) | (F.col("n_chars") == 0)

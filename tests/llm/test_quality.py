@@ -45,7 +45,7 @@ def corpus(seed, n=40):
     return ["".join(pick.choice("aabcdé \n") for _ in range(pick.randint(1, 80))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("together", [6_000_000, 50])
+@pytest.mark.parametrize("together", [2_500_000, 50])
 def test_against_the_formulas(spark, documents, monkeypatch, together):
     monkeypatch.setattr(quality, "TOGETHER", together)
     texts = corpus(1) + ["Zß漢", "a" * 5000, "", None, "xyz\0"]
