@@ -345,8 +345,10 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int
     known = materialize(describe(rows, width))
     reps = materialize(known.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")))
     length = countmin.length(rows)
-    bits, sketch = countmin.repeated(rows, length, lambda texts: grouped(texts, width))
+    # Most features of a set must be repeated, so a sketch of half the usual size tells sets apart.
+    bits, sketch = countmin.repeated(rows, length // 2, lambda texts: grouped(texts, width))
     shared = spark.sparkContext.broadcast(sketch)
+    del sketch
     edges = spread(rows, width, rule, countmin.shards(length), bits, shared).groupBy("shard").applyInPandas(meet, "a long, b long")
     stars = connected(edges)
     nodes = stars.select(F.col("a").alias("cluster"), F.col("b").alias("doc_id")).union(stars.select("a", "a").distinct())
