@@ -24,9 +24,14 @@ LENGTH, WIDTHS, FILTERS = 128, (2, 3, 4), 16
 ROWS_PER_LANGUAGE, WINDOWS_PER_ROW = 400, 4
 STEPS, BATCH, RATE = 400, 96, 0.01
 UNKNOWN = "und"
+#: Letters, and a few numbers that aren't decimal digits.
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def windows(data: bytes) -> np.ndarray:
     """All bytes, LENGTH a row, the last row filled up with zeros."""
     rows = -(-len(data) // LENGTH)
@@ -86,12 +91,13 @@ class Network:
                 rate = RATE * (1 - t / (STEPS + 1))
                 self.weights[k] -= (rate * (mean[k] / (1 - 0.9**t)) / (np.sqrt(square[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
 
-    def prepare(self) -> None:
-        """Tables over byte pairs: one look-up instead of two."""
+    def prepared(self) -> Network:
+        """With tables over byte pairs: one look-up instead of two."""
         pair = lambda a, b: (a[:, None, :] + b[None, :, :]).reshape(65536, FILTERS)
         t2, t3, t4 = (self.weights[f"w{w}"] for w in WIDTHS)
         self.pairs = pair(t2[0], t2[1]), pair(t3[0], t3[1]), pair(t4[0], t4[1]), pair(t4[2], t4[3])
         self.single = t3[2]
+        return self
 
     def predict(self, x: np.ndarray, rows: int = 128) -> np.ndarray:
         """Probabilities of each window's languages."""
@@ -114,7 +120,7 @@ class Network:
         """Language and its probability of each text; ``und`` and 0 for null and for texts without a letter."""
         out, held, owner = [(UNKNOWN, 0.0)] * len(texts), [], []
         for i, t in enumerate(texts):
-            if t and LETTER.search(t):
+            if t and has_letter(t):
                 held.append(windows(t.lower().encode("utf-8", "replace")))
                 owner.append(i)
         if held and self.languages:
@@ -133,14 +139,20 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     id, and of each row WINDOWS_PER_ROW windows at even distances. Rows with null text, language or id aren't used."""
     usable = training_row(F.col(doc_id)) & F.col(lang).isNotNull() & F.col(text).isNotNull()
     rows = docs.where(usable).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # Only the ids whose hash is small enough are ranked: about four times the rows wanted of each language.
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each label
+    if not counts:
+        return Network([]).prepared()
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 4 * ROWS_PER_LANGUAGE / n)))])
+    small = (F.xxhash64("id") / 2.0**64 + 0.5) <= F.element_at(share, F.col("lang"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= ROWS_PER_LANGUAGE)
+    chosen = rows.where(small).select("id", "lang").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= ROWS_PER_LANGUAGE)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for i, language, t in zip(batch["id"], batch["lang"], batch["text"]):
-                if LETTER.search(t):
+                if has_letter(t):
                     x = windows(t.lower().encode("utf-8", "replace"))
                     picks = np.unique(np.linspace(0, len(x) - 1, WINDOWS_PER_ROW).astype(int))
                     out.append((language, i, x[picks].tobytes()))
@@ -155,8 +167,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         x = [np.frombuffer(r[2], np.uint8).reshape(-1, LENGTH) for r in found]
         y = np.repeat([languages.index(r[0]) for r in found], [len(p) for p in x])
         net.fit(np.concatenate(x), y)
-    net.prepare()
-    return net
+    return net.prepared()
 
 
 def identify(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:

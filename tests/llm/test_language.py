@@ -29,7 +29,7 @@ def test_gradients():
     x, y = rng.integers(0, 256, (5, language.LENGTH)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
 
     def loss():
-        net.prepare()
+        net.prepared()
         return -np.log(net.predict(x)[np.arange(5), y]).mean()
 
     grads = net.step(x, y)
@@ -58,7 +58,7 @@ def test_frame(spark, sf, documents):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     net = language.train(docs)
     some = [r.text for r in docs.orderBy("doc_id").limit(4).collect()]
-    rows = [(1, None), (2, ""), (3, "1234 --"), (4, some[0]), (4, some[0]), (5, "Ж" * 3000)] + [(10 + i, t[:300]) for i, t in enumerate(some)]
+    rows = [(1, None), (2, ""), (3, "1234 ½ ² --"), (4, some[0]), (4, some[0]), (5, "Ж" * 3000)] + [(10 + i, t[:300]) for i, t in enumerate(some)]
     got = sorted((r.doc_id, r.lang_pred) for r in language.identify(documents(rows), net).collect())
     assert got == sorted((i, plain(net, t)) for i, t in rows)
     assert language.identify(documents(rows).limit(0), net).count() == 0
