@@ -76,6 +76,8 @@ def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total += len(g)
         if grams:
             out.append(block(batch["doc_id"].tolist()[at:], batch["lang"].tolist()[at:], grams))
+        if not out:
+            continue
         frame = pd.DataFrame(out)
         frame["ids"] = [[None if pd.isna(x) else int(x) for x in ids] for ids in frame["ids"]]
         yield frame
