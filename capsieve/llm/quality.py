@@ -1,9 +1,13 @@
-"""Quality classifier: perplexity under an interpolated modified Kneser-Ney model of character trigrams.
+"""Quality classifier: perplexity under interpolated modified Kneser-Ney models of trigrams.
 
-The model is trained on trusted text, all of it. Documents are turned, block by block, into counts of their distinct
+One model is of characters; text of the usual letters passes it however often it repeats itself. So another is of
+recurrences: for each word, how many words back it stood last. Text that repeats a word, a phrase or a line is a run of
+small numbers there, which clean text doesn't have.
+
+The models are trained on trusted text, all of it. Documents are turned, block by block, into counts of their distinct
 trigrams; counts of trigrams, of their contexts and of the lower orders are tables, joined by shuffle on the gram, so
-no task holds the model. A block asks once for each of its grams and gets its probabilities back. A document is
-rejected when its perplexity exceeds a high quantile of the trusted documents of its language.
+no task holds a model. A block asks once for each of its grams and gets its probabilities back. A document is
+rejected when either perplexity exceeds a high quantile of the trusted documents of its language.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capsieve.llm.wordhash import pack, pack_sorted, unpack, unpack_sorted
+from capsieve.llm.wordhash import pack, pack_sorted, together, unpack, unpack_sorted, word_hashes
 from capsieve.session import materialize
 
 #: Characters of a block; a longer text is a block of its own.
@@ -24,6 +28,10 @@ TOGETHER = 2_500_000
 #: Bits of a character, and the number of possible characters, over which unseen ones share alike.
 BITS, CHARACTERS = 21, 0x110000
 LOW, PAIR = (1 << BITS) - 1, (1 << 2 * BITS) - 1
+#: Recurrences are numbered from the end of the characters on: before the first word, a new word, distances up to NEAR,
+#: and powers of two of larger ones. Their grams follow those of characters.
+NEAR, RECURRENCES = 8, 128
+START, FIRST = CHARACTERS, CHARACTERS << 2 * BITS
 #: Languages up to which their thresholds are broadcast; more are joined by shuffle.
 BROADCAST_LANGUAGES = 10_000
 #: Accuracy of the quantiles: ranks are right to one part in this.
@@ -38,6 +46,25 @@ def trigrams(text: str) -> np.ndarray:
     return x[:-2] << 2 * BITS | x[1:-1] << BITS | x[2:]
 
 
+def recurrences(texts: list[str]) -> list[np.ndarray]:
+    """Of each text one number for each word: how far back the word stood last, and the same of the two words before."""
+    data = [t.encode("utf-8", "replace") for t in texts]
+    out = []
+    for a, b in together(data):
+        borders, (h,) = word_hashes(data[a:b])
+        text = np.repeat(np.arange(b - a), np.diff(borders))
+        order = np.lexsort((h, text))
+        back = np.zeros(len(h), np.int64)
+        again = (h[order[1:]] == h[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+        back[order[1:][again]] = (order[1:] - order[:-1])[again]
+        far = back > NEAR
+        back[far] = NEAR + np.frexp(back[far].astype(float))[1]
+        for i, j in zip(borders[:-1], borders[1:]):
+            x = np.concatenate([[START] * 2, START + 1 + back[i:j]]).astype(np.int64)
+            out.append(x[:-2] << 2 * BITS | x[1:-1] << BITS | x[2:])
+    return out
+
+
 def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Blocks of documents: their ids and languages, the grams of all, and of each document the places of its distinct
     grams among them with their counts."""
@@ -59,6 +86,7 @@ def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "ids": ids,
             "langs": langs,
             "keys": pack_sorted(keys),
+            "n_first": int(np.searchsorted(keys, FIRST)),
             "places": pack((both % max(1, len(keys))).astype(np.uint32)),
             "counts": pack(count.astype(np.uint32)),
             "distinct": pack(distinct.astype(np.uint32)),
@@ -67,8 +95,9 @@ def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out, at, total = [], 0, 0
         grams = []
-        for i, t in enumerate(batch["text"]):
-            g = trigrams(t or "")
+        texts = [t or "" for t in batch["text"]]
+        for i, (t, again) in enumerate(zip(texts, recurrences(texts))):
+            g = np.concatenate([trigrams(t), again])
             if grams and total + len(g) > TOGETHER:
                 out.append(block(batch["doc_id"].tolist()[at:i], batch["lang"].tolist()[at:i], grams))
                 at, total, grams = i, 0, []
@@ -83,7 +112,7 @@ def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame
 
 
-BLOCKS = "block long, ids array<long>, langs array<string>, keys binary, places binary, counts binary, distinct binary"
+BLOCKS = "block long, ids array<long>, langs array<string>, keys binary, n_first long, places binary, counts binary, distinct binary"
 
 
 def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,11 +146,11 @@ def contexts(counted: DataFrame, context: Column, d: list[float]) -> DataFrame:
     return counted.groupBy(context.alias("context")).agg(total.alias("total"), (F.sum(taken(F.col("n"), d)) / total).alias("rest"))
 
 
-def probabilities(asked: DataFrame, counted: DataFrame) -> DataFrame:
+def probabilities(asked: DataFrame, counted: DataFrame, symbols: int = CHARACTERS) -> DataFrame:
     """gram, logp of all grams of ``asked``, by joins with the counts of each order and of the contexts.
 
-    The lower orders count the different characters before a gram. An unseen context leaves all to the lower order;
-    the lowest shares what is left among all characters.
+    The lower orders count the different symbols before a gram. An unseen context leaves all to the lower order;
+    the lowest shares what is left among all ``symbols``.
     """
     pairs = materialize(counted.groupBy((F.col("gram").bitwiseAND(PAIR)).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
     single = materialize(pairs.groupBy((F.col("gram").bitwiseAND(LOW)).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
@@ -143,7 +172,7 @@ def probabilities(asked: DataFrame, counted: DataFrame) -> DataFrame:
     found = join(found, F.shiftright(g.bitwiseAND(PAIR), BITS), contexts(pairs, F.shiftright("gram", BITS), d2), "context", "t2", "r2")
     found = join(found, g, counted, "gram", "n3")
     found = join(found, F.shiftright(g, BITS), contexts(counted, F.shiftright("gram", BITS), d3), "context", "t3", "r3")
-    lowest = F.lit(1.0 / CHARACTERS)
+    lowest = F.lit(1.0 / symbols)
     if total:
         lowest = (F.greatest(F.coalesce(F.col("n1") - taken(F.col("n1"), d1), F.lit(0.0)), F.lit(0.0)) + rest * lowest) / total
     return found.select("gram", F.log(part("n3", d3, "t3", "r3", part("n2", d2, "t2", "r2", lowest))).alias("logp"))
@@ -157,22 +186,28 @@ def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Characters and mean log probability of each document of a block."""
+    """Characters and the mean log probability under each model of each document of a block."""
+    names = ("ids", "langs", "n_first", "places", "counts", "distinct", "logp")
     for batch in batches:
-        for ids, langs, places, counts, distinct, logp in zip(*(batch[c] for c in ("ids", "langs", "places", "counts", "distinct", "logp"))):
+        for ids, langs, first, places, counts, distinct, logp in zip(*(batch[c] for c in names)):
             size = unpack(distinct, "<u4").astype(np.int64)
             n, place = unpack(counts, "<u4").astype(float), unpack(places, "<u4").astype(np.int64)
             own = np.repeat(np.arange(len(size)), size)
             logs = np.asarray([] if logp is None else logp, float)
-            total, length = np.bincount(own, n * logs[place], len(size)), np.bincount(own, n, len(size))
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "lang": langs, "n_chars": length.astype(np.int64), "mean": total / np.maximum(length, 1)})
+            found = {}
+            for name, part in (("mean", place < first), ("again", place >= first)):
+                total, length = (np.bincount(own[part], x, len(size)) for x in ((n * logs[place])[part], n[part]))
+                found[name] = total / np.maximum(length, 1)
+                found.setdefault("n_chars", length.astype(np.int64))
+            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "lang": langs, "n_chars": found["n_chars"], "mean": found["mean"], "again": found["again"]})
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, lang (``und`` for null), n_chars, perplexity and trusted of every row; ``trusted`` holds ids.
+    """doc_id, lang (``und`` for null), n_chars, perplexity, recurrence (the perplexity under the model of recurrences)
+    and trusted of every row; ``trusted`` holds ids.
 
-    Null counts as empty; an empty text has perplexity 1. Repeated rows are counted and returned as often as they
-    occur. Rows without id are scored but never trusted. Without any trusted text all characters are equally likely.
+    Null counts as empty; an empty text has perplexities of 1. Repeated rows are counted and returned as often as they
+    occur. Rows without id are scored but never trusted. Without any trusted text all symbols are equally likely.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit(UNKNOWN)).alias("lang"))
@@ -182,30 +217,35 @@ def perplexities(docs: DataFrame, trusted: DataFrame, text: str = "text", lang:
     counted = blocks.drop("ids", "langs").join(held, "block").mapInPandas(count, "gram long, n long")
     counted = materialize(counted.groupBy("gram").agg(F.sum("n").alias("n")))
     asked = blocks.select("block", "keys").mapInPandas(ask, "block long, gram long")
-    known = probabilities(asked.select("gram").distinct(), counted)
+    need, late = asked.select("gram").distinct(), F.col("gram") >= FIRST
+    known = probabilities(need.where(~late), counted.where(~late))
+    known = known.union(probabilities(need.where(late), counted.where(late), RECURRENCES))
     told = asked.join(known, "gram").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("gram", "logp"))).alias("told"))
     told = told.select("block", F.transform("told", lambda x: x["logp"].cast("float")).alias("logp"))
-    schema = "doc_id long, lang string, n_chars long, mean double"
+    schema = "doc_id long, lang string, n_chars long, mean double, again double"
     scored = blocks.drop("keys").join(told, "block", "left").mapInPandas(answer, schema)
     marked = scored.join(sure.select(F.col("id").alias("doc_id"), F.lit(True).alias("trusted")), "doc_id", "left")
-    found = marked.select("doc_id", "lang", "n_chars", F.exp(-F.col("mean")).alias("perplexity"), F.coalesce("trusted", F.lit(False)).alias("trusted"))
-    return materialize(found)
+    values = F.exp(-F.col("mean")).alias("perplexity"), F.exp(-F.col("again")).alias("recurrence")
+    return materialize(marked.select("doc_id", "lang", "n_chars", *values, F.coalesce("trusted", F.lit(False)).alias("trusted")))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.999, **names: str) -> DataFrame:
-    """``perplexities`` with threshold and kept.
+    """``perplexities`` with threshold, recurrence_threshold and kept.
 
-    A row is kept when its perplexity is at most the ``quantile`` of the trusted documents of its language; a language
+    A row is kept when each perplexity is at most the ``quantile`` of the trusted documents of its language; a language
     without trusted documents takes the quantile of all of them. Without any, or for an empty text, all is kept.
     """
     scored = perplexities(docs, trusted, **names)
     sure = scored.where("trusted AND n_chars > 0")
-    cut = F.percentile_approx("perplexity", quantile, ACCURACY).alias("threshold")
-    overall = sure.agg(cut).first()["threshold"]
-    by_language = materialize(sure.groupBy("lang").agg(cut))
+    limits = {"perplexity": "threshold", "recurrence": "recurrence_threshold"}
+    cuts = [F.percentile_approx(c, quantile, ACCURACY).alias(t) for c, t in limits.items()]
+    overall = sure.agg(*cuts).first()
+    by_language = materialize(sure.groupBy("lang").agg(*cuts))
     few = by_language.count() <= BROADCAST_LANGUAGES
     found = scored.join(F.broadcast(by_language) if few else by_language, "lang", "left")
-    if overall is not None:
-        found = found.withColumn("threshold", F.coalesce("threshold", F.lit(overall)))
-    kept = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)) | (F.col("n_chars") == 0)
-    return found.select("doc_id", "lang", "n_chars", "perplexity", "trusted", "threshold", kept.alias("kept"))
+    kept = F.lit(True)
+    for c, t in limits.items():
+        if overall[t] is not None:
+            found = found.withColumn(t, F.coalesce(t, F.lit(overall[t])))
+        kept = kept & F.coalesce(F.col(c) <= F.col(t), F.lit(True))
+    return found.select("doc_id", "lang", "n_chars", *limits, "trusted", *limits.values(), (kept | (F.col("n_chars") == 0)).alias("kept"))

@@ -76,3 +76,43 @@ def test_junk_goes_and_clean_text_stays(spark, sf):
     good, bad = [r for r in got if r.quality == 1], [r for r in got if r.quality == 0]
     assert sum(r.kept for r in good) >= 0.98 * len(good)
     assert sum(not r.kept for r in bad) >= 0.6 * len(bad)
+
+
+def test_repeated_words_and_phrases_go(spark, documents):
+    pick = random.Random(4)
+    parts = "an be ce di eo fa go hu in ja ko la".split()
+    word = lambda: "".join(pick.choice(parts) for _ in range(pick.randint(1, 4)))
+    clean = [" ".join(word() for _ in range(pick.randint(60, 120))) for _ in range(300)]
+    junk = [" ".join([word()] * 100) for _ in range(10)] + [" ".join([word(), word(), word()] * 40) for _ in range(10)]
+    sure = spark.createDataFrame([(i,) for i in range(200)], "doc_id long")
+    got = {r.doc_id: r for r in quality.classify(documents(list(enumerate(clean + junk))).repartition(3), sure).collect()}
+    assert not any(got[i].kept for i in range(300, 320))
+    assert sum(got[i].kept for i in range(300)) >= 290
+
+
+def test_recurrences_by_a_loop(monkeypatch):
+    from capsieve.llm import wordhash
+
+    def plain(text):
+        last, x = {}, [quality.START] * 2
+        for i, w in enumerate(text.split()):
+            d = i - last.get(w, i)
+            last[w] = i
+            x.append(quality.START + 1 + (d if d <= quality.NEAR else quality.NEAR + d.bit_length()))
+        return [a << 42 | b << 21 | c for a, b, c in zip(x, x[1:], x[2:])]
+
+    texts = ["a b a a", "", "a", " \n", " ".join(str(i % 300) for i in range(2000)), "a b a a " * 9]
+    for together in (4_000_000, 5):
+        monkeypatch.setattr(wordhash, "TOGETHER", together)
+        assert [g.tolist() for g in quality.recurrences(texts)] == [plain(t) for t in texts]
+
+
+def test_nearly_all_labelled_junk_goes(spark, sf):
+    from capsieve.llm.queries import QUERIES
+
+    sf = sf.replace("sf0.001", "sf0.1")
+    got = QUERIES["op2_quality"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    good, bad = [r for r in got if r.quality == 1], [r for r in got if r.quality == 0]
+    rates = sum(not r.kept for r in bad) / len(bad), sum(r.kept for r in good) / len(good)
+    print("junk rejected, clean kept:", rates, len(bad), len(good))
+    assert rates[0] >= 0.97 and rates[1] >= 0.99
