@@ -5,8 +5,10 @@ with both; where the toxic dictionary saves bytes, the window resembles toxic te
 savings go through calibrated weights to a score.
 
 Toxic documents are mostly ordinary text, so the toxic dictionary is trained on the fragments that set them apart:
-words and beginnings of words that occur after many different words in toxic rows, and hardly in others. (Counting
-different predecessors keeps copied passages from passing for evidence.) The ordinary dictionary is common to both
+beginnings and ends of words, and whole words, that occur beside many different words in toxic rows, and hardly in
+others. (Counting different neighbours keeps copied passages from passing for evidence.) A word is a run of letters;
+what stands between spaces with digits or signs inside, as in ``1d10t``, is taken whole as well. Phrases, and words
+inside scripts without spaces, are no fragments of their own. The ordinary dictionary is common to both
 sides of the comparison, which cancels what has nothing to do with the labels.
 """
 
@@ -29,6 +31,8 @@ from capsieve.llm.tables import packed, training_row
 TOXIC_ROWS, ORDINARY_ROWS = 1000, 2000
 #: Bytes after which a window ends with its word; a word that is longer fills windows of its own.
 WINDOW = 96
+#: Windows of the ordinary rows, at random, that the ordinary dictionary is trained on.
+ORDINARY_WINDOWS = 40_000
 #: Size of the ordinary dictionary, and a search that reaches all of both: tables larger than they, lazy matching.
 ORDINARY_BYTES = 16_384
 SEARCH = {"window_log": 16, "hash_log": 16, "chain_log": 16, "search_log": 5, "min_match": 4, "target_length": 32, "strategy": 5}
@@ -37,6 +41,8 @@ SHORT, LONG = 4, 12
 #: Different predecessors that a fragment needs, and how much more frequent it must be in toxic rows.
 SUPPORT, LIFT = 4, 3
 WORD = re.compile(r"[^\W\d_]+")
+#: Letters and digits with digits or signs between them, without signs around.
+MIXED = re.compile(r"[^\W_](?:\S*[^\W_])?")
 FEATURES = ("largest", "second", "several", "rate", "excess")
 
 
@@ -57,7 +63,7 @@ def windows(text: str) -> list[bytes]:
 
 
 def contexts(texts: Iterable[str]) -> tuple[dict[str, int], int]:
-    """After how many different words each fragment occurs, and the number of words."""
+    """After how many different words each fragment occurs, and the number of words of letters."""
     seen: dict[str, set[int]] = defaultdict(set)
     total = 0
     for t in texts:
@@ -68,6 +74,15 @@ def contexts(texts: Iterable[str]) -> tuple[dict[str, int], int]:
             for k in range(SHORT, min(len(word), LONG) + 1):
                 seen[word[:k]].add(key)
             seen[word + " "].add(key)
+        before = ""
+        for word in MIXED.findall(t.lower()):
+            if len(word) >= SHORT and not word.isalpha():
+                key = zlib.crc32(before.encode())
+                for k in range(SHORT, min(len(word), LONG) + 1):
+                    if not word[:k].isalpha():
+                        seen[word[:k]].add(key)
+                seen[word + " "].add(key)
+            before = word
     return {w: len(s) for w, s in seen.items()}, total
 
 
@@ -96,10 +111,15 @@ def fragments(toxic: tuple[dict[str, int], int], ordinary: tuple[dict[str, int],
                 break
             w = more
         out[w] = c
-    if not out:
-        return {}
-    least = max(SUPPORT, 0.02 * max(out.values()))
-    return {w: c for w, c in out.items() if c >= least}
+    return out
+
+
+def ends(toxic: list[str], ordinary: list[str], begun: dict[str, int]) -> dict[str, int]:
+    """Fragments as the text read backwards gives them, without what the fragments ``begun`` cover."""
+    found = fragments(contexts(t[::-1] for t in toxic), contexts(t[::-1] for t in ordinary))
+    turned = {w[::-1].strip(): c for w, c in found.items()}
+    known = [w.strip() for w in begun]
+    return {w: c for w, c in turned.items() if not any(w in k or k in w for k in known)}
 
 
 def trained(samples: list[bytes], size: int) -> bytes:
@@ -117,15 +137,18 @@ class Model:
 
     def __init__(self, toxic: list[str], ordinary: list[str]):
         found = fragments(contexts(toxic), contexts(ordinary))
-        self.words = sorted(found, key=lambda w: (found[w], w))
+        # An end is written with the space after it, a beginning with that before it.
+        found = {" " + w: c for w, c in found.items()} | {w + " ": c for w, c in ends(toxic, ordinary, found).items()}
+        written = sorted(found, key=lambda w: (found[w], w))
+        self.words = [w.removeprefix(" ") for w in written]
         rng = np.random.default_rng(3)
         pool = [w for t in ordinary or toxic for w in windows(t)]
-        pool = [pool[i] for i in rng.permutation(len(pool))[:40_000]]
+        pool = [pool[i] for i in rng.permutation(len(pool))[:ORDINARY_WINDOWS]]
         self.ordinary = trained(pool, ORDINARY_BYTES) if pool else b""
-        each = [(" " + w).encode() for w in self.words for _ in range(4 + min(96, found[w] // 8))]
+        each = [w.encode() for w in written for _ in range(4 + min(96, found[w] // 8))]
         each = [each[i] for i in rng.permutation(len(each))]
         groups = [b"".join(each[i : i + 8]) for i in range(0, len(each), 8)]
-        whole = b"".join((" " + w).encode() for w in self.words)
+        whole = b"".join(w.encode() for w in written)
         # Training must have room for every fragment; what it leaves out, rare fragments, stands before it.
         self.toxic = whole + trained(groups * 4, max(512, 2 * len(whole))) if self.words else b""
         self.weights = np.zeros(len(FEATURES) + 1)

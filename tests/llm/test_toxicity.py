@@ -68,3 +68,35 @@ def test_held_out_rows(spark, sf):
     y, s = np.array([r.toxic for r in got]), np.array([r.score for r in got])
     order = (s[y == 1][:, None] > s[y == 0]).mean() + (s[y == 1][:, None] == s[y == 0]).mean() / 2
     assert order > 0.88 and (s[y == 1] >= 0.5).mean() > 0.75 and (s[y == 0] >= 0.5).mean() < 0.12
+
+
+def mixed_in(n, seed, cue):
+    """Random prose; ``cue(pick, i)`` gives the words that are mixed into text i, in the toxic half of the texts."""
+    pick = random.Random(seed)
+    parts = "an be ce di eo fa go hu in ja ko la mi no or pe qua ro sa ti".split()
+    word = lambda: "".join(pick.choice(parts) for _ in range(pick.randint(1, 4)))
+    out = []
+    for i in range(n):
+        words = [word() for _ in range(60)]
+        for w in cue(pick, i, word) if i % 2 else ():
+            words.insert(pick.randrange(len(words)), w)
+        out.append((" ".join(words), i % 2))
+    return out
+
+
+def split(rows):
+    return [t for t, k in rows if k], [t for t, k in rows if not k]
+
+
+def test_words_with_digits_and_signs_and_ends_of_words():
+    for cue in (lambda pick, i, word: ["1d10t", "sh!t,"], lambda pick, i, word: [word() + "zwexig" for _ in range(3)]):
+        model = Model(*split(mixed_in(400, 5, cue)))
+        fresh = mixed_in(200, 6, cue)
+        got = model.scores([t for t, _ in fresh]) >= 0.5
+        assert (got == [k for _, k in fresh]).mean() > 0.95
+
+
+def test_rare_cues_stand_beside_a_hot_one():
+    toxic, ordinary = split(mixed_in(4000, 7, lambda pick, i, word: ["brulkmo"] + ["zwexig"] * (i % 200 == 1)))
+    model = Model(toxic, ordinary)
+    assert {w[:6] for w in model.words} >= {"brulkm", "zwexig"}
