@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capsieve.llm import exact_dedup, jaccard, language, packing, pieces, private, quality, substring, topk, toxicity
+from capsieve.llm import audit, exact_dedup, jaccard, language, packing, pieces, private, quality, substring, topk, toxicity
 from capsieve.llm.tables import held_out, prepare, table
 
 
@@ -70,6 +70,11 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", sha("ids"), sha("decoded"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text", "source")
+    return audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -81,6 +86,7 @@ QUERIES = {
     "op8_substring": op8_substring,
     "op9_jaccard": op9_jaccard,
     "op10_pieces": op10_pieces,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE = {
@@ -132,4 +138,40 @@ ORACLE = {
         q AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
         SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM s JOIN q USING (doc_id)
     """,
+    "op12_filter_audit": r"""
+        WITH d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), m AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+        l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+        f AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                   (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+                   + 4 * (100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(t))::INT
+                   + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS bits
+            FROM d JOIN m USING (t) LEFT JOIN l USING (doc_id)
+        ), h AS (SELECT part, bits, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+        x AS (SELECT unnest(range(5)) AS i),
+        o AS (
+            SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM x a, x b, x c, x d, x e
+            WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+        ), s AS (
+            SELECT array_to_string(list_transform(p, lambda i: substr('ABCDE', i + 1, 1)), '') AS filter_order, unnest(range(1, 6)) AS step, p FROM o
+        ), b AS (
+            SELECT filter_order, step, p[step] AS i, coalesce(list_sum(list_transform(p[1:step - 1], lambda i: 1 << i)), 0)::BIGINT AS before FROM s
+        ), r AS (
+            SELECT part, filter_order, step, i,
+                   sum(CASE WHEN bits & (before | (1 << i)) = 0 THEN n ELSE 0 END) AS kept,
+                   sum(CASE WHEN bits & before = 0 AND bits >> i & 1 = 1 THEN n ELSE 0 END) AS removed,
+                   sum(CASE WHEN bits & before <> 0 AND bits >> i & 1 = 1 THEN n ELSE 0 END) AS redundant,
+                   sum(CASE WHEN bits = 1 << i THEN n ELSE 0 END) AS unique_fails,
+                   sum(CASE WHEN bits & before = 0 AND bits >> i & 1 = 1 THEN good ELSE 0 END) AS good_lost,
+                   sum(CASE WHEN bits & before = 0 AND bits >> i & 1 = 1 THEN toxic ELSE 0 END) AS toxic_lost
+            FROM h, b GROUP BY ALL
+        )
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+               CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+               CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, i) AS BIGINT) AS shapley
+        FROM r
+    """,
 }
