@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capsieve.llm import audit, exact_dedup, jaccard, language, packing, pieces, private, quality, substring, topk, toxicity
+from capsieve.llm import audit, exact_dedup, idfiles, jaccard, language, packing, pieces, private, quality, shallot, substring, topk, toxicity
 from capsieve.llm.tables import held_out, prepare, table
 
 
@@ -70,11 +70,61 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", sha("ids"), sha("decoded"))
 
 
+def op11_shallot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(prepare(spark), sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return shallot.cluster(vectors)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text", "source")
     return audit.audit(docs, table(spark, sf_dir, "labels"))
 
 
+def op13_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(prepare(spark), sf_dir, "documents").select("doc_id", "text")
+    return idfiles.token_files(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def rounds_sql(k: int = 40, rounds: int = 5, size: int = 64, seed: str = "2") -> str:
+    """The rounds of op11 one after the other, each comparing all vectors with all centroids."""
+    parts = [
+        f"""v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+            WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+        )""",
+        f"""c0 AS (
+            SELECT row_number() OVER (ORDER BY h, q) - 1 AS j, q FROM (
+                SELECT sha256('{seed}:' || vec_id) AS h, q FROM v WHERE vec_id IS NOT NULL ORDER BY h, q LIMIT {k}
+            )
+        )""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"""d{r} AS (
+            SELECT vec_id, v.q, j, CAST(list_sum(list_transform(list_zip(v.q, c{r}.q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+            FROM v, c{r}
+        ), a{r} AS (SELECT vec_id, q, CAST(min(d * 1000 + j) AS BIGINT) AS m FROM d{r} GROUP BY vec_id, q)"""
+        )
+        if r < rounds:
+            parts.append(
+                f"""s{r} AS (
+            SELECT m % 1000 AS j, pos, CAST(floor(CAST(sum(x) AS DOUBLE) / count(*)) AS BIGINT) AS x
+            FROM (SELECT m, unnest(q) AS x, unnest(range(1, {size + 1})) AS pos FROM a{r}) GROUP BY 1, 2
+        ), c{r + 1} AS (
+            SELECT j, coalesce(n.q, o.q) AS q FROM c{r} o LEFT JOIN (SELECT j, list(x ORDER BY pos) AS q FROM s{r} GROUP BY j) n USING (j)
+        )"""
+            )
+    return f"""
+        WITH {", ".join(parts)}
+        SELECT vec_id, CAST(j AS INTEGER) AS cluster, m // 1000 AS distance,
+               CAST(sum(m // 1000) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(m // 1000) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c.q, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} c ON c.j = a.m % 1000
+    """
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -86,7 +136,9 @@ QUERIES = {
     "op8_substring": op8_substring,
     "op9_jaccard": op9_jaccard,
     "op10_pieces": op10_pieces,
+    "op11_shallot": op11_shallot,
     "op12_filter_audit": op12_filter_audit,
+    "op13_id_files": op13_id_files,
 }
 
 ORACLE = {
@@ -138,6 +190,7 @@ ORACLE = {
         q AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
         SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM s JOIN q USING (doc_id)
     """,
+    "op11_shallot": rounds_sql(),
     "op12_filter_audit": r"""
         WITH d AS (
             SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,

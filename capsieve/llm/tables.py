@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from types import ModuleType
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +48,15 @@ def held_out(doc_id: Column) -> Column:
 def packed(docs: DataFrame, *made: str) -> Column:
     """All columns but those an operator makes itself, in one struct: names inside can't clash with the operator's."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in {m.lower() for m in made}])
+
+
+def kept_in_worker(name: str, key: str, make: Callable):
+    """An object kept while a Python worker lives, one for each name: made anew when the key is another.
+
+    Functions travel by value, so the globals of a module start anew with each task. Modules stay, so it is held in one.
+    """
+    holder = sys.modules.setdefault(name, ModuleType(name))
+    if getattr(holder, "key", None) != key:
+        holder.held = None
+        holder.held, holder.key = make(), key
+    return holder.held
