@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from capsieve.session import materialize
 
 #: Bytes of text from which a shard is closed; its words and numbers stay in one task.
-SHARD_BYTES = 32_000_000
+SHARD_BYTES = 12_000_000
 LOW_BITS = (1 << 33) - 1
 #: The filters in their order; filter i has bit i.
 FILTERS = "ABCDE"
@@ -94,7 +94,7 @@ class Shard:
 
     def row(self, number: int) -> pa.RecordBatch:
         indptr = np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)])
-        arrays = (indptr, np.array(self.indices, np.int32), np.array(self.counts, np.int64))
+        arrays = (indptr, np.array(self.indices, np.int32), np.array(self.counts, np.int32))
         blobs = dict(zip(("indptr", "indices", "counts"), map(squeeze, arrays)))
         values = {"shard": number, **self.meta, **blobs, "words": list(self.index)}
         return pa.RecordBatch.from_pydict({k: [v] for k, v in values.items()}, SHARD)
@@ -149,8 +149,8 @@ def matrix(docs: DataFrame, part: str = "source", text: str = "text", doc_id: st
     """The document-term matrix of ``docs``, one row per shard.
 
     ``indptr``, ``indices`` and ``counts`` are the shard's rows in compressed sparse row form (see :func:`unsqueeze`;
-    int64 each), ``indices`` those of the global dictionary. ``doc_id``, ``part``, ``digest`` (SHA-256 of the text),
-    ``shouting`` and ``signs`` have one value for each row of the matrix. A shard has some 32 MB of text, or one
+    int64, ``counts`` int32), ``indices`` those of the global dictionary. ``doc_id``, ``part``, ``digest`` (SHA-256 of the text),
+    ``shouting`` and ``signs`` have one value for each row of the matrix. A shard has some 12 MB of text, or one
     document. Each word crosses the network once for each shard it is in, however often it occurs there.
     """
     shards = tokenised(docs, part, text, doc_id)
@@ -176,8 +176,8 @@ def failures(terms: DataFrame) -> DataFrame:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                indptr, counts = unsqueeze(row["indptr"], np.int64), unsqueeze(row["counts"], np.int64)
-                before = np.concatenate([[0], np.cumsum(counts)])
+                indptr, counts = unsqueeze(row["indptr"], np.int64), unsqueeze(row["counts"], np.int32)
+                before = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
                 words, distinct = np.diff(before[indptr]), np.diff(indptr)
                 failed = (words < 200) + 2 * (100 * distinct < 50 * words)
                 failed = failed + 4 * np.array(row["shouting"], bool) + 8 * np.array(row["signs"], bool)

@@ -86,7 +86,7 @@ def test_matrix(documents):
     shards = audit.matrix(docs).collect()
     total, ids = Counter(), set()
     for s in shards:
-        indptr, indices, counts = (audit.unsqueeze(s[c], np.int64) for c in ("indptr", "indices", "counts"))
+        indptr, indices, counts = (audit.unsqueeze(s[c], kind) for c, kind in (("indptr", np.int64), ("indices", np.int64), ("counts", np.int32)))
         assert len(indptr) == len(s["doc_id"]) + 1 and indptr[-1] == len(indices) == len(counts)
         for i, doc in enumerate(s["doc_id"]):
             own = indices[indptr[i] : indptr[i + 1]]
