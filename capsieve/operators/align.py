@@ -1,8 +1,8 @@
 """Alignment of two transcripts: interval overlap, agreement and risk.
 
-Intervals are cut into time bins and joined on (sample, bin), so one long or popular sample spreads
-over many tasks and each comparison stays local in time. A pair is kept only in the bin where the
-later of the two starts lies; no duplicate removal is needed.
+Overlapping segments are found by a dyadic index of time (:mod:`capsieve.operators.intervals`), so one long or popular
+sample spreads over many tasks and a segment of any length costs few rows. What is matched and what isn't, on both
+sides, comes from one pass over the pairs.
 """
 
 from __future__ import annotations
@@ -16,53 +16,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capsieve.functions.text import comparison_text, nfkc, tokens_of
+from capsieve.operators.intervals import WIDTH_MS, overlaps
 
 KEYS = ("run_id", "sample_id")
-BIN_MS = 20_000
 RISK_RATIO = 0.60  # fixed value
 
 REVIEW = "keep_primary_review_secondary"
 MISSING = "keep_primary_missing_secondary"
 
 
-def _bin(ms: Column, width: int) -> Column:
-    return F.floor(ms / width)
+SEGMENT = ("seg_index", "start_ms", "end_ms", "text")
 
 
-def _binned(segments: DataFrame, side: str, keys: Sequence[str], width: int) -> DataFrame:
-    last = F.greatest(F.col("start_ms"), F.col("end_ms") - 1)
-    return segments.select(
-        *[F.col(k).alias(f"{side}_{k}") for k in keys],
-        F.col("seg_index").alias(f"{side}_index"),
-        F.col("start_ms").alias(f"{side}_start"),
-        F.col("end_ms").alias(f"{side}_end"),
-        F.col("text").alias(f"{side}_text"),
-        F.explode(F.sequence(_bin(F.col("start_ms"), width), _bin(last, width))).alias(f"{side}_bin"),
-    )
+def _pairs(primary: DataFrame, secondary: DataFrame, keys: Sequence[str], width: int, *columns: str) -> DataFrame:
+    side = lambda rows: rows.select(*keys, *columns)
+    return overlaps(side(secondary), side(primary), keys, width=width)
 
 
 def _overlap() -> Column:
     return F.least("p_end", "s_end") - F.greatest("p_start", "s_start")
 
 
-def _joined(primary: DataFrame, secondary: DataFrame, keys: Sequence[str], width: int, how: str) -> DataFrame:
-    p, s = _binned(primary, "p", keys, width), _binned(secondary, "s", keys, width)
-    match = (F.col("p_bin") == F.col("s_bin")) & (_overlap() > 0)
-    match &= F.col("s_bin") == F.greatest(_bin(F.col("p_start"), width), _bin(F.col("s_start"), width))
-    for k in keys:
-        match &= F.col(f"p_{k}") == F.col(f"s_{k}")
-    return s.join(p, match, how)
-
-
 def overlap_pairs(
-    primary: DataFrame, secondary: DataFrame, keys: Sequence[str] = KEYS, width: int = BIN_MS
+    primary: DataFrame, secondary: DataFrame, keys: Sequence[str] = KEYS, width: int = WIDTH_MS
 ) -> DataFrame:
     """Every (secondary, primary) segment pair of a sample that shares time, with the shared length."""
-    return _joined(primary, secondary, keys, width, "inner").select(
-        *[F.col(f"s_{k}").alias(k) for k in keys],
-        F.col("s_index").alias("secondary_index"),
-        F.col("p_index").alias("primary_index"),
-        _overlap().alias("overlap_ms"),
+    return _pairs(primary, secondary, keys, width, *SEGMENT[:3]).select(
+        *keys,
+        F.col("l.seg_index").alias("secondary_index"),
+        F.col("r.seg_index").alias("primary_index"),
+        (F.least("l.end_ms", "r.end_ms") - F.greatest("l.start_ms", "r.start_ms")).alias("overlap_ms"),
     )
 
 
@@ -104,83 +87,94 @@ def token_mismatch(left: Column, right: Column) -> Column:
     return F.array_sort(F.array_union(F.array_except(left, right), F.array_except(right, left)))
 
 
-def matched_text(
-    primary: DataFrame, secondary: DataFrame, keys: Sequence[str] = KEYS, width: int = BIN_MS
-) -> DataFrame:
-    """One row per secondary segment with the joined text and indexes of the primary ones it overlaps."""
-    pairs = _joined(primary, secondary, keys, width, "left").filter(F.col("s_index").isNotNull())
-    hits = F.array_sort(
-        F.collect_list(F.when(F.col("p_index").isNotNull(), F.struct(F.col("p_index").alias("i"), F.col("p_text").alias("t"))))
+def _folded(primary: DataFrame, secondary: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """One row per segment of either side: ``side`` (``s`` or ``p``), the segment, and ``hits``, the partners' (index, text).
+
+    Segments and pairs meet in one aggregation, so the pairs are computed once and segments without index or times stay.
+    Of a primary segment's partners only the number counts. Segments that are equal in all columns count as one.
+    """
+    mark = F.xxhash64("text")
+    own = ["seg_index", "start_ms", "end_ms", "mark"]
+    marked = {side: rows.select(*keys, *SEGMENT, mark.alias("mark")) for side, rows in (("s", secondary), ("p", primary))}
+    none = "CAST(NULL AS STRUCT<i: BIGINT, t: STRING>)"
+    lone = [
+        rows.select(*keys, F.lit(side).alias("side"), *own, "text", F.expr(none).alias("hit"), F.lit(0).alias("partners"))
+        for side, rows in marked.items()
+    ]
+    pairs = overlaps(marked["s"], marked["p"], keys, width=width)
+    met = lambda side, of, hit: F.struct(
+        F.lit(side).alias("side"), *[F.col(f"{of}.{c}") for c in own], F.lit(None).cast("string").alias("text"), hit.alias("hit"), F.lit(1).alias("partners")
     )
+    hit = F.struct(F.col("r.seg_index").cast("bigint").alias("i"), F.col("r.text").alias("t"))
+    both = pairs.select(*keys, F.inline(F.array(met("s", "l", hit), met("p", "r", F.expr(none)))))
     return (
-        pairs.groupBy(*[F.col(f"s_{k}").alias(k) for k in keys], F.col("s_index").alias("secondary_index"))
-        .agg(
-            F.any_value("s_start").alias("start_ms"),
-            F.any_value("s_end").alias("end_ms"),
-            F.any_value("s_text").alias("secondary_text"),
-            hits.alias("_hits"),
-        )
-        .withColumn("primary_indexes", F.transform("_hits", lambda h: h["i"]))
-        .withColumn("primary_text", F.array_join(F.transform("_hits", lambda h: h["t"]), ""))
-        .drop("_hits")
+        lone[0].unionByName(lone[1]).unionByName(both)
+        .groupBy(*keys, "side", *own)
+        .agg(F.any_value("text", True).alias("text"), F.array_sort(F.collect_list("hit")).alias("hits"), F.sum("partners").alias("partners"))
+    )
+
+
+def _texts(folded: DataFrame) -> DataFrame:
+    return folded.withColumn("primary_indexes", F.transform("hits", lambda h: h["i"])).withColumn(
+        "primary_text", F.array_join(F.transform("hits", lambda h: h["t"]), "")
     )
 
 
+def matched_text(
+    primary: DataFrame, secondary: DataFrame, keys: Sequence[str] = KEYS, width: int = WIDTH_MS
+) -> DataFrame:
+    """One row per secondary segment with the joined text and indexes of the primary ones it overlaps."""
+    return _texts(_folded(primary, secondary, keys, width).filter("side = 's'")).select(
+        *keys, F.col("seg_index").alias("secondary_index"), "start_ms", "end_ms", F.col("text").alias("secondary_text"),
+        "primary_indexes", "primary_text",
+    )
+
+
 def unmatched_primary(
-    primary: DataFrame, secondary: DataFrame, keys: Sequence[str] = KEYS, width: int = BIN_MS
+    primary: DataFrame, secondary: DataFrame, keys: Sequence[str] = KEYS, width: int = WIDTH_MS
 ) -> DataFrame:
     """Primary segments that overlap no secondary one."""
-    hit = overlap_pairs(primary, secondary, keys, width).select(*keys, F.col("primary_index").alias("seg_index"))
-    return primary.join(hit, [*keys, "seg_index"], "left_anti")
+    span = ["seg_index", "start_ms", "end_ms"]
+    hit = _pairs(primary, secondary, keys, width, *span).select(*[F.col(f"r.{c}").alias(f"_{c}") for c in [*keys, *span]])
+    same = F.lit(True)
+    for c in [*keys, "start_ms", "end_ms"]:
+        same &= F.col(c) == F.col(f"_{c}")
+    return primary.join(hit, same & F.col("seg_index").eqNullSafe(F.col("_seg_index")), "left_anti")
 
 
 def align(
     primary: DataFrame,
     secondary: DataFrame,
     keys: Sequence[str] = KEYS,
-    width: int = BIN_MS,
+    width: int = WIDTH_MS,
     with_ratio: bool = True,
 ) -> DataFrame:
     """Alignment rows: one per secondary segment, and one per primary segment without a partner.
 
     Without the ratio, risk rests on missing partners and token differences alone and every step
-    stays native.
+    stays native. Segments without index or times have no partner but keep their row.
     """
     tokens = lambda c: tokens_of(nfkc(F.col(c)))
-    matched = matched_text(primary, secondary, keys, width).withColumn(
-        "token_mismatch", token_mismatch(tokens("primary_text"), tokens("secondary_text"))
+    lone = F.col("side") == "p"
+    rows = _texts(_folded(primary, secondary, keys, width).filter("side = 's' OR partners = 0")).withColumns(
+        {
+            "secondary_index": F.when(~lone, F.col("seg_index")),
+            "primary_indexes": F.when(lone, F.array(F.col("seg_index").cast("bigint"))).otherwise(F.col("primary_indexes")),
+            "primary_text": F.when(lone, F.col("text")).otherwise(F.col("primary_text")),
+            "secondary_text": F.when(lone, F.lit("")).otherwise(F.col("text")),
+        }
     )
-    risky = (F.size("primary_indexes") == 0) | (F.size("token_mismatch") > 0)
+    rows = rows.withColumn("token_mismatch", token_mismatch(tokens("primary_text"), tokens("secondary_text")))
+    risky = lone | (F.size("primary_indexes") == 0) | (F.size("token_mismatch") > 0)
     ratio = F.lit(None).cast("double")
     if with_ratio:
         ratio = similarity(comparison_text(F.col("primary_text")), comparison_text(F.col("secondary_text")))
-    matched = matched.withColumn("_ratio", ratio)
-    if with_ratio:
         risky = risky | (F.col("_ratio") < RISK_RATIO)
-    columns = [
+    return rows.withColumn("_ratio", ratio).select(
         *keys, "secondary_index", "primary_indexes", "start_ms", "end_ms", "primary_text", "secondary_text",
-        "similarity_ratio", "token_mismatch", "high_risk", "decision",
-    ]
-    matched = matched.withColumns(
-        {
-            "similarity_ratio": F.bround("_ratio", 6),
-            "high_risk": risky,
-            "decision": F.lit(REVIEW),
-        }
-    ).select(columns)
-    lone = unmatched_primary(primary, secondary, keys, width).withColumns(
-        {
-            "secondary_index": F.lit(None).cast("bigint"),
-            "primary_indexes": F.array("seg_index"),
-            "primary_text": F.col("text"),
-            "secondary_text": F.lit(""),
-            "similarity_ratio": F.lit(0.0) if with_ratio else F.lit(None).cast("double"),
-            "token_mismatch": F.array_sort(tokens("text")),
-            "high_risk": F.lit(True),
-            "decision": F.lit(MISSING),
-        }
-    )
-    return matched.unionByName(lone.select(columns))
+        F.bround("_ratio", 6).alias("similarity_ratio"), "token_mismatch", risky.alias("high_risk"),
+        F.when(lone, MISSING).otherwise(REVIEW).alias("decision"),
+    )
 
 
 def alignment_order(keys: Sequence[str] = KEYS) -> list[Column]:

@@ -148,6 +148,21 @@ def damaged(segments: DataFrame) -> DataFrame:
     ).filter((s % 10 != 6) | (F.col("engine") == PRIMARY_ENGINE))
 
 
+def orphaned(segments: DataFrame) -> DataFrame:
+    """The segments, and beside them some of samples that no output names, and some without index."""
+    s, i = F.col("sample_id"), F.col("seg_index")
+    strange = segments.filter(s % 7 == 3).withColumn("sample_id", s + 1_000_000)
+    loose = segments.filter((s % 9 == 2) & (i == 1)).withColumn("seg_index", F.lit(None).cast("bigint"))
+    return segments.unionByName(strange).unionByName(loose)
+
+
+def long_segments(segments: DataFrame) -> DataFrame:
+    """The segments, and for every third sample one more over some 30,000 years, from before its start."""
+    spans = segments.filter("sample_id % 3 = 0").groupBy("run_id", "sample_id").agg((F.max("seg_index") + 1).alias("seg_index"))
+    long = spans.withColumns({"start_ms": -F.col("sample_id") - 1, "end_ms": F.lit(10**15), "text": F.lit("long")})
+    return segments.select(*long.columns).unionByName(long)
+
+
 def outputs(spark: SparkSession, sf: str) -> DataFrame:
     """Both engines' documents per candidate; a few disagree on the audio length."""
     engine = F.explode(F.array(F.lit(PRIMARY_ENGINE), F.lit(SECONDARY_ENGINE)))

@@ -342,11 +342,36 @@ oracle("raw_result_segments", f"""with c as (select conv_id, turn, trim(text, {B
   union all select conv_id, turn, 1, 4000, 4400, 'second', null from c where conv_id%5=1""")
 oracle("raw_result_rejects", "select conv_id, turn, 'no_segments' rejected_reason from conversations where conv_id%5=4")
 oracle("segment_validity", f"with {PIECES}, {DAMAGED} select *, case when segment_count=0 then 'no_segments' when first_bad_index is not null then 'invalid_segment' end invalid_reason from verdict")
+ORPHANED = """
+orph as (select * from dam union all select engine, run_id, sample_id+1000000, seg_index, start_ms, end_ms, text from dam where sample_id%7=3
+  union all select engine, run_id, sample_id, null, start_ms, end_ms, text from dam where sample_id%9=2 and seg_index=1),
+marked as (select o.*, exists (select 1 from outs x where x.sample_id=o.sample_id and x.engine=o.engine and x.run_id=o.run_id) known from orph o)"""
+oracle("orphan_segments", f"""with {PIECES}, {DAMAGED}, {ORPHANED} select run_id, sample_id, engine, seg_index, start_ms, end_ms, text,
+  case when not known then 'no_output' else 'no_index' end rejected_reason from marked where not known or seg_index is null""")
+oracle("orphan_validity", f"""with {PIECES}, {DAMAGED}, {ORPHANED}, loose as (select sample_id, engine, count(*) n from marked where known and seg_index is null group by 1,2)
+  select v.run_id, v.sample_id, v.engine, segment_count+coalesce(n,0) segment_count, first_bad_index, case when segment_count+coalesce(n,0)=0 then 'no_segments'
+  when first_bad_index is not null then 'invalid_segment' when n is not null then 'unindexed_segment' end invalid_reason from verdict v left join loose l using (sample_id, engine)""")
 oracle("segment_order", f"with {WHOLE} select sample_id, start_ms, end_ms, row_number() over (partition by sample_id order by start_ms, end_ms, 10000-seg_index)-1 seg_index from prim")
 
 # --- alignment -----------------------------------------------------------------------------------
 
 oracle("overlap_pairs", f"with {PIECES}, {ALIGN} select run_id, sample_id, secondary_index, primary_index, overlap_ms from pairs")
+oracle("long_overlap_pairs", f"""with {PIECES}, more as (select run_id, sample_id, seg_index, start_ms, end_ms from sec
+  union all select run_id, sample_id, max(seg_index)+1, -sample_id-1, 1000000000000000 from sec where sample_id%3=0 group by 1,2)
+  select s.run_id, s.sample_id, s.seg_index secondary_index, p.seg_index primary_index, least(s.end_ms,p.end_ms)-greatest(s.start_ms,p.start_ms) overlap_ms
+  from more s join prim p on s.sample_id=p.sample_id and least(s.end_ms,p.end_ms)-greatest(s.start_ms,p.start_ms)>0""")
+LOOSE = "select run_id, sample_id, seg_index, start_ms, end_ms, text from {0} union all select run_id, sample_id+1000000, seg_index, start_ms, end_ms, text from {0} where sample_id%7=3 union all select run_id, sample_id, null, start_ms, end_ms, text from {0} where sample_id%9=2 and seg_index=1"
+oracle("loose_alignments", f"""with {PIECES}, lp as ({LOOSE.format('prim')}), ls as ({LOOSE.format('sec')}),
+  np as (select *, row_number() over () k from lp), ns as (select *, row_number() over () k from ls),
+  x as (select s.k sk, p.k pk, p.seg_index i, p.text t from ns s join np p on s.sample_id=p.sample_id and least(s.end_ms,p.end_ms)-greatest(s.start_ms,p.start_ms)>0),
+  h as (select sk, string_agg(t, '' order by i nulls first, t) primary_text from x group by 1),
+  m as (select s.*, coalesce(h.primary_text,'') primary_text, h.sk is null alone from ns s left join h on h.sk=s.k),
+  tk as (select *, {tokens('primary_text')} pt, {tokens('text')} st from m),
+  mm as (select *, list_sort(list_concat(list_filter(pt, lambda v: not list_contains(st, v)), list_filter(st, lambda v: not list_contains(pt, v)))) d from tk)
+  select run_id, sample_id, seg_index secondary_index, start_ms, end_ms, text secondary_text, array_to_string(d,'|') token_mismatch, alone or len(d)>0 high_risk,
+  'keep_primary_review_secondary' decision from mm
+  union all select run_id, sample_id, null, start_ms, end_ms, '', array_to_string({tokens('text')},'|'), true, 'keep_primary_missing_secondary'
+  from np where k not in (select pk from x)""")
 oracle("matched_text", f"with {PIECES}, {ALIGN} select run_id, sample_id, secondary_index, start_ms, end_ms, secondary_text, primary_text, primary_indexes from matched")
 oracle("unmatched_primary", f"with {PIECES}, {ALIGN} select run_id, sample_id, seg_index, start_ms, end_ms, text from lone")
 oracle("alignment_tokens", f"with {PIECES}, {ALIGN} select * from align")
@@ -389,6 +414,8 @@ oracle("density_rank_correlation", f"""{ALL}, a as (select rank() over (order by
 
 oracle("pending_candidates", f"with {PIECES}, {DAMAGED} select run_id, sample_id, video_path from cand c where exists (select 1 from verdict v where v.sample_id=c.sample_id and (segment_count=0 or first_bad_index is not null))")
 oracle("eligible_candidates", f"with {PIECES} select run_id, sample_id from cand where sample_id%17<>3 and sample_id%3<>0")
+oracle("published_reports", f"""with {PIECES} select run_id, sample_id, 'candidates' report, case when (sample_id%40)%2=0 then 2*duration_seconds else duration_seconds end duration_seconds, null::varchar reason from cand
+  union all select run_id, sample_id, 'failures', null, reason from fails where (sample_id%40)%2=1 or sample_id%3=0""")
 oracle("pilot_phases", f"with {PIECES}, a as (select run_id, sample_id, row_number() over (partition by run_id order by sample_id) candidate_no from cand) select *, case when candidate_no<=2 then 'pilot' else 'remaining' end phase from a")
 oracle("duration_mismatches", f"with {PIECES} select run_id, sample_id, duration_seconds primary_duration, duration_seconds+0.25 secondary_duration from cand where sample_id%12=5")
 oracle("merged_stage", f"{ALL} select run_id, sample_id, passed, warning_count+case when sample_id%3=0 then 100 else 0 end warning_count from rep where sample_id%2=0 or sample_id%3=0")

@@ -13,7 +13,7 @@ from capsieve.functions import labels, paths, text, timecode
 from capsieve.operators import align, captions, catalog, profile, progress, quality, runs, snapshot
 from capsieve.plans import fixtures as fx
 from capsieve.session import shared_dir
-from capsieve.sources import eventlog, transcripts
+from capsieve.sources import eventlog, publish, transcripts
 from capsieve.streaming import progress as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,6 +360,27 @@ def segment_validity(spark, sf):
     ).select("run_id", "sample_id", "engine", "segment_count", "first_bad_index", "invalid_reason")
 
 
+_ALL_KEYS = ("run_id", "sample_id", "engine")
+
+
+def _orphaned(spark, sf):
+    return fx.once("orphaned", lambda: fx.orphaned(fx.damaged(fx.both_engines(spark, sf))))
+
+
+@query
+def orphan_segments(spark, sf):
+    """Segments of no known output, and segments without index."""
+    rows = transcripts.reject_segments(_orphaned(spark, sf), fx.outputs(spark, sf))
+    return rows.select(*_ALL_KEYS, "seg_index", "start_ms", "end_ms", "text", "rejected_reason")
+
+
+@query
+def orphan_validity(spark, sf):
+    """Validity of outputs some of whose segments have no index, beside segments of other samples."""
+    rows = transcripts.validate_segments(_orphaned(spark, sf), fx.outputs(spark, sf))
+    return rows.select(*_ALL_KEYS, "segment_count", "first_bad_index", "invalid_reason")
+
+
 @query
 def segment_order(spark, sf):
     shuffled = fx.pieces(spark, sf).select(
@@ -380,6 +401,21 @@ def overlap_pairs(spark, sf):
     return align.overlap_pairs(*_sides(spark, sf))
 
 
+@query
+def long_overlap_pairs(spark, sf):
+    """Overlaps where every third sample has a segment of some 30,000 years on the secondary side."""
+    prim, sec = _sides(spark, sf)
+    return align.overlap_pairs(prim, fx.long_segments(sec))
+
+
+@query
+def loose_alignments(spark, sf):
+    """Alignment rows of segments some of which have no index: they keep their rows."""
+    prim, sec = (fx.orphaned(side) for side in _sides(spark, sf))
+    rows = align.align(prim, sec.select(*prim.columns), with_ratio=False)
+    return _flat(rows).drop("similarity_ratio", "primary_text", "primary_indexes")
+
+
 @query
 def matched_text(spark, sf):
     rows = align.matched_text(*_sides(spark, sf))
@@ -652,6 +688,23 @@ def _verify(spark, sf):
     return runs.verify_publish(cands, fx.failures(spark, sf), videos, targets, digests)
 
 
+@query
+def published_reports(spark, sf):
+    """Candidates and failures published twice, the second time for the even runs, then by a writer that is lost; read
+    back from the files of the newest version."""
+    root = f"{shared_dir(spark)}/capsieve-published-{uuid.uuid4().hex}"
+    cands, fails = fx.candidates(spark, sf), fx.failures(spark, sf)
+    even = F.substring("run_id", 4, 9).cast("bigint") % 2 == 0
+    publish.publish(spark, root, {"candidates": cands, "failures": fails})
+    again = cands.filter(even).withColumn("duration_seconds", F.col("duration_seconds") * 2)
+    publish.publish(spark, root, {"candidates": again, "failures": fails.filter(even & (F.col("sample_id") % 3 == 0))}, runs=again)
+    publish.prepare(spark, root, {"candidates": cands.withColumn("duration_seconds", F.lit(0.0))})
+    none = lambda kind: F.lit(None).cast(kind)
+    one = publish.read(spark, root, "candidates").select(*KEYS, F.lit("candidates").alias("report"), "duration_seconds", none("string").alias("reason"))
+    two = publish.read(spark, root, "failures").select(*KEYS, F.lit("failures").alias("report"), none("double").alias("duration_seconds"), "reason")
+    return one.unionByName(two)
+
+
 @query
 def published_captions(spark, sf):
     return _published(spark, sf)

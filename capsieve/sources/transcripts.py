@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 from urllib.parse import quote
 
 import pandas as pd
@@ -344,18 +345,32 @@ def index_segments(
     return number_in_groups(segments, keys, order, "_n").withColumn("seg_index", F.col("_n") - 1).drop("_n")
 
 
+def reject_segments(
+    segments: DataFrame, outputs: DataFrame, keys: Sequence[str] = ("run_id", "sample_id", "engine")
+) -> DataFrame:
+    """Segments that no output can answer for, with ``rejected_reason``: ``no_output`` or ``no_index``."""
+    known = outputs.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().withColumn("_known", F.lit(True))
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys])
+    reason = F.when(F.col("_known").isNull(), "no_output").when(F.col("seg_index").isNull(), "no_index")
+    found = segments.join(known, same, "left").withColumn("rejected_reason", reason)
+    return found.filter("rejected_reason IS NOT NULL").select(*segments.columns, "rejected_reason")
+
+
 def validate_segments(
     segments: DataFrame, outputs: DataFrame, keys: Sequence[str] = ("run_id", "sample_id", "engine")
 ) -> DataFrame:
     """Per engine output: ``segment_count, first_bad_index, invalid_reason`` (null when valid).
 
-    ``outputs`` lists the outputs with their ``duration_seconds``; one without segments is invalid.
-    The end limit reaches the segments by way of the block table, never for a whole sample in one task.
+    ``outputs`` lists the outputs with their ``duration_seconds``; one without segments is invalid, and so is one with a
+    segment that has no index, as its place in the order is unknown. Segments of no listed output are in none of the
+    rows; :func:`reject_segments` gives those. The end limit reaches the segments by way of the block table, never for a whole sample in one task.
     """
     limit = (F.ceil(F.col("duration_seconds") * 1000.0) + 5000).alias("_limit")
     limits = outputs.select(*keys, limit)
     lagged = lag_in_blocks(
-        segments.select(*keys, "seg_index", "start_ms", "end_ms", is_blank(F.col("text")).alias("_blank")),
+        segments.filter("seg_index IS NOT NULL").select(
+            *keys, "seg_index", "start_ms", "end_ms", is_blank(F.col("text")).alias("_blank")
+        ),
         keys,
         F.floor(F.col("seg_index") / INDEX_BLOCK),
         ["seg_index"],
@@ -373,14 +388,17 @@ def validate_segments(
         F.count("*").alias("segment_count"),
         F.min(F.when(bad | late, F.col("seg_index"))).alias("first_bad_index"),
     )
+    loose = segments.filter("seg_index IS NULL").groupBy(*keys).agg(F.count("*").alias("_loose"))
     return (
         outputs.select(*keys)
         .join(checked, list(keys), "left")
-        .withColumn("segment_count", F.coalesce("segment_count", F.lit(0)))
+        .join(loose, list(keys), "left")
+        .withColumn("segment_count", F.coalesce("segment_count", F.lit(0)) + F.coalesce("_loose", F.lit(0)))
         .withColumn(
             "invalid_reason",
-            F.when(F.col("segment_count") == 0, "no_segments").when(
-                F.col("first_bad_index").isNotNull(), "invalid_segment"
-            ),
+            F.when(F.col("segment_count") == 0, "no_segments")
+            .when(F.col("first_bad_index").isNotNull(), "invalid_segment")
+            .when(F.col("_loose").isNotNull(), "unindexed_segment"),
         )
+        .drop("_loose")
     )
