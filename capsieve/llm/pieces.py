@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capsieve.llm.tables import packed
+from capsieve.llm.tables import kept_in_worker, packed
 
 #: The mark that stands for a space inside pieces, and the piece types of the file format.
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Distinct units whose ids a worker remembers: the newest up to this number and as many before. Longer ones aren't.
-REMEMBERED, LONGEST_REMEMBERED = 600_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 400_000, 48
 
 
 def read_model(path: str) -> tuple[list[tuple[str, float, int]], bool]:
@@ -79,6 +79,8 @@ class Codec:
         self.parts: dict[str, str] = {}
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
+        #: Units whose ids decode to other text than the unit's own, with that text; kept with ``known``.
+        self.odd: dict[str, str] = {}
 
     def merge(self, text: str) -> list[str]:
         """Merging as defined: the pair of the best score first, of equal ones the leftmost. For short texts."""
@@ -125,7 +127,7 @@ class Codec:
         """Ids of a text without runs of spaces, as decimal text; remembered for short ones."""
         found = self.parts.get(text)
         if found is None:
-            found = self.spell(self.backtrack(text))
+            found = str(self.id[text]) if text in self.reach else self.spell(self.backtrack(text))
             if len(text) <= LONGEST_REMEMBERED:
                 if len(self.parts) >= REMEMBERED // 2:
                     self.parts.clear()
@@ -196,11 +198,19 @@ class Codec:
         first = next((p for p in map(int, ids.split(" ", 2)[:2]) if self.pieces[p][2] != CONTROL), None) if ids else None
         return text[1:] if self.dummy_prefix and first is not None and self.pieces[first][0][0] == SPACE else text
 
+    def text_of(self, ids: str) -> str:
+        """What ids decode to, the first mark included."""
+        raw = b"".join(map(self.raw.__getitem__, ids.split(" "))) if ids else b""
+        return raw.decode(errors="replace")
+
     def entry(self, unit: str) -> str:
-        """Ids of a unit that isn't among the newest remembered ones."""
+        """Ids of a unit that isn't among the newest remembered ones; they are decoded, and what isn't the unit is noted."""
         found = self.older.get(unit)
         if found is None:
             found = self.spell(self.split(unit)) if SPACE * 2 in unit else " ".join(map(self.spelt, self.cut(unit)))
+        said = self.text_of(found)
+        if said != unit.replace(SPACE, " "):
+            self.odd[unit] = said
         if len(unit) <= LONGEST_REMEMBERED:
             if len(self.known) >= REMEMBERED:
                 self.older, self.known = self.known, {}
@@ -208,23 +218,27 @@ class Codec:
         return found
 
     def encode(self, text: str, end: bool = True) -> tuple[int, str, str]:
-        """Number of ids, ids as decimal text joined by a space, and the text that they decode to."""
+        """Number of ids, ids as decimal text joined by a space, and the text that they decode to.
+
+        No piece crosses the border of two units, so the decoded text is that of the units' ids one after the other.
+        """
         marked = (SPACE * self.dummy_prefix + text).replace(" ", SPACE) if text else ""
         known, entry = self.known, self.entry
-        found = [known.get(u) or entry(u) for u in self.unit.findall(marked) if u]
+        units = [u for u in self.unit.findall(marked) if u]
+        found = [known.get(u) or entry(u) for u in units]
         ids = " ".join(found + self.end if end else found)
-        return ids.count(" ") + 1 if ids else 0, ids, self.decode_spelt(ids)
-
-
-CODECS: dict[str, Codec] = {}
+        if self.odd and any(u in self.odd for u in units):
+            decoded = self.decode_spelt(ids)
+        else:
+            decoded = marked.replace(SPACE, " ")
+            if self.dummy_prefix and units and self.pieces[int(found[0].partition(" ")[0])][0][0] == SPACE:
+                decoded = decoded[1:]
+        return ids.count(" ") + 1 if ids else 0, ids, decoded
 
 
 def codec(key: str, pieces: list[tuple[str, float, int]], dummy_prefix: bool) -> Codec:
     """The codec of a model, kept while a worker lives."""
-    if key not in CODECS:
-        CODECS.clear()
-        CODECS[key] = Codec(pieces, dummy_prefix)
-    return CODECS[key]
+    return kept_in_worker("capsieve_codec", key, lambda: Codec(pieces, dummy_prefix))
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", end: bool = True, decoded: bool = True) -> DataFrame:

@@ -32,6 +32,14 @@ def test_against_the_library(library):
         assert own.encode(SPACE * n + "t") == library(SPACE * n + "t")
 
 
+def test_what_decodes_to_other_text(library):
+    own = Codec(*read_model(MODEL))
+    texts = ["a\u2581b", "\u2581", "\u2581\u2581 x", " \u2581", "\x00 \x01", "\ufffd", "a" * 60 + " " + "\u2581" * 60, "\ud7ff\ue000", "\U0010ffff x"]
+    for text in texts * 2:
+        assert own.encode(text) == library(text)
+        assert own.encode(text)[2] == own.decode_spelt(own.encode(text)[1])
+
+
 def test_every_fit_is_what_merging_gives():
     own, pick = Codec(*read_model(MODEL)), random.Random(2)
     for _ in range(2000):
