@@ -1,8 +1,8 @@
 """Filter interaction audit over a sparse document-term matrix.
 
 Documents are tokenised in shards. A shard is a matrix in compressed sparse row form whose columns are the shard's own
-words; the words of all shards form one global dictionary, and joining a shard's words with it turns its columns into
-global ones. Row sums and nonzero counts of the matrix decide the filters on the number of words and on their
+words; the words of all shards are numbered together, the global dictionary, and the numbers of a shard's words turn its
+columns into global ones. Row sums and nonzero counts of the matrix decide the filters on the number of words and on their
 repetition. The other filters look at characters and at equal texts. What the filters do to each other in any order
 follows from the number of documents by the set of filters they fail.
 """
@@ -16,15 +16,16 @@ from math import factorial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from capsieve.llm.tables import shuffle_partitions
 from capsieve.session import materialize
 
 #: Bytes of text from which a shard is closed; its words and numbers stay in one task.
 SHARD_BYTES = 12_000_000
-LOW_BITS = (1 << 33) - 1
 #: The filters in their order; filter i has bit i.
 FILTERS = "ABCDE"
 SIGNS = b"#$%&*|"
@@ -124,25 +125,45 @@ def tokenised(docs: DataFrame, part: str, text: str, doc_id: str) -> DataFrame:
     return materialize(rows.mapInArrow(build, SHARD_DDL))
 
 
-def dictionary(shards: DataFrame) -> DataFrame:
-    """``word`` and ``word_id``, 0, 1, ... without gaps over the words of all shards.
+def numbered(shards: DataFrame) -> DataFrame:
+    """Each word of each shard (``of_shard``, ``place``) with ``block`` and ``word_no``, its number among the block's words.
+
+    Words are dealt over blocks and sorted there, so equal ones stand together; a word has a row for each shard it is in,
+    however often it occurs. ``word`` is given at its first row only.
+    """
+    words = shards.select(F.col("shard").alias("of_shard"), F.posexplode("words").alias("place", "word"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, last, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            known = batch.column(2).dictionary_encode()  # in the order of appearance
+            goes_on = last is not None and known.dictionary[0].as_py() == last
+            number = known.indices.to_numpy().astype(np.int64) + seen - goes_on
+            first = np.diff(number, prepend=seen - 1) > 0
+            last, seen = known.dictionary[-1].as_py(), int(number[-1]) + 1
+            word = pc.if_else(pa.array(first), batch.column(2), pa.scalar(None, pa.binary()))
+            blocks = pa.array(np.full(len(number), block, np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), blocks, pa.array(number), word], names=["of_shard", "place", "block", "word_no", "word"]
+            )
+
+    dealt = words.repartition(shuffle_partitions(shards.sparkSession), "word").sortWithinPartitions("word")
+    return materialize(dealt.mapInArrow(number, "of_shard long, place int, block int, word_no long, word binary"))
+
+
+def columns(numbers: DataFrame) -> DataFrame:
+    """``numbers`` with ``word_id``, 0, 1, ... without gaps over all words; where ``word`` isn't null, the dictionary.
 
     The broadcast offsets hold one row per shuffle partition.
     """
-    words = shards.select(F.explode("words").alias("word")).distinct()
-    placed = words.select(
-        "word",
-        F.spark_partition_id().alias("block"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit(LOW_BITS)).alias("place"),
-    )
-    fixed = materialize(placed)
-    sizes = fixed.groupBy("block").count().orderBy("block").collect()
     offsets, total = [], 0
-    for block, n in sizes:
+    for block, n in numbers.groupBy("block").agg(F.max("word_no") + 1).orderBy("block").collect():
         offsets.append((block, total))
         total += n
-    table = fixed.sparkSession.createDataFrame(offsets, "block int, offset long")
-    return fixed.join(F.broadcast(table), "block").select("word", (F.col("offset") + F.col("place")).alias("word_id"))
+    table = numbers.sparkSession.createDataFrame(offsets, "block int, offset long")
+    return numbers.join(F.broadcast(table), "block").withColumn("word_id", F.col("offset") + F.col("word_no"))
 
 
 def matrix(docs: DataFrame, part: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -151,11 +172,10 @@ def matrix(docs: DataFrame, part: str = "source", text: str = "text", doc_id: st
     ``indptr``, ``indices`` and ``counts`` are the shard's rows in compressed sparse row form (see :func:`unsqueeze`;
     int64, ``counts`` int32), ``indices`` those of the global dictionary. ``doc_id``, ``part``, ``digest`` (SHA-256 of the text),
     ``shouting`` and ``signs`` have one value for each row of the matrix. A shard has some 12 MB of text, or one
-    document. Each word crosses the network once for each shard it is in, however often it occurs there.
+    document.
     """
     shards = tokenised(docs, part, text, doc_id)
-    words = shards.select(F.col("shard").alias("of_shard"), F.posexplode("words").alias("place", "word"))
-    columns = words.join(dictionary(shards), "word").select("of_shard", "place", "word_id")
+    known = columns(numbered(shards)).select("of_shard", "place", "word_id")
 
     def encode(own: pa.Table, known: pa.Table) -> pa.Table:
         if not own.num_rows:
@@ -166,7 +186,7 @@ def matrix(docs: DataFrame, part: str = "source", text: str = "text", doc_id: st
         blob = pa.array([squeeze(column[local])], pa.binary())
         return own.set_column(own.column_names.index("indices"), MATRIX.field("indices"), blob)
 
-    rows = shards.drop("words").groupBy("shard").cogroup(columns.groupBy("of_shard"))
+    rows = shards.drop("words").groupBy("shard").cogroup(known.groupBy("of_shard"))
     return rows.applyInArrow(encode, MATRIX_DDL)
 
 
@@ -205,9 +225,9 @@ def histogram(docs: DataFrame, labels: DataFrame, part: str = "source", text: st
     one = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False)).cast("long")).alias(c)
     said = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(one("quality"), one("toxic"))
     copy = F.when(F.col("doc_id") > F.col("first"), 1 << FILTERS.index("E")).otherwise(0)
-    judged = rows.join(firsts.drop("n"), "digest", "left").withColumn("failed", F.col("failed") + copy)
+    judged = rows.join(said, "doc_id", "left").join(firsts.drop("n"), "digest", "left")
     return (
-        judged.join(said, "doc_id", "left")
+        judged.withColumn("failed", F.col("failed") + copy)
         .groupBy(F.coalesce("part", F.lit("")).alias("part"), "failed")
         .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("quality"), F.lit(0)).alias("good"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"))
     )
