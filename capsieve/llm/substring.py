@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capsieve.llm import countmin
+from capsieve.llm.tables import text_numbers, with_text_number
 from capsieve.llm.wordhash import pack, pack_sorted, runs, starts_of_runs, together, unpack, unpack_sorted, word_hashes
 from capsieve.session import materialize
 
@@ -39,46 +40,48 @@ def ask(size: int, bits: int, sketch, shards: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids = batch["doc_id"].to_numpy(np.int64)
+            ids, numbers = batch["doc_id"].to_numpy(np.int64), batch["text_no"].to_numpy(np.int32)
             for first, text, place, (h, g) in window_hashes(batch["text"].tolist(), size, 2):
                 near = np.flatnonzero(countmin.estimated(h, bits, sketch.value))
                 if not len(near):
                     continue
-                h, g, place, doc = h[near], g[near], place[near].astype(np.int32), ids[first + text[near]]
-                order = np.lexsort((place, doc, g, h))
-                h, g, place, doc = h[order], g[order], place[order], doc[order]
+                h, g, place, row = h[near], g[near], place[near].astype(np.int32), first + text[near]
+                order = np.lexsort((place, ids[row], g, h))
+                h, g, place, row = h[order], g[order], place[order], row[order]
+                doc, no = ids[row], numbers[row]
                 start = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
                 least = doc[np.flatnonzero(start)][np.cumsum(start) - 1]
                 told = doc > least
                 out = []
                 if told.any():
-                    out.append((int(doc[0]) % shards, True, b"", b"", pack(doc[told]), pack(place[told])))
-                h, g, place, doc = h[~told], g[~told], place[~told], doc[~told]
+                    out.append((int(doc[0]) % shards, True, b"", b"", pack(doc[told]), pack(no[told]), pack(place[told])))
+                h, g, place, doc, no = h[~told], g[~told], place[~told], doc[~told], no[~told]
                 cut = np.searchsorted((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
-                out += [(s, False, pack_sorted(h[i:j]), pack(g[i:j]), pack(doc[i:j]), pack(place[i:j])) for s, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
-                yield pd.DataFrame(out, columns=["shard", "told", "high", "low", "ids", "places"])
+                out += [(s, False, pack_sorted(h[i:j]), pack(g[i:j]), pack(doc[i:j]), pack(no[i:j]), pack(place[i:j])) for s, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
+                yield pd.DataFrame(out, columns=["shard", "told", "high", "low", "ids", "numbers", "places"])
 
     return run
 
 
 def answer(rows: pd.DataFrame) -> pd.DataFrame:
-    """Places of the windows of a shard that also start in a document of a smaller id, by document."""
+    """Places of the windows of a shard that also start in a document of a smaller id, by document and text."""
     told = rows["told"].to_numpy(bool)
     asked = rows[~told]
     join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts])
     h, g = join((unpack_sorted(x, "<u8") for x in asked["high"]), "<u8"), join((unpack(x, "<u8") for x in asked["low"]), "<u8")
-    doc, place = join((unpack(x, "<i8") for x in asked["ids"]), "<i8"), join((unpack(x, "<i4") for x in asked["places"]), "<i4")
+    doc = join((unpack(x, "<i8") for x in asked["ids"]), "<i8")
+    no, place = (join((unpack(x, "<i4") for x in asked[c]), "<i4") for c in ("numbers", "places"))
     order = np.lexsort((doc, g, h))
-    h, g, doc, place = h[order], g[order], doc[order], place[order]
+    h, g, doc, no, place = h[order], g[order], doc[order], no[order], place[order]
     start = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])[: len(h)]
     least = doc[np.flatnonzero(start)][np.cumsum(start) - 1] if len(h) else doc
     far = doc > least
-    doc = np.concatenate([doc[far], *(unpack(x, "<i8") for x in rows.loc[told, "ids"])])
-    place = np.concatenate([place[far], *(unpack(x, "<i4") for x in rows.loc[told, "places"])])
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    own, at = np.unique(doc, return_index=True)
-    return pd.DataFrame({"doc_id": own, "places": pd.Series(np.split(place, at[1:]) if len(own) else [], dtype=object)})
+    more = {c: [unpack(x, kind) for x in rows.loc[told, c]] for c, kind in (("ids", "<i8"), ("numbers", "<i4"), ("places", "<i4"))}
+    doc, no, place = (np.concatenate([x[far], *y]) for x, y in zip((doc, no, place), more.values()))
+    order = np.lexsort((place, no, doc))
+    doc, no, place = doc[order], no[order], place[order]
+    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (no[1:] != no[:-1])])[: len(doc)])
+    return pd.DataFrame({"doc_id": doc[at], "text_no": no[at], "places": pd.Series(np.split(place, at[1:]) if len(at) else [], dtype=object)})
 
 
 def ranges(size: int):
@@ -92,7 +95,7 @@ def ranges(size: int):
                 gap = np.flatnonzero(np.diff(p) > size)
                 starts.append(p[np.concatenate([[0], gap + 1])])
                 ends.append(p[np.concatenate([gap, [len(p) - 1]])] + size)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].tolist(), "starts": pd.Series(starts, dtype=object), "ends": pd.Series(ends, dtype=object)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].tolist(), "text_no": batch["text_no"].tolist(), "starts": pd.Series(starts, dtype=object), "ends": pd.Series(ends, dtype=object)})
 
     return run
 
@@ -103,23 +106,24 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Words are runs without space, tab, line feed, vertical tab, form feed and return, unchanged. A window is ``size``
     words of one document. Each word goes that a window covers whose words also start in a document of a smaller id;
     windows are judged on the input. Null and empty texts have no words. Rows that repeat an id don't count against
-    each other; rows without id keep all words. An empty table gives no rows; other columns aren't carried. An id
-    names one text: rows that repeat it with another text share their removals.
+    each other; rows without id keep all words. An empty table gives no rows; other columns aren't carried. Texts that
+    share an id lose their own words only.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = with_text_number(rows, text_numbers(rows))
     named = rows.where("doc_id IS NOT NULL")
     length = countmin.length(named)
     bits, sketch = countmin.repeated(named, length, lambda texts: (h[0] for _, _, _, h in window_hashes(texts, size, 1)))
     shared = spark.sparkContext.broadcast(sketch)
-    packed = "shard int, told boolean, high binary, low binary, ids binary, places binary"
+    packed = "shard int, told boolean, high binary, low binary, ids binary, numbers binary, places binary"
     asked = named.mapInPandas(ask(size, bits, shared, countmin.shards(length)), packed)
-    found = asked.groupBy("shard").applyInPandas(answer, "doc_id long, places array<int>")
-    # A list for each document and shard; all lists of a document together are no longer than its text.
-    whole = found.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))
-    gone = materialize(whole.mapInPandas(ranges(size), "doc_id long, starts array<int>, ends array<int>"))
+    found = asked.groupBy("shard").applyInPandas(answer, "doc_id long, text_no int, places array<int>")
+    # A list for each text and shard; all lists of a text together are no longer than it.
+    whole = found.groupBy("doc_id", "text_no").agg(F.flatten(F.collect_list("places")).alias("places"))
+    gone = materialize(whole.mapInPandas(ranges(size), "doc_id long, text_no int, starts array<int>, ends array<int>"))
     weight = gone.agg(F.sum(F.lit(64).cast("long") + 8 * F.size("starts"))).first()[0] or 0
-    held = rows.join(F.broadcast(gone) if weight <= BROADCAST_BYTES else gone, "doc_id", "left")
+    held = rows.join(F.broadcast(gone) if weight <= BROADCAST_BYTES else gone, ["doc_id", "text_no"], "left")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -9,6 +9,9 @@ from types import ModuleType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from capsieve.operators.ordering import number_in_groups
+from capsieve.session import materialize
+
 #: Rows of one Arrow batch; texts are long, so the default of 10,000 would make large batches.
 BATCH_ROWS = "2000"
 BATCH_BYTES = "16m"
@@ -60,3 +63,29 @@ def kept_in_worker(name: str, key: str, make: Callable):
         holder.held = None
         holder.held, holder.key = make(), key
     return holder.held
+
+
+def text_numbers(rows: DataFrame) -> DataFrame | None:
+    """doc_id, digest and text_no (1, 2, ...) of the texts of all ids that name more than one text; None without any.
+
+    ``rows`` have doc_id and text. An id may name any number of them: they are numbered without gathering an id's rows.
+    """
+    digests = rows.where("doc_id IS NOT NULL").select("doc_id", text_digest(F.col("text")).alias("digest"))
+    several = digests.groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most")
+    several = materialize(several.select("doc_id"))
+    if not several.limit(1).count():
+        return None
+    return materialize(number_in_groups(digests.join(several, "doc_id", "left_semi").distinct(), ["doc_id"], [F.col("digest")], "text_no"))
+
+
+def with_text_number(rows: DataFrame, numbers: DataFrame | None) -> DataFrame:
+    """``rows`` with ``text_no``: 0 where the id has one text."""
+    if numbers is None:
+        return rows.withColumn("text_no", F.lit(0))
+    found = rows.withColumn("digest", text_digest(F.col("text"))).join(numbers, ["doc_id", "digest"], "left")
+    return found.withColumn("text_no", F.coalesce(F.col("text_no").cast("int"), F.lit(0))).select(*rows.columns, "text_no")
+
+
+def text_digest(text: Column) -> Column:
+    """Null counts as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)

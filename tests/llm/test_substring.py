@@ -34,6 +34,9 @@ def corpus(seed, size):
     for i in range(60):
         parts = [pick.choice(passages) if pick.random() < 0.5 else [word() for _ in range(pick.randint(0, 2 * size))] for _ in range(4)]
         rows.append((i * 37 % 101, pick.choice([" ", "\n", " \t"]).join(w for p in parts for w in p)))
+    words = [word() for _ in range(3 * size)]
+    rows += [(400, " ".join(words)), (401, " ".join(words)), (401, " ".join(word() for _ in range(3 * size))), (401, None), (401, " ".join(["new", *words[1:]]))]
+    rows += [(402, " ".join(words[: size + 1])), (402, " ".join(words))]
     rows += [(300, rows[0][1]), (301, rows[0][1]), (301, rows[0][1]), (302, None), (303, ""), (304, " \n "), (None, rows[0][1]), (305, "same " * 900), (306, "x" * 50_000), (307, "same " * 901 + "  end")]
     return rows
 
