@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import threading
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -305,6 +307,40 @@ def event_lines(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("line_no"), value.alias("value"))
 
 
+def log_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """The event lines as bytes of a log for each run: ``run_id, start, content`` and the log's length ``total``."""
+    lines = event_lines(spark, sf).withColumn("content", F.encode(F.concat("value", F.lit("\n")), "UTF-8"))
+    size = F.octet_length("content").cast("bigint")
+    placed = running_sum_in_blocks(lines, ["run_id"], F.floor(F.col("line_no") / TURN_BLOCK), ["line_no"], {"start": size})
+    total = placed.groupBy("run_id").agg(F.max(F.col("start") + size).alias("total"))
+    return placed.join(total, "run_id").select("run_id", "start", "content", "total")
+
+
+def append_logs(logs: DataFrame, folder: str, part: int, parts: int) -> None:
+    """A producer's stand-in: the part-th share of each log's bytes is written behind what is there, cut anywhere.
+
+    Each task writes its lines' bytes at their places, so a task that runs again changes nothing. The folder must be
+    mounted where the tasks run.
+    """
+    root = folder.removeprefix("file://")
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(root, exist_ok=True)
+        n = 0
+        for frame in frames:
+            for run, start, content, total in zip(frame["run_id"], frame["start"], frame["content"], frame["total"]):
+                low, high = total * (part - 1) // parts, total * part // parts
+                piece = content[max(0, low - start) : max(0, high - start)]
+                if piece:
+                    file = os.open(f"{root}/{run}.log", os.O_WRONLY | os.O_CREAT, 0o644)
+                    os.pwrite(file, piece, max(start, low))
+                    os.close(file)
+                    n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    logs.mapInPandas(write, "n long").agg(F.sum("n")).collect()
+
+
 def progress_totals(spark: SparkSession, sf: str) -> DataFrame:
     u = F.col("user_id")
     return table(spark, sf, "events").select(

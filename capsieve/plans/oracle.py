@@ -501,3 +501,18 @@ oracle("failure_reports", f"""{LINES}, {LAST}, out as (select run_id, right(trim
 for stream, batch in (("streamed_events", "parsed_events"), ("streamed_progress", "run_progress"), ("streamed_status", "last_events")):
     oracle(stream, ORACLE[batch])
 oracle("streamed_failures", f"select distinct run_id, sample_id from ({ORACLE['parsed_events']}) where event='candidate_failed'")
+
+BYTES = f"""{LINES}, z as (select run_id, line_no, {VALUE} v from p),
+y as (select run_id, line_no old, coalesce(sum(strlen(v)+1) over (partition by run_id order by line_no rows between unbounded preceding and 1 preceding), 0)::bigint pos from z),
+grown as (select parsed.* replace (y.pos as line_no) from parsed join y on parsed.run_id=y.run_id and parsed.line_no=y.old)"""
+oracle("growing_events", f"{BYTES} select * from grown")
+oracle("ended_runs", f"""{BYTES}, ends as (select run_id, min(line_no) fin from grown where event='done' group by 1),
+  r as (select g.*, fin from grown g left join ends using (run_id) where event in ('progress','candidate_failed')),
+  seen as (select run_id, video_path, engine, min(line_no) line from r where event='progress' and (fin is null or line_no<fin) group by 1,2,3),
+  vid as (select run_id, video_path, count(*) k, max(line) line from seen group by 1,2),
+  cnt as (select run_id, count(*) filter (where k=2) completed, sum(k)::bigint steps, max(line) line from vid group by 1)
+  select coalesce(c.run_id, e.run_id) run_id, 'progress' kind, coalesce(fin, line) line_no, coalesce(completed,0) completed, coalesce(steps,0) steps, fin is not null done,
+    null::varchar sample_id, null::varchar video_path, null::varchar phase, null::varchar reason from cnt c full join ends e using (run_id)
+  union all select run_id, 'failure', line_no, null, null, false, sample_id, video_path, phase, reason from r where event='candidate_failed' and (fin is null or line_no<fin)
+    qualify row_number() over (partition by run_id, sample_id order by line_no)=1
+  union all select run_id, 'late', line_no, null, null, true, sample_id, video_path, phase, reason from r where line_no>fin""")

@@ -13,7 +13,8 @@ from capsieve.functions import labels, paths, text, timecode
 from capsieve.operators import align, captions, catalog, profile, progress, quality, runs, snapshot
 from capsieve.plans import fixtures as fx
 from capsieve.session import shared_dir
-from capsieve.sources import eventlog, publish, transcripts
+from capsieve.sources import eventlog, growing, publish, transcripts
+from capsieve.streaming import lifecycle
 from capsieve.streaming import progress as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -869,3 +870,30 @@ def streamed_status(spark, sf):
 def streamed_failures(spark, sf):
     stream, out = _live(spark, sf)
     return live.drain(live.failed_candidates(stream), out).select("run_id", "sample_id")
+
+
+# --- logs that grow while a stream reads them ----------------------------------------------------
+
+
+def _grown(spark, sf, fold, mode):
+    """What a stream gives over logs that are appended to between its runs, in pieces that end inside lines."""
+    folder = f"{shared_dir(spark)}/capsieve-logs-{uuid.uuid4().hex}"
+    logs = fx.once("log_bytes", lambda: fx.log_bytes(spark, sf))
+    for part in (1, 2, 3):
+        fx.append_logs(logs, f"{folder}/logs", part, 3)
+        rows = live.drain(fold(live.route(growing.read_logs(spark, f"{folder}/logs").drop("path"))), f"{folder}/out", mode)
+    return rows
+
+
+@query
+def growing_events(spark, sf):
+    """Events of logs that grow; a line's number is the byte at which it starts."""
+    rows = _grown(spark, sf, lambda parsed: parsed, "append")
+    return rows.withColumn("run_id", F.col("run_id").cast("bigint"))
+
+
+@query
+def ended_runs(spark, sf):
+    """Progress, failures and late rows of growing logs, the state of a run removed when it is done."""
+    rows = lifecycle.settled(_grown(lifecycle.with_states(spark), sf, lifecycle.fold_runs, "update"))
+    return rows.withColumn("run_id", F.col("run_id").cast("bigint"))

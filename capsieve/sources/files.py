@@ -24,7 +24,7 @@ ROWS_PER_BATCH = 10_000
 CHUNK = 1 << 20
 
 
-def _open(path: str) -> tuple[FileSystem, str]:
+def open_store(path: str) -> tuple[FileSystem, str]:
     return FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
 
 
@@ -35,7 +35,7 @@ def _linked(store: FileSystem, path: str) -> bool:
 def _list_folders(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for root, order, folder in zip(frame["root"], frame["root_ord"], frame["path"]):
-            store, inner = _open(folder)
+            store, inner = open_store(folder)
             # A linked folder is neither a file nor walked: links can form cycles.
             entries = [e for e in store.get_file_info(FileSelector(inner)) if e.type != FileType.Directory or not _linked(store, e.path)]
             base = folder[: len(folder) - len(inner)]
@@ -94,7 +94,7 @@ def _read_whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for i in range(len(frame)):
             one = frame.iloc[i : i + 1]
-            store, inner = _open(one["path"].iloc[0])
+            store, inner = open_store(one["path"].iloc[0])
             with store.open_input_stream(inner) as stream:
                 yield one.assign(content=[stream.read()])
 
@@ -109,7 +109,7 @@ def _hash_chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         digests = []
         for path in frame["path"]:
-            store, inner = _open(path)
+            store, inner = open_store(path)
             digest = hashlib.sha256()
             with store.open_input_stream(inner) as stream:
                 while chunk := stream.read(CHUNK):
