@@ -16,6 +16,7 @@ from capsieve.functions.paths import is_video
 from capsieve.operators import catalog
 from capsieve.operators.ordering import running_sum_in_blocks
 from capsieve.session import materialize
+from capsieve.sources.files import open_store
 
 PIECE = 24
 RUNS = 40
@@ -248,6 +249,24 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def put_files(rows: DataFrame, folder: str) -> str:
+    """Write one file for each row of ``path`` (below the folder) and ``content``; a task that runs again writes the same."""
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = 0
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"]):
+                store, inner = open_store(f"{folder}/{path.lstrip('/')}")
+                store.create_dir(inner.rsplit("/", 1)[0])
+                with store.open_output_stream(inner) as out:
+                    out.write(content or b"")
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    rows.select("path", "content").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
 def snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Baseline and current fingerprints of one file per document."""
     d = F.col("doc_id")

@@ -516,3 +516,20 @@ oracle("ended_runs", f"""{BYTES}, ends as (select run_id, min(line_no) fin from
   union all select run_id, 'failure', line_no, null, null, false, sample_id, video_path, phase, reason from r where event='candidate_failed' and (fin is null or line_no<fin)
     qualify row_number() over (partition by run_id, sample_id order by line_no)=1
   union all select run_id, 'late', line_no, null, null, true, sample_id, video_path, phase, reason from r where line_no>fin""")
+
+# --- files read back -----------------------------------------------------------------------------
+
+oracle("listed_media", f"{CATALOG} select distinct m.path, strlen(coalesce(text,''))::bigint length from media m join documents using (doc_id) where m.path not like '%.jpg'")
+oracle("listed_texts", "select '/f'||(doc_id%10)||'/clip'||doc_id||'.txt' path, strlen(coalesce(text,''))::bigint length, sha256(coalesce(text,'')) sha256 from documents")
+oracle("hashed_files", "select '/f'||(doc_id%7)||'/'||doc_id path, true as exists, strlen(coalesce(text,''))::bigint size, sha256(coalesce(text,'')) sha256 from documents")
+oracle("optional_reports", "select '/good'||doc_id||'.json' path, doc_id number, coalesce(text,'') note from documents")
+SPACES = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||chr(32)||chr(133)||chr(160)||chr(12288)"
+oracle("listed_terms", f"""with l as (select doc_id, regexp_split_to_array(coalesce(text,''), '\\r\\n|\\r|\\n') a from documents),
+  n as (select doc_id, unnest(a) line, generate_subscripts(a, 1)+1 line_no from l),
+  k as (select doc_id, line_no, string_split(line, ',') a from n where not starts_with(trim(line, {SPACES}), '#')),
+  t as (select doc_id, line_no, unnest(a) part, generate_subscripts(a, 1)-1 part_no from k)
+  select '/'||doc_id||'.txt' path, line_no::bigint*2147483648+part_no as position, trim(part, {SPACES}) term from t where trim(part, {SPACES})<>''""")
+oracle("listed_exclusions", "select '/v/é '||doc_id||'.mp4' video_path from documents union select '/v/é '||(doc_id+1)||'.mp4' from documents")
+oracle("stored_captions", ORACLE["caption_digests"])
+oracle("stored_reports", f"""with {PIECES} select run_id, sample_id, 'candidates' report, case when (sample_id%40)%2=0 then 2*duration_seconds else duration_seconds end duration_seconds, null::varchar reason from cand
+  union all select run_id, sample_id, 'failures', null, reason from fails""")

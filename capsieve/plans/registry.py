@@ -13,7 +13,7 @@ from capsieve.functions import labels, paths, text, timecode
 from capsieve.operators import align, captions, catalog, profile, progress, quality, runs, snapshot
 from capsieve.plans import fixtures as fx
 from capsieve.session import shared_dir
-from capsieve.sources import eventlog, growing, publish, transcripts
+from capsieve.sources import eventlog, files, growing, publish, sinks, transcripts
 from capsieve.streaming import lifecycle
 from capsieve.streaming import progress as live
 
@@ -135,6 +135,81 @@ def engine_terms(spark, sf):
     return catalog.terms(found.withColumn("video_path", F.concat("stem", F.lit(".mp4")))).select("run_id", "term_key", "term")
 
 
+# --- files, written from the tables and read back ------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/capsieve-{name}-{uuid.uuid4().hex}"
+
+
+def _below(folder: str, path: str) -> Column:
+    """The path below the folder; listings and metadata spell its scheme in different ways."""
+    name = folder.rsplit("/", 1)[-1]
+    return F.regexp_replace(F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B"))), f"^.*/{name}", "")
+
+
+@query
+def listed_media(spark, sf):
+    """Video files of a folder, each with its document's text as content."""
+    docs = fx.table(spark, sf, "documents", "doc_id", "text").withColumn("content", F.encode("text", "UTF-8"))
+    media = fx.media(spark, sf).select("doc_id", "path").distinct()
+    folder = fx.put_files(docs.join(media, "doc_id"), _folder(spark, "media"))
+    return files.scan_media(spark, [folder]).select(_below(folder, "path").alias("path"), "length")
+
+
+@query
+def listed_texts(spark, sf):
+    """Text files with their bytes, one for each document, whole."""
+    name = F.concat(F.lit("/f"), (F.col("doc_id") % 10).cast("string"), F.lit("/clip"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    docs = fx.table(spark, sf, "documents", "doc_id", "text").select(name.alias("path"), F.encode("text", "UTF-8").alias("content"))
+    folder = fx.put_files(docs, _folder(spark, "texts"))
+    found = files.scan_texts(spark, [folder])
+    return found.select(_below(folder, "path").alias("path"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+@query
+def hashed_files(spark, sf):
+    """Fingerprints of those files, hashed in chunks."""
+    name = F.concat(F.lit("/f"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), F.col("doc_id").cast("string"))
+    docs = fx.table(spark, sf, "documents", "doc_id", "text").select(name.alias("path"), F.encode("text", "UTF-8").alias("content"))
+    folder = fx.put_files(docs, _folder(spark, "hashed"))
+    found = files.fingerprints(files.list_files(spark, [folder]))
+    return found.select(_below(folder, "path").alias("path"), "exists", "size", "sha256")
+
+
+@query
+def optional_reports(spark, sf):
+    """Reports as files, beside each a broken one, a list or an empty one, which count as absent."""
+    d = F.col("doc_id")
+    docs = fx.table(spark, sf, "documents", "doc_id", "text").select(d, F.to_json(F.struct(d.alias("number"), F.coalesce("text", F.lit("")).alias("note"))).alias("t"))
+    bad = F.when(d % 3 == 0, F.concat(F.lit("["), F.col("t"), F.lit("]"))).when(d % 3 == 1, F.substring("t", 1, 9)).otherwise("")
+    put = lambda kind, c: docs.select(F.concat(F.lit(f"/{kind}"), d.cast("string"), F.lit(".json")).alias("path"), F.encode(c, "UTF-8").alias("content"))
+    folder = fx.put_files(put("good", F.col("t")).unionByName(put("bad", bad)), _folder(spark, "reports"))
+    found = files.read_optional_json(spark, f"{folder}/*.json", "number BIGINT, note STRING")
+    return found.select(_below(folder, "source_file").alias("path"), "number", "note")
+
+
+@query
+def listed_terms(spark, sf):
+    """Term files, one for each document: a comment, then its lines, each a list of terms."""
+    d = F.col("doc_id")
+    body = F.concat(F.lit("\ufeff# terms, of\r\n\n"), F.coalesce("text", F.lit("")))
+    docs = fx.table(spark, sf, "documents", "doc_id", "text").select(F.concat(F.lit("/"), d.cast("string"), F.lit(".txt")).alias("path"), F.encode(body, "UTF-8").alias("content"))
+    folder = fx.put_files(docs, _folder(spark, "terms"))
+    found = files.read_term_files(spark, folder)
+    return found.select(_below(folder, "source_file").alias("path"), "position", "term")
+
+
+@query
+def listed_exclusions(spark, sf):
+    """Excluded paths from JSON lists, one for each two documents that follow each other, some paths named twice."""
+    d = F.col("doc_id")
+    path = lambda n: F.concat(F.lit("/v/é "), n.cast("string"), F.lit(".mp4"))
+    body = F.to_json(F.array(path(d), path(d + 1), path(d)))
+    docs = fx.table(spark, sf, "documents", "doc_id").select(F.concat(F.lit("/"), d.cast("string"), F.lit(".json")).alias("path"), F.encode(body, "UTF-8").alias("content"))
+    return files.read_exclusions(spark, fx.put_files(docs, _folder(spark, "exclusions")))
+
+
 # --- snapshots -----------------------------------------------------------------------------------
 
 
@@ -484,6 +559,31 @@ def caption_digests(spark, sf):
     return captions.caption_digests(captions.caption_parts(fx.pieces(spark, sf), part_ms=60_000))
 
 
+@query
+def stored_captions(spark, sf):
+    """Caption parts written by run, those of the even runs a second time, read back and hashed."""
+    folder = _folder(spark, "captions")
+    parts = captions.caption_parts(fx.pieces(spark, sf), part_ms=60_000)
+    even = F.substring("run_id", 4, 9).cast("bigint") % 2 == 0
+    sinks.write_captions(parts.withColumn("caption", F.when(even, F.encode(F.lit("old"), "UTF-8")).otherwise(F.col("caption"))), folder)
+    sinks.write_captions(parts.filter(even), folder)
+    return captions.caption_digests(spark.read.schema(parts.schema).parquet(folder))
+
+
+@query
+def stored_reports(spark, sf):
+    """Candidates and failures written by run, the even runs a second time, read back."""
+    folder = _folder(spark, "reports")
+    cands, fails = fx.candidates(spark, sf), fx.failures(spark, sf)
+    even = F.substring("run_id", 4, 9).cast("bigint") % 2 == 0
+    sinks.write_reports({"candidates": cands, "failures": fails}, folder)
+    sinks.write_reports({"candidates": cands.filter(even).withColumn("duration_seconds", F.col("duration_seconds") * 2)}, folder)
+    none = lambda kind: F.lit(None).cast(kind)
+    read = lambda name, df: spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    one = read("candidates", cands).select(*KEYS, F.lit("candidates").alias("report"), "duration_seconds", none("string").alias("reason"))
+    return one.unionByName(read("failures", fails).select(*KEYS, F.lit("failures").alias("report"), none("double").alias("duration_seconds"), "reason"))
+
+
 @query
 def caption_metrics(spark, sf):
     return captions.block_metrics(fx.pieces(spark, sf))

@@ -156,20 +156,27 @@ def read_optional_json(spark: SparkSession, path: str | Iterable[str], schema: s
     )
 
 
-def read_terms(spark: SparkSession, path: str) -> DataFrame:
-    """Terms of a file in order: ``position, term``. Blank lines and ``#`` lines are skipped."""
-    lines = spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r\n|\r|\n")).alias("line_no", "line")
+def read_term_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Terms of files in order: ``source_file, position, term``. Blank lines and ``#`` lines are skipped."""
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), "value")
+    lines = files.select(
+        "source_file", F.posexplode(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r\n|\r|\n")).alias("line_no", "line")
     )
     parts = lines.filter(~strip_space(F.col("line")).startswith("#")).select(
-        "line_no", F.posexplode(F.split("line", ",")).alias("part_no", "part")
+        "source_file", "line_no", F.posexplode(F.split("line", ",")).alias("part_no", "part")
     )
     return parts.select(
+        "source_file",
         (F.col("line_no") * (1 << 31) + F.col("part_no")).cast("bigint").alias("position"),
         strip_space(F.col("part")).alias("term"),
     ).filter("term <> ''")
 
 
+def read_terms(spark: SparkSession, path: str) -> DataFrame:
+    """Terms of one file in order: ``position, term``."""
+    return read_term_files(spark, path).drop("source_file")
+
+
 def read_exclusions(spark: SparkSession, path: str) -> DataFrame:
     """Distinct excluded video paths from a JSON array of strings; any other content is an error."""
     raw = spark.read.text(path, wholetext=True).select(
