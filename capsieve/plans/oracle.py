@@ -531,5 +531,6 @@ oracle("listed_terms", f"""with l as (select doc_id, regexp_split_to_array(coale
   select '/'||doc_id||'.txt' path, line_no::bigint*2147483648+part_no as position, trim(part, {SPACES}) term from t where trim(part, {SPACES})<>''""")
 oracle("listed_exclusions", "select '/v/é '||doc_id||'.mp4' video_path from documents union select '/v/é '||(doc_id+1)||'.mp4' from documents")
 oracle("stored_captions", ORACLE["caption_digests"])
+oracle("caption_range_checks", ORACLE["caption_checks"])
 oracle("stored_reports", f"""with {PIECES} select run_id, sample_id, 'candidates' report, case when (sample_id%40)%2=0 then 2*duration_seconds else duration_seconds end duration_seconds, null::varchar reason from cand
   union all select run_id, sample_id, 'failures', null, reason from fails""")

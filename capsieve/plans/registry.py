@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capsieve.functions import labels, paths, text, timecode
-from capsieve.operators import align, captions, catalog, profile, progress, quality, runs, snapshot
+from capsieve.operators import align, caption_ranges, captions, catalog, profile, progress, quality, runs, snapshot
 from capsieve.plans import fixtures as fx
 from capsieve.session import shared_dir
 from capsieve.sources import eventlog, files, growing, publish, sinks, transcripts
@@ -589,9 +589,8 @@ def caption_metrics(spark, sf):
     return captions.block_metrics(fx.pieces(spark, sf))
 
 
-@query
-def caption_checks(spark, sf):
-    """Rendered captions, some of them damaged, through the format rules."""
+def _damaged_captions(spark, sf):
+    """Rendered captions, some of them damaged."""
     s, c = F.col("sample_id"), F.col("caption").cast("string")
     broken = (
         F.when(s % 9 == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(c, "UTF-8")))
@@ -604,7 +603,22 @@ def caption_checks(spark, sf):
         .otherwise(F.col("caption"))
     )
     whole = captions.whole_captions(captions.caption_parts(fx.pieces(spark, sf)))
-    return captions.validate_captions(whole.withColumn("caption", broken)).drop("caption")
+    return whole.withColumn("caption", broken)
+
+
+@query
+def caption_checks(spark, sf):
+    """Rendered captions, some of them damaged, through the format rules."""
+    return captions.validate_captions(_damaged_captions(spark, sf)).drop("caption")
+
+
+@query
+def caption_range_checks(spark, sf):
+    """The same rules over ranges of 101 bytes, cut anywhere."""
+    at = F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("caption") / 101))).alias("part_no")
+    cut = _damaged_captions(spark, sf).select(*KEYS, "caption", at)
+    ranges = cut.select(*KEYS, "part_no", F.expr("substring(caption, CAST(part_no * 101 + 1 AS INT), 101)").alias("caption"))
+    return caption_ranges.validate_ranges(ranges)
 
 
 @query
