@@ -308,7 +308,7 @@ def compare(rule: Rule):
     """Links of all tasks of a partition, whose rows come sorted by task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, ids, sets, side = None, [], [], []
+        at, ids, sets, side, own = None, [], [], [], set()
 
         def done():
             found = links(ids, sets, side, at[1] != at[2], rule) if len(ids) > 1 else []
@@ -320,7 +320,10 @@ def compare(rule: Rule):
                     if at is not None:
                         yield done()
                     at, ids, sets, side = (c, left, right), [], [], []
-                if not ids or ids[-1] != d:
+                if not ids or (side[-1], ids[-1]) != (s, d):
+                    own = set()
+                if raw not in own:  # an id may name several sets
+                    own.add(raw)
                     ids.append(d)
                     sets.append(np.frombuffer(raw, np.uint64))
                     side.append(s)

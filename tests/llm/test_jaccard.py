@@ -51,6 +51,8 @@ def corpus(seed, families=12, size=8):
             if pick.random() < 0.3:
                 new = new + [word()]
             rows.append((len(rows) * 7 % 1009, pick.choice([" ", "\n", "\t "]).join(new).title() if pick.random() < 0.2 else " ".join(new)))
+    one, two = ([word() for _ in range(40)] for _ in range(2))
+    rows += [(3001, " ".join(one)), (3001, " ".join(two)), (3002, " ".join([*two, "more"])), (3003, " ".join([*one, "more"])), (3003, "quite another text of some words"), (3004, "quite another text of some words")]
     rows += [(2001, None), (2002, ""), (2003, " \n"), (2004, "one"), (2005, "ONE"), (2005, "ONE"), (None, "one"), (None, None), (2006, "x" * 90_000), (2007, "w " * 30_000)]
     return rows
 
@@ -64,6 +66,13 @@ def test_brute_force(spark, documents, monkeypatch, chunk, broadcast):
     assert sorted(repr(tuple(r)) for r in got) == brute(rows)
 
 
+def test_one_id_with_two_texts(documents):
+    one, two = ("a b c d e f g h i j k l m n o p q r s t", "A1 B1 C1 D1 E1 F1 G1 H1 I1 J1 K1 L1 M1 N1 O1 P1 Q1 R1 S1 T1")
+    rows = [(1, one), (1, two), (2, f"{two} x"), (3, f"{one} x")]
+    got = {(r["doc_id"], r["component_id"]) for r in join(documents(rows)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_every_linked_pair_shares_a_signature():
     rng, rule = np.random.default_rng(4), Rule(80)
     for _ in range(300):
