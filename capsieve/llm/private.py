@@ -79,7 +79,7 @@ def digits_of(text: str) -> str:
 def passes(kind: str, found: str) -> bool:
     """The checks that a match of a base pattern must pass."""
     if kind == "ip":
-        return all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in found.split("."))
+        return all(len(part) <= 3 and int(part or 0) <= 255 for part in (p.lstrip("0") for p in found.split(".")))
     digits = digits_of(found)
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)

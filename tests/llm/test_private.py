@@ -24,7 +24,7 @@ def brute(text):
     for place, (kind, pattern) in enumerate(STATED.items()):
         for m in re.finditer(pattern, text):
             d = re.sub("[^0-9]", "", m[0])
-            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 14 <= len(d) <= 19 and luhn(d or "1"), "phone": 10 <= len(d) <= 15}[kind]
+            ok = {"email": True, "ip": all(int(x.lstrip("0")[:9] or 0) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 14 <= len(d) <= 19 and luhn(d or "1"), "phone": 10 <= len(d) <= 15}[kind]
             if ok:
                 out.append((m.start(), place, m.end()))
     return sorted(out)
@@ -38,6 +38,14 @@ def test_base_spans():
         assert private.base_spans(text) == brute(text), text
 
 
+def test_parts_of_thousands_of_digits():
+    zeros, nines = "0" * 5_000, "9" * 5_000
+    for text, found in ((f"1.2.3.{zeros}", True), (f"{zeros}1.{zeros}.3.4", True), (f"1.2.3.{nines}", False), (f"{nines}.1.1.1", False), (f"1.2.3.{zeros}256", False)):
+        assert private.base_spans(text) == ([(0, 1, len(text))] if found else [])
+    for text in (zeros, nines, f"+{nines}", f"({nines}) {zeros}", f"1 . 2 . 3 . {nines}", f"1[.]2[.]3[.]{zeros}", f"host 1-2-3-{nines}"):
+        private.candidates(text)
+
+
 def test_linear_in_the_length():
     for text in ("a" * 300_000, "1" * 300_000, "a@" * 100_000, "1." * 100_000, "+1 " * 100_000, "(12) " * 60_000, "a(at" * 60_000):
         private.candidates(text)
@@ -56,7 +64,7 @@ def test_votes_find_the_labelers_that_agree():
     assert np.abs(again - p).max() < 0.2
 
 
-ROWS = [(1, None), (2, ""), (3, "mail me: jo@x.org or call +1 (555) 123-4567 now"), (4, "host 10.2.3.4, page 999.1.1.1"), (4, "host 10.2.3.4, page 999.1.1.1"), (5, "write to jo (at) mail (dot) example (dot) com"), (6, "é" * 9 + "card 4111 1111 1111 1111."), (7, "x" * 100_000 + " a@b.co")]
+ROWS = [(1, None), (2, ""), (3, "mail me: jo@x.org or call +1 (555) 123-4567 now"), (4, "host 10.2.3.4, page 999.1.1.1"), (4, "host 10.2.3.4, page 999.1.1.1"), (5, "write to jo (at) mail (dot) example (dot) com"), (6, "é" * 9 + "card 4111 1111 1111 1111."), (7, "x" * 100_000 + " a@b.co"), (8, "ip 1.2.3." + "0" * 5_000), (9, "ip 1.2.3." + "9" * 5_000)]
 
 
 def test_frame(documents):
