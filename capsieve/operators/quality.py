@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from capsieve.functions.text import comparison_text, normalize_text
+from capsieve.operators.ordering import running_sum_in_blocks
 
 KEYS = ("run_id", "sample_id")
 RUN_BLOCK = 4096
@@ -41,12 +42,46 @@ def confidence(secondary: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     )
 
 
+#: Letters that may join what stands before them under NFKC: marks, Hangul vowels and finals in all their forms, half-width
+#: sound marks. More than needed does no harm.
+JOINING = r"\p{M}\u1160-\u11FF\u3131-\u318E\uA960-\uA97F\uD7B0-\uD7FF\uFF9E-\uFFDC"
+#: Signs that become a space and a joining letter; the space goes at the start of a caption.
+SPACING = r"\u00A8\u00AF\u00B4\u00B8\u02D8-\u02DD\u037A\u0384\u0385\u1FBD\u1FBF-\u1FC1\u1FCD-\u1FCF\u1FDD-\u1FDF\u1FED\u1FEE\u1FFD\u1FFE\u2017\u203E\u309B\u309C\uFC5E-\uFC63\uFE49-\uFE4C\uFE70-\uFE7F\uFFE3"
+NEAR = 512
+
+
+def joined_lengths(segments: DataFrame, keys: Sequence[str], text: str = "t") -> DataFrame:
+    """``keys, joined``: by how much the comparison text of all segments in a row differs from the single ones' lengths.
+
+    A segment that starts with a joining letter goes with the one before it, empty ones apart, and only such chains are
+    put together. ``segments`` hold ``seg_index`` and the text.
+    """
+    solid = segments.filter(F.col(text) != "").select(*keys, "seg_index", text)
+    opens = (~F.col(text).rlike(f"^[{JOINING}]")).cast("bigint")
+    chained = running_sum_in_blocks(
+        solid.withColumn("_opens", opens), keys, F.floor(F.col("seg_index") / NEAR), ["seg_index"], {"_before": F.col("_opens")}
+    ).withColumn("_chain", F.col("_before") + F.col("_opens"))
+    listed = F.array_sort(F.collect_list(F.struct("seg_index", F.col(text).alias("t"))))
+    chains = chained.groupBy(*keys, "_chain").agg(listed.alias("_parts")).filter(F.size("_parts") > 1)
+    whole = F.array_join(F.transform("_parts", lambda p: p["t"]), "")
+    length = lambda c: F.char_length(comparison_text(c))
+    apart = chains.select(*keys, "_chain", F.explode("_parts").alias("p")).groupBy(*keys).agg(F.sum(length(F.col("p.t"))).alias("_apart"))
+    together = chains.groupBy(*keys).agg(F.sum(length(whole)).alias("_together"))
+    return together.join(apart, list(keys)).select(*keys, (F.col("_together") - F.col("_apart")).alias("joined"))
+
+
+def _suspects(segments: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """The segments of the samples in whose texts joining letters occur; None, after a look at the texts, without any."""
+    found = segments.filter(F.col("text").rlike(f"[{JOINING}{SPACING}]")).select(*keys)
+    return None if found.isEmpty() else segments.join(found.distinct(), list(keys), "left_semi").select(*keys, "seg_index", "text")
+
+
 def transcript_metrics(primary: DataFrame, secondary: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Segment counts, comparison-text lengths and caption lengths of both transcripts, in one aggregation.
 
-    Lengths add up over segments, so no transcript is concatenated. (Conjoining Hangul letters split
-    between two segments would join into one letter when concatenated; they count singly here.)
-    Caption lengths are whole numbers, so the median's value table stays small.
+    Lengths add up over segments, so no transcript is concatenated; what letters on both sides of a border become
+    together is added for the samples that have such letters. Caption lengths are whole numbers, so the median's value
+    table stays small.
     """
     first = (
         # One generated element: without it the rules would be repeated above and below the UDF.
@@ -59,7 +94,7 @@ def transcript_metrics(primary: DataFrame, secondary: DataFrame, keys: Sequence[
     )
     side = lambda p, c: F.coalesce(F.sum(F.when(F.col("p") == p, c)), F.lit(0)).cast("bigint")
     shown = F.when(F.col("c") > 0, F.col("c"))
-    return (
+    counted = (
         first.unionByName(second)
         .groupBy(*keys)
         .agg(
@@ -72,6 +107,13 @@ def transcript_metrics(primary: DataFrame, secondary: DataFrame, keys: Sequence[
             F.max(shown).cast("bigint").alias("max_text_chars"),
         )
     )
+    shapes = {"primary_chars": (primary, normalize_text(F.col("text"))), "secondary_chars": (secondary, F.col("text"))}
+    for name, (side, shown_as) in shapes.items():
+        some = _suspects(side, keys)
+        if some is not None:
+            more = joined_lengths(some.select(*keys, "seg_index", F.explode(F.array(shown_as)).alias("t")), keys)
+            counted = counted.join(more, list(keys), "left").withColumn(name, F.col(name) + F.coalesce("joined", F.lit(0))).drop("joined")
+    return counted
 
 
 def longest_duplicate_run(segments: DataFrame, keys: Sequence[str] = KEYS, block: int = RUN_BLOCK) -> DataFrame:

@@ -159,6 +159,15 @@ def orphaned(segments: DataFrame) -> DataFrame:
     return segments.unionByName(strange).unionByName(loose)
 
 
+def split_letters(segments: DataFrame) -> DataFrame:
+    """The segments, their texts beginning or ending with letters that others complete: Hangul and a loose accent."""
+    i, s = F.col("seg_index"), F.col("sample_id")
+    head = F.when(i % 4 == 1, "\u1161").when(i % 4 == 2, "\u11a8").when((i % 4 == 3) & (s % 2 == 0), "\u0301").otherwise("")
+    tail = F.when(i % 4 == 0, "\u1112").when((i % 4 == 1) & (s % 3 == 0), "\uac00").when(i % 4 == 2, "e").otherwise("")
+    text = F.when((i % 12 == 2) & (s % 3 == 0), "\u11ab").when(i % 12 == 5, "").otherwise(F.concat(head, "text", tail))
+    return segments.withColumn("text", text)
+
+
 def long_segments(segments: DataFrame) -> DataFrame:
     """The segments, and for every third sample one more over some 30,000 years, from before its start."""
     spans = segments.filter("sample_id % 3 = 0").groupBy("run_id", "sample_id").agg((F.max("seg_index") + 1).alias("seg_index"))

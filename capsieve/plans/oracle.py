@@ -534,3 +534,12 @@ oracle("stored_captions", ORACLE["caption_digests"])
 oracle("caption_range_checks", ORACLE["caption_checks"])
 oracle("stored_reports", f"""with {PIECES} select run_id, sample_id, 'candidates' report, case when (sample_id%40)%2=0 then 2*duration_seconds else duration_seconds end duration_seconds, null::varchar reason from cand
   union all select run_id, sample_id, 'failures', null, reason from fails""")
+
+SPLIT = """case when seg_index%12=2 and sample_id%3=0 then chr(4523) when seg_index%12=5 then ''
+  else (case when seg_index%4=1 then chr(4449) when seg_index%4=2 then chr(4520) when seg_index%4=3 and sample_id%2=0 then chr(769) else '' end)||text||
+  (case when seg_index%4=0 then chr(4370) when seg_index%4=1 and sample_id%3=0 then chr(44032) when seg_index%4=2 then 'e' else '' end) end"""
+oracle("joined_text_lengths", f"""with {PIECES}, qa as (select run_id, sample_id, string_agg({norm(f"nfc_normalize({SPLIT})")}, '' order by seg_index) t from prim group by 1,2),
+  qb as (select run_id, sample_id, string_agg({SPLIT}, '' order by seg_index) t from sec group by 1,2),
+  qx as (select run_id, sample_id, length({cmp('nfc_normalize(qa.t)')})::bigint primary_chars from qa), qy as (select run_id, sample_id, length({cmp('nfc_normalize(qb.t)')})::bigint secondary_chars from qb)
+  select coalesce(qx.run_id, qy.run_id) run_id, coalesce(qx.sample_id, qy.sample_id) sample_id, coalesce(primary_chars,0) primary_chars, coalesce(secondary_chars,0) secondary_chars
+  from qx full join qy on qx.sample_id=qy.sample_id and qx.run_id=qy.run_id""")

@@ -633,6 +633,13 @@ def text_lengths(spark, sf):
     return rows.select(*KEYS, "primary_segments", "secondary_segments", "primary_chars", "secondary_chars")
 
 
+@query
+def joined_text_lengths(spark, sf):
+    """Lengths of transcripts whose letters are split between segments."""
+    rows = quality.transcript_metrics(*(fx.split_letters(side) for side in _sides(spark, sf)))
+    return rows.select(*KEYS, "primary_chars", "secondary_chars")
+
+
 @query
 def duplicate_runs(spark, sf):
     return quality.longest_duplicate_run(fx.pieces(spark, sf), block=16)
