@@ -543,3 +543,15 @@ oracle("joined_text_lengths", f"""with {PIECES}, qa as (select run_id, sample_id
   qx as (select run_id, sample_id, length({cmp('nfc_normalize(qa.t)')})::bigint primary_chars from qa), qy as (select run_id, sample_id, length({cmp('nfc_normalize(qb.t)')})::bigint secondary_chars from qb)
   select coalesce(qx.run_id, qy.run_id) run_id, coalesce(qx.sample_id, qy.sample_id) sample_id, coalesce(primary_chars,0) primary_chars, coalesce(secondary_chars,0) secondary_chars
   from qx full join qy on qx.sample_id=qy.sample_id and qx.run_id=qy.run_id""")
+
+# --- every text in every form --------------------------------------------------------------------
+
+FORMS = "select conv_id, turn, unnest(range(5))::int form, text from conversations"
+oracle("raw_form_segments", f"""with c as (select conv_id, turn, form, trim(text, {BLANK}) t from ({FORMS}))
+  select conv_id, turn, form, 0::bigint seg_index, 100::bigint start_ms, 2500::bigint end_ms, t text, null::double confidence from c where form in (0,3)
+  union all select conv_id, turn, form, 0, 700, 1800, t, 0.25 from c where form=2 union all select conv_id, turn, form, 1, 700, 1800, t, 0.25 from c where form=0
+  union all select conv_id, turn, form, 0, 3000, 3500, t, null from c where form=1 union all select conv_id, turn, form, 1, 4000, 4400, 'second', null from c where form=1""")
+oracle("raw_form_rejects", f"select conv_id, turn, form, 'no_segments' rejected_reason from ({FORMS}) where form=4")
+oracle("document_states", f"""with f as (select doc_id, text, unnest(['own','empty','blank','padded','mark','broken']) form from documents)
+  select doc_id, form, case when form in ('own','padded','broken') and text is null then 'missing' when form='broken' then 'nonempty' when form='empty' or form='own' and text='' then 'zero_byte'
+  when form in ('blank','mark') or trim(text, {SPACES})='' then 'whitespace_only' else 'nonempty' end state from f""")

@@ -92,6 +92,16 @@ def text_states(spark, sf):
     return fx.texts(spark, sf).select("path", text.initial_state(F.col("content")).alias("state"))
 
 
+@query
+def document_states(spark, sf):
+    """States of every document's whole text, and beside it those of empty, blank, marked and broken files."""
+    utf8 = F.encode("text", "UTF-8")
+    blank = F.encode(F.lit(fx.BLANK), "UTF-8")
+    forms = {"own": utf8, "empty": F.unhex(F.lit("")), "blank": blank, "padded": F.concat(blank, utf8), "mark": F.unhex(F.lit("EFBBBF0D0A")), "broken": F.concat(F.unhex(F.lit("EFBBBFFF")), utf8)}
+    listed = F.explode(F.array(*[F.struct(F.lit(k).alias("form"), c.alias("content")) for k, c in forms.items()])).alias("f")
+    return fx.table(spark, sf, "documents", "doc_id", "text").select("doc_id", listed).select("doc_id", "f.form", text.initial_state(F.col("f.content")).alias("state"))
+
+
 def _excluded(spark, sf):
     return fx.videos(spark, sf).filter("doc_id % 9 = 0").select(F.col("path").alias("video_path"))
 
@@ -401,24 +411,40 @@ def document_segments(spark, sf):
     return rows.select(*KEYS, "engine", "seg_index", "start_ms", "end_ms", "text", "avg_logprob")
 
 
-def _raw_results(spark, sf):
-    """Raw result documents: nested lists, sentence children, timestamp pairs, alternative keys."""
-    c, t = F.col("conv_id"), F.col("turn")
+def _raw_forms():
+    """Raw result documents of a text: nested lists, sentence children, timestamp pairs, alternative keys; one without text."""
     quoted = F.to_json(F.struct(F.col("text").alias("text")))
     body = F.substring(quoted, 2, 1 << 30)
     plain = F.concat(F.lit('{"start": 100, "end_ms": "2500", '), body)
     stamped = F.concat(F.lit('{"timestamp": [[700, 900], [5, 1], [1000, 1800]], "score": 0.25, '), body)
     nested = F.concat(F.lit('{"text": "parent", "sentence_info": [{"start": 4000, "end": 4400, "text": "second"}, 7, {"begin": 3000, "finish": 3000, '), F.regexp_replace(body, r"\}$", "}]}"))
-    doc = (
-        F.when(c % 5 == 0, F.concat(F.lit("[["), plain, F.lit(", "), stamped, F.lit("]]")))
-        .when(c % 5 == 1, F.concat(F.lit("["), nested, F.lit("]")))
-        .when(c % 5 == 2, stamped)
-        .when(c % 5 == 3, F.concat(F.lit("[[[[[["), plain, F.lit("]]]]]]")))
-        .otherwise('[{"text": "  "}, 3]')
-    )
+    return [
+        F.concat(F.lit("[["), plain, F.lit(", "), stamped, F.lit("]]")), F.concat(F.lit("["), nested, F.lit("]")), stamped,
+        F.concat(F.lit("[[[[[["), plain, F.lit("]]]]]]")), F.lit('[{"text": "  "}, 3]'),
+    ]
+
+
+def _raw_results(spark, sf):
+    """One form for each conversation."""
+    doc = F.element_at(F.array(*_raw_forms()), (F.col("conv_id") % 5 + 1).cast("int"))
     return fx.table(spark, sf, "conversations").select("conv_id", "turn", doc.alias("raw"), F.lit(10.0).alias("duration_seconds"))
 
 
+def _all_raw_results(spark, sf):
+    """Every form of every turn."""
+    return fx.table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.array(*_raw_forms())).alias("form", "raw"), F.lit(10.0).alias("duration_seconds"))
+
+
+@query
+def raw_form_segments(spark, sf):
+    return transcripts.normalize_primary(_all_raw_results(spark, sf), ["conv_id", "turn", "form"])[0]
+
+
+@query
+def raw_form_rejects(spark, sf):
+    return transcripts.normalize_primary(_all_raw_results(spark, sf), ["conv_id", "turn", "form"])[1]
+
+
 @query
 def raw_result_segments(spark, sf):
     return transcripts.normalize_primary(_raw_results(spark, sf), ["conv_id", "turn"])[0]
