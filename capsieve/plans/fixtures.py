@@ -294,6 +294,22 @@ def snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return base, now
 
 
+def nested_snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The documents as files of a folder for each source and 16 ids; a seventh of the folders changed since."""
+    d, n = F.col("doc_id"), F.floor(F.col("doc_id") / 16)
+    docs = table(spark, sf, "documents", "doc_id", "source", "n_chars", "text")
+    path = F.concat_ws("/", F.lit("/s"), F.coalesce("source", F.lit("none")), n.cast("string"), d.cast("string")).alias("path")
+    busy, time = n % 7 == 0, F.timestamp_seconds(d + 1_700_000_000).alias("mtime")
+    base = docs.filter(~(busy & (d % 11 == 0))).select(
+        path, F.lit(True).alias("exists"), F.col("n_chars").alias("size"), time, F.when(n % 5 != 0, F.sha2("text", 256)).alias("sha256")
+    )
+    now = docs.filter(~(busy & (d % 13 == 0))).select(
+        path, F.lit(True).alias("exists"), F.when(busy & (d % 3 == 0), F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("size"), time,
+        F.when(n % 5 != 0, F.sha2(F.when(busy & (d % 2 == 0), F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256)).alias("sha256"),
+    )
+    return base, now
+
+
 def fingerprinted(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates whose video and target are two neighbouring files of the baseline."""
     base, _ = snapshots(spark, sf)

@@ -301,6 +301,10 @@ oracle("engine_terms", """with c as (select distinct conv_id s, 'run'||(conv_id%
 
 oracle("snapshot_quick", f"{SNAP} select path, quick as matches from v")
 oracle("snapshot_full", f"{SNAP} select path, full_ok as matches from v")
+oracle("snapshot_tree_changes", """with f as (select doc_id d, doc_id//16 n, (doc_id//16)%7=0 busy, '/s/'||coalesce(source,'none')||'/'||(doc_id//16)||'/'||doc_id path, text is not null has_text, n_chars is not null has_size from documents)
+  select path, 'missing' "change" from f where busy and d%11<>0 and d%13=0
+  union all select path, 'added' from f where busy and d%11=0 and d%13<>0
+  union all select path, 'changed' from f where busy and d%11<>0 and d%13<>0 and ((d%3=0 and has_size) or (d%2=0 and n%5<>0 and has_text))""")
 oracle("changed_protected", f"{SNAP} select path from v where not full_ok")
 oracle("changed_candidates", f"""{SNAP}, k as (select a.doc_id//2 sample_id, a.path vp, a.quick vq, b.path tp, b.full_ok tf from v a join v b on a.doc_id%2=0 and b.doc_id=a.doc_id+1)
   select 'run'||(sample_id%40) run_id, sample_id, 'video_changed' kind, vp path from k where not vq union all select 'run'||(sample_id%40), sample_id, 'target_changed', tp from k where not tf""")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capsieve.functions import labels, paths, text, timecode
-from capsieve.operators import align, caption_ranges, captions, catalog, profile, progress, quality, runs, snapshot
+from capsieve.operators import align, caption_ranges, captions, catalog, hashtree, profile, progress, quality, runs, snapshot
 from capsieve.plans import fixtures as fx
 from capsieve.session import shared_dir
 from capsieve.sources import eventlog, files, growing, publish, sinks, transcripts
@@ -244,6 +244,15 @@ def changed_protected(spark, sf):
     return snapshot.validate_protected(base, now)
 
 
+@query
+def snapshot_tree_changes(spark, sf):
+    """Two snapshots stored as trees and compared from the roots down."""
+    root = _folder(spark, "snapshots")
+    for name, prints in zip(("base", "now"), fx.nested_snapshots(spark, sf)):
+        hashtree.store(prints, f"{root}/{name}")
+    return hashtree.diff(spark, f"{root}/base", f"{root}/now")
+
+
 # --- text and time -------------------------------------------------------------------------------
 
 
