@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capsieve.functions.labels import PRIMARY_ENGINE, SECONDARY_ENGINE, detect_stage, phase_label
-from capsieve.functions.text import strip_left, strip_right, strip_space
+from capsieve.functions.text import is_blank, strip_left, strip_right
+from capsieve.session import materialize
 
 ENGINES = (PRIMARY_ENGINE, SECONDARY_ENGINE)
 TAIL_CHARS = 1200  # fixed value
-SALTS = 16
+HELD_ROWS = 200_000
 
 
 def touched(events: DataFrame, run: str = "run_id", engines: Sequence[str] = ENGINES) -> DataFrame:
@@ -70,29 +72,67 @@ def last_events(events: DataFrame, run: str = "run_id", seq: str = "line_no") ->
     )
 
 
+def _newest(run: str, seq: str, chars: int):
+    """Per task, the last lines of each run up to ``chars`` characters; a task with too many runs hands on what it holds."""
+
+    def cut(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values([run, seq], ascending=[True, False], kind="stable", ignore_index=True)
+        cost = frame["text"].str.len() + 1
+        behind = cost.groupby(frame[run], sort=False).cumsum() - cost
+        return frame[behind <= chars]
+
+    def suffixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            if len(frame):
+                held = cut(frame if held is None else pd.concat([held, frame]))
+                if len(held) > HELD_ROWS:
+                    yield held
+                    held = None
+        if held is not None:
+            yield held
+
+    return suffixes
+
+
 def output_tail(lines: DataFrame, run: str = "run_id", seq: str = "line_no", chars: int = TAIL_CHARS) -> DataFrame:
     """The last ``chars`` characters of each run's stripped text.
 
-    White space before the first and after the last solid line is dropped. Every line adds at least
-    its line end, so at most ``chars + 1`` lines can matter; that rank limit is applied before the
-    shuffle, and no line brings more than ``chars`` characters along.
+    White space before the first and after the last solid line is dropped. Lines stay where they are: each task keeps,
+    for each run, the last lines that can reach into the tail, and only those are shuffled. Solid lines give the place
+    of the last one; blank lines count if they stand between solid ones, so they are cut once that place is known.
+    Lines without run, number or text are left out, and runs without solid lines have no row.
     """
-    solid = lines.filter(strip_space(F.col("value")) != "")
-    ends = solid.groupBy(run).agg(F.min(seq).alias("_first"), F.max(seq).alias("_last"))
-    # Salted, so that the lines of one run meet their ends in many tasks.
-    spread = ends.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = lines.withColumn("_salt", F.pmod(F.hash(seq), F.lit(SALTS)))
-    inside = salted.join(spread, [run, "_salt"]).filter(F.col(seq).between(F.col("_first"), F.col("_last")))
-    text = F.when(F.col(seq) == F.col("_first"), strip_left(F.col("value"))).otherwise(F.col("value"))
-    text = F.when(F.col(seq) == F.col("_last"), strip_right(text)).otherwise(text)
-
-    def newest(df: DataFrame, *group: str) -> DataFrame:
-        ranked = df.withColumn("_back", F.row_number().over(Window.partitionBy(*group).orderBy(F.col(seq).desc())))
-        return ranked.filter(F.col("_back") <= chars + 1).drop("_back")
-
-    cut = newest(inside.select(run, "_salt", seq, F.right(text, F.lit(chars)).alias("_text")), run, "_salt")
-    near = newest(cut, run)
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq), F.col("_text").alias("t"))))
+    value = F.col("value")
+    known = lines.filter(F.col(run).isNotNull() & F.col(seq).isNotNull() & value.isNotNull())
+    blank = is_blank(value)
+    # A line is cut behind its last solid character; what follows counts unless it is the last line, what leads counts
+    # unless it is the first.
+    ended = strip_right(value)
+    size = F.least(F.char_length(ended), F.lit(chars))
+    parts = known.filter(~blank).select(
+        run, seq, F.right(ended, F.lit(chars)).alias("text"),
+        F.right(F.substring(value, F.char_length(ended) + 1, F.char_length(value)), F.lit(chars)).alias("after"),
+        F.greatest(F.lit(0), size - F.char_length(strip_left(ended))).alias("lead"),
+    )
+    keys = f"{run} {lines.schema[run].dataType.simpleString()}, {seq} {lines.schema[seq].dataType.simpleString()}"
+    shape = f"{keys}, text string, after string, lead int"
+    solid = materialize(parts.mapInPandas(_newest(run, seq, chars), shape))
+    ends = materialize(known.filter(~blank).groupBy(run).agg(F.min(seq).alias("_first"), F.max(seq).alias("_last")))
+    between = known.filter(blank).select(run, seq, F.right(value, F.lit(chars)).alias("text")).join(ends, run)
+    between = between.filter((F.col(seq) > F.col("_first")) & (F.col(seq) < F.col("_last")))
+    blanks = between.select(run, seq, "text", F.lit("").alias("after"), F.lit(0).alias("lead")).mapInPandas(_newest(run, seq, chars), shape)
+
+    # What the tasks kept meets in the order of the lines; a running sum ends it, so no list is longer than the tail.
+    cost = F.char_length("text").cast("bigint") + 1
+    newest = Window.partitionBy(run).orderBy(F.col(seq).desc())
+    near = solid.unionByName(blanks).withColumn("_back", F.row_number().over(newest)).filter(F.col("_back") <= chars + 1)
+    behind = newest.rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("_behind", F.coalesce(F.sum(cost).over(behind), F.lit(0)))
+    near = near.filter(F.col("_behind") <= chars).join(ends, run)
+    text = F.when(F.col(seq) == F.col("_first"), F.substring(F.col("text"), F.col("lead") + 1, F.lit(chars))).otherwise(F.col("text"))
+    text = F.when(F.col(seq) == F.col("_last"), text).otherwise(F.concat(text, "after"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq), text.alias("t"))))
     joined = F.array_join(F.transform(ordered, lambda p: p["t"]), "\n")
     return near.groupBy(run).agg(F.right(joined, F.lit(chars)).alias("tail"))
 
