@@ -1,13 +1,15 @@
 """Exact top-k by inner product with vector-approximation files.
 
 Candidates are stored twice: whole, and as small cells, a few bits for each component, in blocks with a grid of their
-own. A scan of the cells gives an upper and a lower bound of each score. The k-th largest lower bound rules out most
-candidates; the whole vectors of the others are read in the order of their bounds, the k best first, then those that
-the k-th score so far can't rule out.
+own. A scan of the cells gives an upper and a lower bound of each score; each task keeps the k largest lower bounds of a
+query over all its blocks. The k-th largest of all rules out most candidates in a second scan of the cells, which alone
+hands on pairs. The whole vectors of those are read in the order of their bounds, the k best first, then those that the
+k-th score so far can't rule out.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,8 @@ from capsieve.session import materialize
 
 #: Bits of a cell, rows of a block of candidates and of a block of queries.
 BITS, ROWS, QUERY_ROWS = 6, 2048, 512
+#: Query blocks whose lower bounds a task holds before it hands them on (20 kB each for k = 5).
+HELD_BLOCKS = 2000
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -29,54 +33,113 @@ def quantised(vector: Column, scale: int = 256) -> Column:
     return F.when(~F.coalesce(bad, F.lit(True)), whole)
 
 
-def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def cells(rows: int = ROWS):
     """Blocks of candidates of one dimension: ids, cells (a byte each), and the grid's origin and step."""
-    for batch in batches:
-        size = batch["vector"].map(len)
-        for dim, group in batch.groupby(size, sort=True):
-            for at in range(0, len(group), ROWS):
-                part = group.iloc[at : at + ROWS]
-                x = np.array(part["vector"].tolist(), np.int64).reshape(len(part), dim)
-                low = x.min(0) if dim else np.zeros(0, np.int64)
-                step = (x.max(0) - low) // (1 << BITS) + 1 if dim else low
-                ids = part["vec_id"].to_numpy(np.int64)
-                yield pd.DataFrame(
-                    [(dim, int(ids[0]), ids.tobytes(), ((x - low) // step).astype(np.uint8).tobytes(), low.tobytes(), step.tobytes())],
-                    columns=["dim", "first", "ids", "cells", "low", "step"],
-                )
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            size = batch["vector"].map(len)
+            for dim, group in batch.groupby(size, sort=True):
+                for at in range(0, len(group), rows):
+                    part = group.iloc[at : at + rows]
+                    x = np.array(part["vector"].tolist(), np.int64).reshape(len(part), dim)
+                    low = x.min(0) if dim else np.zeros(0, np.int64)
+                    step = (x.max(0) - low) // (1 << BITS) + 1 if dim else low
+                    ids = part["vec_id"].to_numpy(np.int64)
+                    yield pd.DataFrame(
+                        [(dim, int(ids[0]), ids.tobytes(), ((x - low) // step).astype(np.uint8).tobytes(), low.tobytes(), step.tobytes())],
+                        columns=["dim", "first", "ids", "cells", "low", "step"],
+                    )
+
+    return run
+
+
+def estimates(r) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a block of candidates and of queries, the middle of each pair's bounds (-inf for the query's own id), and half their width by query."""
+    ids, asked = np.frombuffer(r.ids, np.int64), np.frombuffer(r.query_ids, np.int64)
+    q = np.frombuffer(r.queries, np.int64).reshape(len(asked), r.dim).astype(float)
+    low, step = np.frombuffer(r.low, np.int64), np.frombuffer(r.step, np.int64)
+    half = (step - 1) / 2
+    centre = np.frombuffer(r.cells, np.uint8).reshape(len(ids), r.dim) * step + (low + half)
+    middle = q @ centre.T
+    # The last two terms cover rounding of large products.
+    slack = (np.abs(q) @ half)[:, None] + 1e-12 * (np.abs(q) @ np.abs(centre).max(0))[:, None] + 1e-6
+    middle[asked[:, None] == ids[None, :]] = -np.inf
+    return ids, asked, middle, slack
+
+
+def largest(k: int):
+    """The ``k`` largest lower bounds of each query over all blocks of candidates that a task meets."""
 
-def scan(k: int):
-    """Bounds for all pairs of a block of queries and a block of candidates; pairs that the block itself rules out go."""
+    def rows(held: dict) -> Iterator[pd.DataFrame]:
+        for asked, best in held.values():
+            i, j = np.nonzero(best > -np.inf)
+            yield pd.DataFrame({"query_id": asked[i], "lower": best[i, j]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for r in batch.itertuples(index=False):
-                ids, asked = np.frombuffer(r.ids, np.int64), np.frombuffer(r.query_ids, np.int64)
-                q = np.frombuffer(r.queries, np.int64).reshape(len(asked), r.dim).astype(float)
-                low, step = np.frombuffer(r.low, np.int64), np.frombuffer(r.step, np.int64)
-                half = (step - 1) / 2
-                centre = np.frombuffer(r.cells, np.uint8).reshape(len(ids), r.dim) * step + (low + half)
-                middle = q @ centre.T
-                # The last two terms cover rounding of large products.
-                slack = (np.abs(q) @ half)[:, None] + 1e-12 * (np.abs(q) @ np.abs(centre).max(0))[:, None] + 1e-6
-                middle[asked[:, None] == ids[None, :]] = -np.inf
-                need = np.partition(middle, -k, 1)[:, -k:].min(1, keepdims=True) if len(ids) > k else np.full((len(asked), 1), -np.inf)
-                i, j = np.nonzero((middle >= need - 2 * slack) & (middle > -np.inf))
-                if len(i):
-                    m, s = middle[i, j], slack[i, 0]
-                    yield pd.DataFrame({"query_id": asked[i], "vec_id": ids[j], "lower": m - s, "upper": m + s})
+                _, asked, middle, slack = estimates(r)
+                lower = middle - slack
+                if r.block in held:
+                    lower = np.hstack([held[r.block][1], lower])
+                if lower.shape[1] > k:
+                    lower = np.partition(lower, -k, 1)[:, -k:].copy()
+                held[r.block] = asked, lower
+                if len(held) >= HELD_BLOCKS:
+                    yield from rows(held)
+                    held = {}
+        yield from rows(held)
 
     return run
 
 
+def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs whose upper bound reaches the query's k-th largest lower bound."""
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            ids, asked, middle, slack = estimates(r)
+            upper = middle + slack
+            i, j = np.nonzero((upper >= np.frombuffer(r.least, float)[:, None]) & (middle > -np.inf))
+            if len(i):
+                yield pd.DataFrame({"query_id": asked[i], "vec_id": ids[j], "upper": upper[i, j]})
+
+
 def query_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of queries of one dimension: ids, vectors, the score that counts, and a hash that names the block."""
     for batch in batches:
         for dim, group in batch.groupby(batch["vector"].map(len), sort=True):
             for at in range(0, len(group), QUERY_ROWS):
                 part = group.iloc[at : at + QUERY_ROWS]
                 x = np.array(part["vector"].tolist(), np.int64).reshape(len(part), dim)
-                yield pd.DataFrame([(dim, part["vec_id"].to_numpy(np.int64).tobytes(), x.tobytes())], columns=["dim", "query_ids", "queries"])
+                ids, least = part["vec_id"].to_numpy(np.int64).tobytes(), part["least"].to_numpy(float).tobytes()
+                name = hashlib.blake2b(ids + x.tobytes(), digest_size=16).digest()
+                yield pd.DataFrame([(dim, name, ids, x.tobytes(), least)], columns=["dim", "block", "query_ids", "queries", "least"])
+
+
+def bounds(candidates: DataFrame, asked: DataFrame, k: int, rows: int = ROWS) -> DataFrame:
+    """``query_id, vec_id, upper``: the pairs that can be among the ``k`` best, all ties included.
+
+    Their number depends on the vectors, not on how candidates are cut into blocks or dealt over tasks.
+    """
+    slots = shuffle_partitions(candidates.sparkSession)
+    blocks = candidates.mapInPandas(cells(rows), "dim int, first long, ids binary, cells binary, low binary, step binary")
+    blocks = materialize(blocks.withColumn("slot", F.pmod(F.xxhash64("first", "dim"), F.lit(slots))))
+
+    def met(queries: DataFrame) -> DataFrame:
+        """Each block of queries beside each block of candidates."""
+        wanted = queries.coalesce(slots).mapInPandas(query_blocks, "dim int, block binary, query_ids binary, queries binary, least binary")
+        wanted = wanted.withColumn("slot", F.explode(F.sequence(*(F.lit(n).cast("long") for n in (0, slots - 1)))))
+        return blocks.join(wanted, ["slot", "dim"])
+
+    lowest = met(asked.withColumn("least", F.lit(0.0))).mapInPandas(largest(k), "query_id long, lower double")
+    by_query = Window.partitionBy("query_id").orderBy(F.desc("lower"))
+    lowest = lowest.withColumn("n", F.row_number().over(by_query)).where(F.col("n") <= k)
+    reach = lowest.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("n"), F.min("lower").alias("least"))
+    reach = materialize(reach.select("vec_id", F.when(F.col("n") == k, F.col("least")).otherwise(float("-inf")).alias("least")))
+    # A query without any bound has no candidates.
+    return met(asked.join(reach, "vec_id")).mapInPandas(within, "query_id long, vec_id long, upper double")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -88,27 +151,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     once. Scores must fit a long. Other columns are left out; empty tables give no rows.
 
     Of equal vectors only the k + 1 smallest ids can be among the results of any query, so large groups of copies
-    shrink to those before anything is compared. Each block of queries meets each block of candidates once.
+    shrink to those before anything is compared. Each block of queries meets each block of candidates twice, for the
+    k-th largest lower bound and for the pairs that reach it.
     """
-    spark = vectors.sparkSession
     usable = "vec_id IS NOT NULL AND vector IS NOT NULL"
     same = Window.partitionBy("vector").orderBy("vec_id")
     distinct = vectors.where(usable).select("vec_id", "vector").withColumn("place", F.dense_rank().over(same)).where(F.col("place") <= k + 1)
     candidates = materialize(distinct.select("vec_id", "vector").distinct())
     asked = materialize(queries.where(usable).select("vec_id", "vector").distinct())
 
-    slots = shuffle_partitions(spark)
-    blocks = candidates.mapInPandas(cells, "dim int, first long, ids binary, cells binary, low binary, step binary")
-    blocks = blocks.withColumn("slot", F.pmod(F.xxhash64("first", "dim"), F.lit(slots)))
-    wanted = asked.coalesce(slots).mapInPandas(query_blocks, "dim int, query_ids binary, queries binary")
-    wanted = wanted.withColumn("slot", F.explode(F.sequence(*(F.lit(n).cast("long") for n in (0, slots - 1)))))
-    bounds = materialize(blocks.join(wanted, ["slot", "dim"]).mapInPandas(scan(k), "query_id long, vec_id long, lower double, upper double"))
-
     by_query = Window.partitionBy("query_id")
-    lowest = bounds.withColumn("n", F.row_number().over(by_query.orderBy(F.desc("lower")))).where(F.col("n") <= k)
-    reach = lowest.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("lower").alias("least"))
-    reach = reach.select("query_id", F.when(F.col("n") == k, F.col("least")).otherwise(float("-inf")).alias("least"))
-    near = bounds.join(reach, "query_id").where("upper >= least")
+    near = bounds(candidates, asked, k)
     near = materialize(near.select("query_id", "vec_id", "upper", F.row_number().over(by_query.orderBy(F.desc("upper"), "vec_id")).alias("turn")))
 
     def read(pairs: DataFrame) -> DataFrame:

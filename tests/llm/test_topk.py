@@ -39,3 +39,19 @@ def test_bad_rows_take_no_part(spark):
     vectors = df.select("vec_id", topk.quantised(F.col("embedding")).alias("vector"))
     assert [tuple(r) for r in topk.top_k(vectors, vectors.where("vec_id % 50 = 0")).collect()] == [(0, 1, 5, 768 * 128)]
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_pairs_do_not_grow_with_the_blocks(spark):
+    pick = random.Random(9)
+    rows = [(i, tuple(pick.randint(-4000, 4000) for _ in range(12))) for i in range(1500)]
+    vectors = spark.createDataFrame([(i, list(v)) for i, v in rows], "vec_id long, vector array<bigint>")
+    asked = vectors.where("vec_id % 50 = 0")
+    few, many = (topk.bounds(vectors, asked, 5, rows=n).count() for n in (2048, 25))
+    assert 30 * 5 <= many <= few < 30 * 25
+    pairs = {tuple(r) for r in topk.bounds(vectors, asked, 5, rows=25).select("query_id", "vec_id").collect()}
+    assert {(q, i) for q, _, i, _ in brute(rows, [r for r in rows if r[0] % 50 == 0], 5)} <= pairs
+
+
+def test_held_bounds_are_handed_on(spark, monkeypatch):
+    monkeypatch.setattr(topk, "HELD_BLOCKS", 1)
+    test_brute_force(spark, 8, 20, 5)
