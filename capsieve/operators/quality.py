@@ -176,10 +176,24 @@ def quality(
     captions keep the format by construction, and a candidate without any block fails with
     ``format_empty_caption``. Every joined table has one row per candidate.
     """
-    metrics = transcript_metrics(primary, secondary, keys)
-    repeats = longest_duplicate_run(primary, keys)
+    return judge(candidates, (*sample_metrics(primary, secondary, keys), risk), captions, keys, bounds)
+
+
+def sample_metrics(primary: DataFrame, secondary: DataFrame, keys: Sequence[str] = KEYS) -> tuple[DataFrame, ...]:
+    """The tables of transcript metrics the gate judges by, one row per sample each."""
+    return transcript_metrics(primary, secondary, keys), longest_duplicate_run(primary, keys), confidence(secondary, keys)
+
+
+def judge(
+    candidates: DataFrame,
+    parts: Sequence[DataFrame],
+    captions: DataFrame | None = None,
+    keys: Sequence[str] = KEYS,
+    bounds: Bounds = Bounds(),
+) -> DataFrame:
+    """:func:`quality` from tables of metrics made before: those of :func:`sample_metrics` and the alignment summary."""
     joined = candidates
-    for part in (metrics, repeats, confidence(secondary, keys), risk):
+    for part in parts:
         joined = joined.join(part, list(keys), "left")
     if captions is not None:
         extra = [c for c in captions.columns if c not in joined.columns or c in keys]

@@ -400,6 +400,8 @@ oracle("text_lengths", f"{ALL} select * from lengths")
 oracle("duplicate_runs", f"{whole(ALL)} select * from dups")
 oracle("quality_gate", f"""{ALL} select run_id, sample_id, passed, warning_count, high_risk_count, primary_segments, secondary_segments, longest_duplicate_run, text_density, text_length_ratio,
   median_text_chars, array_to_string(errs,'|') errors, array_to_string(warns,'|') warnings from rep""")
+oracle("stored_quality_gate", f"""{ALL} select run_id, sample_id, passed, warning_count, high_risk_count, primary_segments, secondary_segments,
+  array_to_string(errs,'|') errors, array_to_string(warns,'|') warnings from rep""")
 oracle("quality_gate_ratios", f"""with recursive {PIECES}, {RATIOS}, {CAPTIONS}, {QUALITY} select p.run_id, p.sample_id, passed, warning_count, p.high_risk_count,
   coalesce(k.median_similarity_ratio, 0.0::double) median_similarity_ratio, array_to_string(errs,'|') errors, array_to_string(warns,'|') warnings
   from rep p left join risk k on k.run_id=p.run_id and k.sample_id=p.sample_id""")
@@ -423,6 +425,8 @@ oracle("published_reports", f"""with {PIECES} select run_id, sample_id, 'candida
 oracle("pilot_phases", f"with {PIECES}, a as (select run_id, sample_id, row_number() over (partition by run_id order by sample_id) candidate_no from cand) select *, case when candidate_no<=2 then 'pilot' else 'remaining' end phase from a")
 oracle("duration_mismatches", f"with {PIECES} select run_id, sample_id, duration_seconds primary_duration, duration_seconds+0.25 secondary_duration from cand where sample_id%12=5")
 oracle("merged_stage", f"{ALL} select run_id, sample_id, passed, warning_count+case when sample_id%3=0 then 100 else 0 end warning_count from rep where sample_id%2=0 or sample_id%3=0")
+oracle("merged_run_table", f"""{ALL} select run_id, sample_id, passed, warning_count+case when sample_id%5=0 then 1000 when sample_id%3=0 then 100 else 0 end warning_count
+  from rep where sample_id%2=0 or sample_id%3=0 or sample_id%5=0""")
 oracle("stage_states", f"""{ALL}, r as (select * from rep where sample_id%8<>7), elig as (select * from cand where sample_id%17<>3)
   select c.run_id, coalesce(bool_and(r.sample_id is not null) filter (where c.sample_id%17<>3), true) staged_all,
   coalesce(bool_and(coalesce(r.passed,false)) filter (where c.sample_id%17<>3), true) all_passed,

@@ -13,7 +13,7 @@ from capsieve.functions import labels, paths, text, timecode
 from capsieve.operators import align, caption_ranges, captions, catalog, hashtree, profile, progress, quality, runs, snapshot
 from capsieve.plans import fixtures as fx
 from capsieve.session import shared_dir
-from capsieve.sources import eventlog, files, growing, publish, sinks, transcripts
+from capsieve.sources import eventlog, files, growing, publish, run_tables, sinks, transcripts
 from capsieve.streaming import lifecycle
 from capsieve.streaming import progress as live
 
@@ -699,6 +699,19 @@ def quality_gate(spark, sf):
     )
 
 
+@query
+def stored_quality_gate(spark, sf):
+    """The gate over run tables: candidates, metrics and risk stored in buckets and joined where they lie."""
+    prim, sec = _sides(spark, sf)
+    risk = align.alignment_summary(align.align(prim, sec, with_ratio=False))
+    stored = [run_tables.create(part) for part in (fx.candidates(spark, sf), *quality.sample_metrics(prim, sec), risk)]
+    first, *parts = (run_tables.read(spark, name) for name in stored)
+    return quality.judge(first, parts).select(
+        *KEYS, "passed", "warning_count", "high_risk_count", "primary_segments", "secondary_segments",
+        F.array_join("errors", "|").alias("errors"), F.array_join("warnings", "|").alias("warnings"),
+    )
+
+
 @query
 def quality_gate_ratios(spark, sf):
     """The gate with the similarity ratio in the risk."""
@@ -783,6 +796,18 @@ def merged_stage(spark, sf):
     return runs.merge_stage(reports.filter("sample_id % 2 = 0"), new)
 
 
+@query
+def merged_run_table(spark, sf):
+    """The same merge into a stored table, then a second one, read back after compaction."""
+    reports = _reports(spark, sf).select(*KEYS, "passed", "warning_count")
+    name = run_tables.create(reports.filter("sample_id % 2 = 0"))
+    for more, plus in ((3, 100), (5, 1000)):
+        run_tables.merge(reports.filter(F.col("sample_id") % more == 0).withColumn("warning_count", F.col("warning_count") + plus), name)
+    whole = run_tables.compact(spark, name)
+    run_tables.drop(spark, name)
+    return run_tables.read(spark, whole)
+
+
 @query
 def stage_states(spark, sf):
     reports = _reports(spark, sf).filter("sample_id % 8 <> 7")
