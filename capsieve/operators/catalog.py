@@ -14,18 +14,21 @@ SAMPLE_PREFIX = "CC-CANDIDATE-"  # fixed value
 
 
 def dedupe_paths(files: DataFrame) -> DataFrame:
-    """One row per path; the first root that reaches it wins. Aggregated before the shuffle."""
+    """One row per path; the first root that reaches it wins, in it the first name of a linked file. Aggregated before the shuffle."""
     others = [c for c in files.columns if c not in ("path", "root_ord")]
+    first = F.col("root_ord")
+    if "named_path" in others:
+        first = F.struct(first, P.fold_key(F.col("named_path")), "named_path")
     return (
         files.groupBy("path")
-        .agg(F.min_by(F.struct("root_ord", *others), "root_ord").alias("_first"))
+        .agg(F.min_by(F.struct("root_ord", *others), first).alias("_first"))
         .select("path", "_first.*")
     )
 
 
 def with_targets(videos: DataFrame) -> DataFrame:
-    """Adds the target path, the case-folded target that collisions are judged by, and the sort key."""
-    target = P.target_path(F.col("path"))
+    """Adds the target path, if there is none, the case-folded target that collisions are judged by, and the sort key."""
+    target = F.col("target_path") if "target_path" in videos.columns else P.target_path(F.col("path"))
     return videos.withColumn("target_path", target).withColumns(
         {"target_key": P.fold_key(F.col("target_path")), "path_key": P.fold_key(F.col("path"))}
     )

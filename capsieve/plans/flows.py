@@ -16,9 +16,12 @@ KEYS = ("run_id", "sample_id")
 
 
 def scan(spark: SparkSession, roots: Sequence[str]) -> dict[str, DataFrame]:
-    """Candidates, conflicts, protected texts and counts of the folders. The listing is walked once."""
-    listed = files.list_files(spark, roots)
-    media = listed.filter(is_video(F.col("path")))
+    """Candidates, conflicts, protected texts and counts of the folders. The listing is walked once.
+
+    Roots are the real folders behind the names given, and linked files count as the files they lead to.
+    """
+    listed = files.resolve_links(files.list_files(spark, files.normalize_roots(roots)))
+    media = listed.filter(is_video(F.col("named_path")))
     texts, names = files.scan_listed_texts(listed), files.scan_listed_texts(listed, content=False)
     targeted = catalog.with_targets(catalog.dedupe_paths(media))
     return {

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from capsieve.functions.binding import strict_json
-from capsieve.functions.paths import is_video
+from capsieve.functions.paths import is_video, target_path
 from capsieve.functions.text import strip_space
 from capsieve.session import materialize
 
@@ -74,6 +74,46 @@ def list_files(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
             return reduce(DataFrame.unionByName, found)
 
 
+def normalize_roots(roots: Sequence[str]) -> list[str]:
+    """The real folders behind the roots, once each, in their order; a root that is no folder is an error."""
+    found: dict[str, None] = {}
+    for root in roots:
+        store, inner = open_store(os.path.expanduser(root))
+        if isinstance(store, LocalFileSystem):
+            inner = os.path.realpath(inner)
+        if store.get_file_info(inner).type != FileType.Directory:
+            raise ValueError(f"no such folder: {root}")
+        scheme = root.partition("://")[0] + "://" if "://" in root else ""
+        # The host of a remote root stays in front of its path.
+        found[scheme + inner if not scheme or isinstance(store, LocalFileSystem) else root.rstrip("/")] = None
+    if not found:
+        raise ValueError("at least one root is needed")
+    return list(found)
+
+
+def _resolve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        real, targets, kept = [], [], []
+        for named, beside in zip(frame["named_path"], frame["target_path"]):
+            store, inner = open_store(named)
+            local = isinstance(store, LocalFileSystem)
+            head = named[: len(named) - len(inner)]
+            real.append(head + os.path.realpath(inner) if local else named)
+            targets.append(head + os.path.realpath(beside[len(head) :]) if local else beside)
+            kept.append(os.path.isfile(inner) if local else True)
+        resolved = frame.assign(path=real, target_path=targets)
+        yield resolved[pd.Series(kept, index=frame.index, dtype=bool)]
+
+
+def resolve_links(listed: DataFrame) -> DataFrame:
+    """Linked files under their real ``path``; ``named_path`` is the listed one, ``target_path`` the real text beside that.
+
+    Links to nothing are left out. Object stores have no links, so their paths stay. Two names of one file give two rows.
+    """
+    named = listed.withColumns({"named_path": F.col("path"), "target_path": target_path(F.col("path"))})
+    return named.mapInPandas(_resolve, named.schema)
+
+
 def scan_media(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     """Video files under the roots; file contents are not read."""
     return list_files(spark, roots).filter(is_video(F.col("path")))
@@ -86,7 +126,8 @@ def scan_texts(spark: SparkSession, roots: Sequence[str], content: bool = True)
 
 def scan_listed_texts(listed: DataFrame, content: bool = True) -> DataFrame:
     """The ``*.txt`` files of a listing, once each, with their bytes."""
-    texts = listed.filter(F.col("path").rlike(r"\.txt$")).dropDuplicates(["path"])
+    name = "named_path" if "named_path" in listed.columns else "path"
+    texts = listed.filter(F.col(name).rlike(r"\.txt$")).dropDuplicates(["path"]).drop("named_path", "target_path")
     return _with_bytes(texts) if content else texts
 
 
