@@ -10,12 +10,13 @@ import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capsieve.functions.text import normalize_text
 from capsieve.functions.timecode import format_seconds, format_timestamp, parse_timestamp
 from capsieve.operators.ordering import lag_in_blocks
+from capsieve.session import materialize
 
 KEYS = ("run_id", "sample_id")
 PART_MS = 3_600_000
@@ -49,8 +50,11 @@ def caption_parts(segments: DataFrame, keys: Sequence[str] = KEYS, part_ms: int
     blocks = caption_blocks(segments, keys)
     text = F.concat("timecode", F.lit(CRLF), "caption", F.lit(CRLF))
     listed = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "seg_index", text.alias("t"))))
-    grouped = blocks.groupBy(*keys, F.floor(F.col("start_ms") / part_ms).alias("part_no")).agg(
-        F.array_join(F.transform(listed, lambda b: b["t"]), CRLF).alias("_text")
+    # Written out, as the text rules would run once more for the first parts.
+    grouped = materialize(
+        blocks.groupBy(*keys, F.floor(F.col("start_ms") / part_ms).alias("part_no")).agg(
+            F.array_join(F.transform(listed, lambda b: b["t"]), CRLF).alias("_text")
+        )
     )
     first = grouped.groupBy(*keys).agg(F.min("part_no").alias("_first"))
     lead = F.when(F.col("part_no") == F.col("_first"), "").otherwise(CRLF)
@@ -82,9 +86,14 @@ def _stream_digests(keys: Sequence[str]) -> Callable[[Iterator[pd.DataFrame]], I
 
 
 def caption_digests(parts: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """``keys, part_count, caption_size, caption_sha256`` of whole captions, hashed part by part in order."""
+    """``keys, part_count, caption_size, caption_sha256`` of whole captions, hashed part by part in order.
+
+    A window asks for a caption's parts side by side and in order, whatever adaptive execution makes of what is below;
+    a repartition goes where a join has dealt the rows alike, and with that join's plan their place may change.
+    """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.select(*keys).schema)
-    ordered = parts.select(*keys, "part_no", "caption").repartition(*keys).sortWithinPartitions(*keys, "part_no")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("part_no")).alias("_place")
+    ordered = parts.select(*keys, "part_no", "caption", place)
     return ordered.mapInPandas(_stream_digests(keys), f"{fields}, part_count bigint, caption_size bigint, caption_sha256 string")
 
 
