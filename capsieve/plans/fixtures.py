@@ -370,16 +370,20 @@ def append_logs(logs: DataFrame, folder: str, part: int, parts: int) -> None:
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.makedirs(root, exist_ok=True)
-        n = 0
+        n, at, file = 0, None, -1
         for frame in frames:
             for run, start, content, total in zip(frame["run_id"], frame["start"], frame["content"], frame["total"]):
                 low, high = total * (part - 1) // parts, total * part // parts
                 piece = content[max(0, low - start) : max(0, high - start)]
                 if piece:
-                    file = os.open(f"{root}/{run}.log", os.O_WRONLY | os.O_CREAT, 0o644)
+                    if run != at:
+                        if file >= 0:
+                            os.close(file)
+                        at, file = run, os.open(f"{root}/{run}.log", os.O_WRONLY | os.O_CREAT, 0o644)
                     os.pwrite(file, piece, max(start, low))
-                    os.close(file)
                     n += 1
+        if file >= 0:
+            os.close(file)
         yield pd.DataFrame({"n": [n]})
 
     logs.mapInPandas(write, "n long").agg(F.sum("n")).collect()

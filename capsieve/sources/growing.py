@@ -6,7 +6,7 @@
 Each ``<run_id>.log`` in the folder is a log. A line's number is the byte at which it starts, so numbers ascend and stay
 the same however the log is cut into batches. Offsets are the sizes of the logs. A line belongs to the range of bytes in
 which its line feed lies: a half line at the end of a range waits for the range that ends it, and ranges of one log can
-be read by different tasks.
+be read by different tasks. A task reads the ranges of many short logs, so the driver keeps no task for each log.
 """
 
 from __future__ import annotations
@@ -22,17 +22,25 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from capsieve.sources.files import open_store
 
 SUFFIX = ".log"
-CHUNK, RANGE_BYTES = 1 << 20, 32 << 20
+CHUNK, RANGE_BYTES, RANGES = 1 << 20, 32 << 20, 256
 SCHEMA = "path STRING, run_id STRING, line_no BIGINT, value STRING"
 
 
 @dataclass
-class LogRange(InputPartition):
+class LogRange:
     path: str
     start: int
     end: int
 
 
+@dataclass
+class LogRanges(InputPartition):
+    """What one task reads: (name, start, end) of some logs of the folder."""
+
+    folder: str
+    parts: list[tuple[str, int, int]]
+
+
 def sizes(folder: str) -> dict[str, int]:
     """Bytes of each log of a folder now, by name."""
     store, inner = open_store(folder)
@@ -51,6 +59,19 @@ def ranges(folder: str, start: dict[str, int], end: dict[str, int], size: int =
     return out
 
 
+def packed(folder: str, parts: list[LogRange], size: int = RANGE_BYTES, count: int = RANGES) -> list[LogRanges]:
+    """The ranges dealt to tasks, at most ``count`` and, unless one alone is longer, ``size`` bytes for each."""
+    out, room = [], 0
+    for part in parts:
+        length = part.end - part.start
+        if not out or length > room or len(out[-1].parts) >= count:
+            out.append(LogRanges(folder.rstrip("/"), []))
+            room = size
+        out[-1].parts.append((part.path.rsplit("/", 1)[-1], part.start, part.end))
+        room -= length
+    return out
+
+
 def lines(part: LogRange, chunk: int = CHUNK) -> Iterator[tuple[int, bytes]]:
     """(start, content) of the lines whose line feed is in the range."""
     store, inner = open_store(part.path)
@@ -78,22 +99,21 @@ def lines(part: LogRange, chunk: int = CHUNK) -> Iterator[tuple[int, bytes]]:
             held += rest
 
 
-def batches(part: LogRange, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
-    run = part.path.rsplit("/", 1)[-1].removesuffix(SUFFIX)
-    number, text = [], []
-
-    def batch() -> pa.RecordBatch:
-        same = lambda x: pa.array([x] * len(number), pa.string())
-        return pa.RecordBatch.from_arrays([same(part.path), same(run), pa.array(number, pa.int64()), pa.array(text, pa.string())], names=["path", "run_id", "line_no", "value"])
-
-    for start, line in lines(part):
-        number.append(start)
-        text.append(line.removesuffix(b"\r").decode(errors="replace"))
-        if len(number) >= rows:
-            yield batch()
-            number, text = [], []
-    if number:
-        yield batch()
+def batches(task: LogRanges, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    names = ["path", "run_id", "line_no", "value"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string()]
+    columns: list[list] = [[], [], [], []]
+    for name, begin, end in task.parts:
+        part = LogRange(f"{task.folder}/{name}", begin, end)
+        for start, line in lines(part):
+            row = (part.path, name.removesuffix(SUFFIX), start, line.removesuffix(b"\r").decode(errors="replace"))
+            for column, value in zip(columns, row):
+                column.append(value)
+            if len(columns[0]) >= rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                columns = [[], [], [], []]
+    if columns[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
 class _Stream(DataSourceStreamReader):
@@ -106,10 +126,10 @@ class _Stream(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return sizes(self.folder)
 
-    def partitions(self, start: dict, end: dict) -> list[LogRange]:
-        return ranges(self.folder, start, end)
+    def partitions(self, start: dict, end: dict) -> list[LogRanges]:
+        return packed(self.folder, ranges(self.folder, start, end))
 
-    def read(self, partition: LogRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: LogRanges) -> Iterator[pa.RecordBatch]:
         return batches(partition)
 
     def commit(self, end: dict) -> None:
@@ -120,11 +140,11 @@ class _Batch(DataSourceReader):
     def __init__(self, folder: str):
         self.folder = folder
 
-    def partitions(self) -> list[LogRange]:
-        return ranges(self.folder, {}, sizes(self.folder)) or [LogRange("", 0, 0)]
+    def partitions(self) -> list[LogRanges]:
+        return packed(self.folder, ranges(self.folder, {}, sizes(self.folder))) or [LogRanges(self.folder, [])]
 
-    def read(self, partition: LogRange) -> Iterator[pa.RecordBatch]:
-        return batches(partition) if partition.path else iter(())
+    def read(self, partition: LogRanges) -> Iterator[pa.RecordBatch]:
+        return batches(partition)
 
 
 class GrowingLogs(DataSource):

@@ -26,6 +26,20 @@ def test_each_line_is_in_one_range(tmp_path):
         assert found == whole
 
 
+def test_many_short_logs_share_a_task(tmp_path):
+    for k in range(1000):
+        (tmp_path / f"{k}.log").write_bytes(b"one\ntwo\nha")
+    (tmp_path / "long.log").write_bytes(b"x\n" * 50)
+    parts = growing.ranges(str(tmp_path), {}, growing.sizes(str(tmp_path)), 60)
+    tasks = growing.packed(str(tmp_path), parts, 6000, 300)
+    assert len(tasks) <= 6 and sum(len(t.parts) for t in tasks) == len(parts) == 1002
+    assert all(len(t.parts) <= 300 and sum(b - a for _, a, b in t.parts) <= 6000 for t in tasks)
+    rows = [r for t in tasks for b in growing.batches(t, 70) for r in b.to_pylist()]
+    assert sorted((r["run_id"], r["line_no"], r["value"]) for r in rows) == sorted(
+        [(str(k), at, v) for k in range(1000) for at, v in ((0, "one"), (4, "two"))] + [("long", 2 * k, "x") for k in range(50)]
+    )
+
+
 def test_ranges(tmp_path):
     (tmp_path / "a.log").write_bytes(b"x" * 25)
     (tmp_path / "notes.txt").write_bytes(b"no log")
