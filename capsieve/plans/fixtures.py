@@ -262,11 +262,15 @@ def put_files(rows: DataFrame, folder: str) -> str:
     """Write one file for each row of ``path`` (below the folder) and ``content``; a task that runs again writes the same."""
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = 0
+        n, made = 0, set()
+        store, base = open_store(folder)
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
-                store, inner = open_store(f"{folder}/{path.lstrip('/')}")
-                store.create_dir(inner.rsplit("/", 1)[0])
+                inner = f"{base}/{path.lstrip('/')}"
+                parent = inner.rsplit("/", 1)[0]
+                if parent not in made:
+                    store.create_dir(parent)
+                    made.add(parent)
                 with store.open_output_stream(inner) as out:
                     out.write(content or b"")
                 n += 1
