@@ -84,7 +84,7 @@ def similarity(left: Column, right: Column) -> Column:
 
 def token_mismatch(left: Column, right: Column) -> Column:
     """Sorted symmetric difference of two token sets."""
-    return F.array_sort(F.array_union(F.array_except(left, right), F.array_except(right, left)))
+    return F.sort_array(F.array_union(F.array_except(left, right), F.array_except(right, left)))
 
 
 def _folded(primary: DataFrame, secondary: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
@@ -110,7 +110,7 @@ def _folded(primary: DataFrame, secondary: DataFrame, keys: Sequence[str], width
     return (
         lone[0].unionByName(lone[1]).unionByName(both)
         .groupBy(*keys, "side", *own)
-        .agg(F.any_value("text", True).alias("text"), F.array_sort(F.collect_list("hit")).alias("hits"), F.sum("partners").alias("partners"))
+        .agg(F.any_value("text", True).alias("text"), F.sort_array(F.collect_list("hit")).alias("hits"), F.sum("partners").alias("partners"))
     )
 
 
@@ -154,7 +154,7 @@ def align(
     Without the ratio, risk rests on missing partners and token differences alone and every step
     stays native. Segments without index or times have no partner but keep their row.
     """
-    tokens = lambda c: tokens_of(nfkc(F.col(c)))
+    tokens = lambda c: tokens_of(nfkc(F.col(c))).alias(f"_{c}")
     lone = F.col("side") == "p"
     rows = _texts(_folded(primary, secondary, keys, width).filter("side = 's' OR partners = 0")).withColumns(
         {
@@ -164,7 +164,10 @@ def align(
             "secondary_text": F.when(lone, F.lit("")).otherwise(F.col("text")),
         }
     )
-    rows = rows.withColumn("token_mismatch", token_mismatch(tokens("primary_text"), tokens("secondary_text")))
+    # Generated, so that each text is split once; as columns both would be repeated wherever they are named.
+    rows = rows.select("*", F.inline(F.array(F.struct(tokens("primary_text"), tokens("secondary_text")))))
+    mismatch = F.array(token_mismatch(F.col("_primary_text"), F.col("_secondary_text")))
+    rows = rows.select("*", F.explode(mismatch).alias("token_mismatch")).drop("_primary_text", "_secondary_text")
     risky = lone | (F.size("primary_indexes") == 0) | (F.size("token_mismatch") > 0)
     ratio = F.lit(None).cast("double")
     if with_ratio:

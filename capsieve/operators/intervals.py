@@ -33,9 +33,8 @@ def cover(width: int, start: str = "start", end: str = "end") -> Column:
 
 
 def ancestors(width: int, levels: str, start: str = "start") -> Column:
-    """The cells that hold ``start``, at each level that is a bit of ``levels``."""
-    used = f"filter(sequence(0, 62), k -> shiftright({levels}, k) & 1 = 1)"
-    return F.expr(f"transform({used}, k -> named_struct('level', k, 'cell', shiftright({_floor_div(start, width)}, k)))")
+    """The cells that hold ``start``, at each level that the array ``levels`` names."""
+    return F.expr(f"transform({levels}, k -> named_struct('level', k, 'cell', shiftright({_floor_div(start, width)}, k)))")
 
 
 def _stored(rows: DataFrame, keys: Sequence[str], start: str, end: str, width: int) -> DataFrame:
@@ -46,7 +45,9 @@ def _stored(rows: DataFrame, keys: Sequence[str], start: str, end: str, width: i
 
 def _levels(stored: DataFrame, keys: Sequence[str]) -> DataFrame:
     used = F.expr("aggregate(cells, 0L, (bits, c) -> bits | shiftleft(1L, c.level))")
-    return stored.groupBy(*keys).agg(F.bit_or(used).alias("levels"))
+    bits = stored.groupBy(*keys).agg(F.bit_or(used).alias("bits"))
+    # Read out of the bits once for each key, not for each row.
+    return bits.select(*keys, F.expr("filter(sequence(0, 62), k -> shiftright(bits, k) & 1 = 1)").alias("levels"))
 
 
 def overlaps(
