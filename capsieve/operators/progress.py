@@ -14,7 +14,7 @@ from capsieve.session import materialize
 
 ENGINES = (PRIMARY_ENGINE, SECONDARY_ENGINE)
 TAIL_CHARS = 1200  # fixed value
-HELD_ROWS = 200_000
+HELD_ROWS, HELD_CHARS = 50_000, 16 << 20
 
 
 def touched(events: DataFrame, run: str = "run_id", engines: Sequence[str] = ENGINES) -> DataFrame:
@@ -86,7 +86,7 @@ def _newest(run: str, seq: str, chars: int):
         for frame in frames:
             if len(frame):
                 held = cut(frame if held is None else pd.concat([held, frame]))
-                if len(held) > HELD_ROWS:
+                if len(held) > HELD_ROWS or held["text"].str.len().sum() + held["after"].str.len().sum() > HELD_CHARS:
                     yield held
                     held = None
         if held is not None:
