@@ -31,3 +31,10 @@ def test_digests_when_a_join_below_changes_its_plan(spark):
     assert sorted((r.sample_id, r.part_count, r.caption_size, r.caption_sha256) for r in found) == sorted(
         (s, len(p), len(b"".join(p)), hashlib.sha256(b"".join(p)).hexdigest()) for s, p in whole.items()
     )
+
+
+def test_digests_ask_for_order_themselves(spark):
+    """No repartition that the planner may take out stands between the parts and the running hash."""
+    parts = spark.createDataFrame([("r", 1, 0, b"a")], "run_id string, sample_id long, part_no long, caption binary")
+    plan = captions.caption_digests(parts)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "REPARTITION_BY_COL" not in plan
