@@ -101,15 +101,18 @@ def _folded(primary: DataFrame, secondary: DataFrame, keys: Sequence[str], width
         rows.select(*keys, F.lit(side).alias("side"), *own, "text", F.expr(none).alias("hit"), F.lit(0).alias("partners"))
         for side, rows in marked.items()
     ]
-    pairs = overlaps(marked["s"], marked["p"], keys, width=width)
+    pairs = overlaps(marked["s"].drop("text"), marked["p"], keys, width=width)
     met = lambda side, of, hit: F.struct(
         F.lit(side).alias("side"), *[F.col(f"{of}.{c}") for c in own], F.lit(None).cast("string").alias("text"), hit.alias("hit"), F.lit(1).alias("partners")
     )
     hit = F.struct(F.col("r.seg_index").cast("bigint").alias("i"), F.col("r.text").alias("t"))
     both = pairs.select(*keys, F.inline(F.array(met("s", "l", hit), met("p", "r", F.expr(none)))))
+    # A number for the segment comes first in the grouping, so that rows are sorted by it and not by the keys. Dealt by it
+    # before, as lists are built once then, behind the shuffle.
+    found = lone[0].unionByName(lone[1]).unionByName(both).withColumn("segment_no", F.xxhash64(*keys, "side", *own))
     return (
-        lone[0].unionByName(lone[1]).unionByName(both)
-        .groupBy(*keys, "side", *own)
+        found.repartition("segment_no")
+        .groupBy("segment_no", *keys, "side", *own)
         .agg(F.any_value("text", True).alias("text"), F.sort_array(F.collect_list("hit")).alias("hits"), F.sum("partners").alias("partners"))
     )
 
