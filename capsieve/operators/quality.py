@@ -72,7 +72,9 @@ def joined_lengths(segments: DataFrame, keys: Sequence[str], text: str = "t") ->
 
 def _suspects(segments: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """The segments of the samples in whose texts joining letters occur; None, after a look at the texts, without any."""
-    found = segments.filter(F.col("text").rlike(f"[{JOINING}{SPACING}]")).select(*keys)
+    # None of the letters is ASCII; such texts are told by their lengths, without a search.
+    wide = F.octet_length("text") > F.char_length("text")
+    found = segments.filter(wide & F.col("text").rlike(f"[{JOINING}{SPACING}]")).select(*keys)
     return None if found.isEmpty() else segments.join(found.distinct(), list(keys), "left_semi").select(*keys, "seg_index", "text")
 
 
