@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import codecs
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,9 +45,18 @@ ANSI_CSI = r"\x1b\[[0-9;?]*[A-Za-z]"
 def needs_unicode(text: Column) -> Column:
     """True when the text holds a character outside the NFKC-stable ranges.
 
-    ASCII passes on the first test; only other characters are looked up in the ranges.
+    ASCII is told by its length; only other characters are looked up in the ranges.
     """
-    return text.rlike(rf"[^\x00-\x7f](?<![{STABLE_RANGES}])")
+    return (F.octet_length(text) > F.char_length(text)) & text.rlike(rf"[^\x00-\x7f](?<![{STABLE_RANGES}])")
+
+
+def by_need(rows: DataFrame, build: Callable[[DataFrame, bool], DataFrame], text: str = "text") -> DataFrame:
+    """``build(rows, stable)`` of the rows whose text is stable and of the others, as one table.
+
+    A Python UDF costs each row the way to its worker and back, nulls too; with ``stable`` the rules below have none.
+    """
+    hard = F.coalesce(needs_unicode(F.col(text)), F.lit(False))
+    return build(rows.where(~hard), True).unionByName(build(rows.where(hard), False))
 
 
 def _map(values: pd.Series, fn) -> pd.Series:
@@ -73,26 +83,26 @@ def _comparison(values: pd.Series) -> pd.Series:
     return _map(values, _compare)
 
 
-def _native_or(text: Column, native: Column, udf) -> Column:
-    return F.coalesce(udf(F.when(needs_unicode(text), text)), native)
+def _native_or(text: Column, native: Column, udf, stable: bool = False) -> Column:
+    return native if stable else F.coalesce(udf(F.when(needs_unicode(text), text)), native)
 
 
 def _lower(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
-def nfkc(text: Column) -> Column:
-    return _native_or(text, text, _nfkc)
+def nfkc(text: Column, stable: bool = False) -> Column:
+    return _native_or(text, text, _nfkc, stable)
 
 
 def casefold(text: Column) -> Column:
     return _native_or(text, _lower(text), _casefold)
 
 
-def comparison_text(text: Column) -> Column:
-    """NFKC, case folding, letters and digits only."""
+def comparison_text(text: Column, stable: bool = False) -> Column:
+    """NFKC, case folding, letters and digits only; ``stable`` as in :func:`by_need`."""
     native = F.regexp_replace(_lower(text), r"[^\p{L}\p{N}]", "")
-    return _native_or(text, native, _comparison)
+    return _native_or(text, native, _comparison, stable)
 
 
 def token_set(text: Column) -> Column:
@@ -155,9 +165,9 @@ def drop_marks(text: Column) -> Column:
     return F.regexp_replace(spaced, f"{mark}{kept}", "")
 
 
-def normalize_text(text: Column) -> Column:
-    """Caption text: NFKC, no engine tags, no marks, single spaces."""
-    plain = F.regexp_replace(nfkc(text), ENGINE_TAG, "")
+def normalize_text(text: Column, stable: bool = False) -> Column:
+    """Caption text: NFKC, no engine tags, no marks, single spaces; ``stable`` as in :func:`by_need`."""
+    plain = F.regexp_replace(nfkc(text, stable), ENGINE_TAG, "")
     return collapse_space(drop_marks(F.regexp_replace(plain, r"[\r\n\t]+", " ")))
 
 

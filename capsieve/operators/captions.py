@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capsieve.functions.text import normalize_text
+from capsieve.functions.text import by_need, normalize_text
 from capsieve.functions.timecode import format_seconds, format_timestamp, parse_timestamp
 from capsieve.operators.ordering import lag_in_blocks
 from capsieve.session import materialize
@@ -34,15 +34,19 @@ def caption_blocks(segments: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
 
     The empty ones are dropped by the generator: a filter would be pushed down and repeat the rules.
     """
-    solid = F.filter(F.array(normalize_text(F.col("text"))), lambda caption: caption != "")
-    return segments.select(
-        *keys,
-        "start_ms",
-        "end_ms",
-        "seg_index",
-        format_timestamp(F.col("start_ms")).alias("timecode"),
-        F.explode(solid).alias("caption"),
-    )
+
+    def blocks(rows: DataFrame, stable: bool) -> DataFrame:
+        solid = F.filter(F.array(normalize_text(F.col("text"), stable)), lambda caption: caption != "")
+        return rows.select(
+            *keys,
+            "start_ms",
+            "end_ms",
+            "seg_index",
+            format_timestamp(F.col("start_ms")).alias("timecode"),
+            F.explode(solid).alias("caption"),
+        )
+
+    return by_need(segments, blocks)
 
 
 def caption_parts(segments: DataFrame, keys: Sequence[str] = KEYS, part_ms: int = PART_MS) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from capsieve.functions.text import comparison_text, normalize_text
+from capsieve.functions.text import by_need, comparison_text, normalize_text
 from capsieve.operators.ordering import running_sum_in_blocks
 
 KEYS = ("run_id", "sample_id")
@@ -85,15 +85,19 @@ def transcript_metrics(primary: DataFrame, secondary: DataFrame, keys: Sequence[
     together is added for the samples that have such letters. Caption lengths are whole numbers, so the median's value
     table stays small.
     """
-    first = (
-        # One generated element: without it the rules would be repeated above and below the UDF.
-        primary.select(*keys, F.explode(F.array(normalize_text(F.col("text")))).alias("caption"))
-        .select(*keys, F.char_length("caption").alias("c"), F.char_length(comparison_text(F.col("caption"))).alias("n"))
-        .withColumn("p", F.lit(1))
-    )
-    second = secondary.select(
-        *keys, F.lit(None).cast("int").alias("c"), F.char_length(comparison_text(F.col("text"))).alias("n"), F.lit(0).alias("p")
-    )
+
+    def shown_sizes(rows: DataFrame, stable: bool) -> DataFrame:
+        # One generated element: without it the rules would be repeated above and below the UDF. What is stable stays so.
+        shown = rows.select(*keys, F.explode(F.array(normalize_text(F.col("text"), stable))).alias("caption"))
+        return shown.select(
+            *keys, F.char_length("caption").alias("c"), F.char_length(comparison_text(F.col("caption"), stable)).alias("n"), F.lit(1).alias("p")
+        )
+
+    def plain_sizes(rows: DataFrame, stable: bool) -> DataFrame:
+        size = F.char_length(comparison_text(F.col("text"), stable))
+        return rows.select(*keys, F.lit(None).cast("int").alias("c"), size.alias("n"), F.lit(0).alias("p"))
+
+    first, second = by_need(primary, shown_sizes), by_need(secondary, plain_sizes)
     side = lambda p, c: F.coalesce(F.sum(F.when(F.col("p") == p, c)), F.lit(0)).cast("bigint")
     shown = F.when(F.col("c") > 0, F.col("c"))
     counted = (
@@ -124,11 +128,9 @@ def longest_duplicate_run(segments: DataFrame, keys: Sequence[str] = KEYS, block
     Runs are found inside blocks of the segment order. Only a block's first and last run can go on in
     a neighbour, so the second pass sees at most two rows per block.
     """
-    texts = segments.select(
-        *keys,
-        "seg_index",
-        F.floor(F.col("seg_index") / block).alias("block"),
-        comparison_text(F.col("text")).alias("t"),
+    at = F.floor(F.col("seg_index") / block).alias("block")
+    texts = by_need(
+        segments, lambda rows, stable: rows.select(*keys, "seg_index", at, comparison_text(F.col("text"), stable).alias("t"))
     )
     inside = Window.partitionBy(*keys, "block").orderBy("seg_index")
     breaks = F.when((F.col("t") == "") | ~F.lag("t").over(inside).eqNullSafe(F.col("t")), 1).otherwise(0)
