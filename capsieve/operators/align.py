@@ -1,22 +1,25 @@
 """Alignment of two transcripts: interval overlap, agreement and risk.
 
-Overlapping segments are found by a dyadic index of time (:mod:`capsieve.operators.intervals`), so one long or popular
-sample spreads over many tasks and a segment of any length costs few rows. What is matched and what isn't, on both
-sides, comes from one pass over the pairs.
+Overlapping segments are found in blocks of time, so one long sample spreads over many tasks, with one shuffle. Samples
+with long segments or crowded blocks go by a dyadic index of time (:mod:`capsieve.operators.intervals`) instead, where a
+segment of any length costs few rows and a popular time spreads. What is matched and what isn't, on both sides, comes from
+one pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capsieve.functions.text import comparison_text, nfkc, tokens_of
-from capsieve.operators.intervals import WIDTH_MS, overlaps
+from capsieve.functions.text import comparison_text, needs_unicode, nfkc, tokens_of
+from capsieve.operators.intervals import NEAR, WIDTH_MS, floor_div, overlaps
+from capsieve.session import materialize
 
 KEYS = ("run_id", "sample_id")
 RISK_RATIO = 0.60  # fixed value
@@ -87,11 +90,91 @@ def token_mismatch(left: Column, right: Column) -> Column:
     return F.sort_array(F.array_union(F.array_except(left, right), F.array_except(right, left)))
 
 
+#: A block is so many cells of the index. Segments that are placed by arithmetic reach into the next one at most.
+BLOCK = 24
+#: More segments that start in one block are left to the index.
+CROWD = 1_024
+
+
+def _cells(rows: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """The rows with ``_at``, ``_to`` (start and end), ``_cell`` (the start's) and ``_timed``: whether they can have a partner."""
+    at, to = (F.col(c).cast("bigint") for c in ("start_ms", "end_ms"))
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
+    timed = known & F.coalesce(to > at, F.lit(False))
+    cell = F.when(timed, F.expr(floor_div("CAST(start_ms AS BIGINT)", width)))
+    return rows.withColumns({"_at": at, "_to": to, "_cell": cell, "_timed": timed})
+
+
+def _kinds(primary: DataFrame, secondary: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """``keys`` of the samples that need the index: with segments of many cells or many segments in a block."""
+    last = F.expr(floor_div("(_to - 1)", width))
+    one = [
+        _cells(rows.select(*keys, "start_ms", "end_ms"), keys, width).where("_timed").select(
+            *keys, F.expr(floor_div("_cell", BLOCK)).alias("_block"), (last - F.col("_cell") >= NEAR).alias("_far")
+        )
+        for rows in (primary, secondary)
+    ]
+    blocks = one[0].unionByName(one[1]).groupBy(*keys, "_block").agg(F.count("*").alias("_n"), F.bool_or("_far").alias("_far"))
+    return materialize(blocks.where((F.col("_n") > CROWD) | F.col("_far")).select(*keys).distinct())
+
+
 def _folded(primary: DataFrame, secondary: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
-    """One row per segment of either side: ``side`` (``s`` or ``p``), the segment, and ``hits``, the partners' (index, text).
+    """One row per secondary segment and per primary one without partner: ``side`` (``s`` or ``p``), the segment, and
+    ``hits``, the partners' (index, text).
 
-    Segments and pairs meet in one aggregation, so the pairs are computed once and segments without index or times stay.
-    Of a primary segment's partners only the number counts. Segments that are equal in all columns count as one.
+    Segments without index or times stay. Segments that are equal in all columns count as one. Samples whose segments are
+    short and spread, as most are, are folded in blocks of time; the index takes the others, after a look at all.
+    """
+    crowded = _kinds(primary, secondary, keys, width)
+    if crowded.isEmpty():
+        return _folded_in_blocks(primary, secondary, keys, width)
+    rest, some = ([rows.join(crowded, list(keys), how) for rows in (primary, secondary)] for how in ("left_anti", "left_semi"))
+    return _folded_in_blocks(*rest, keys, width).unionByName(_folded_by_index(*some, keys, width))
+
+
+def _folded_in_blocks(primary: DataFrame, secondary: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """:func:`_folded` of samples without long segments and crowded blocks, with one shuffle.
+
+    A segment is at home in the block of its start. It is copied to the next one if it reaches there, and to the one
+    before if a segment that is at home there may reach its start, so all partners of a segment are found at its home.
+    """
+    own = F.expr(floor_div("_cell", BLOCK))
+    over = F.expr(floor_div(floor_div("(_to - 1)", width), BLOCK)) > own
+    early = F.expr(f"pmod(_cell, {BLOCK}L)") < NEAR - 1
+    place = lambda block, home: F.struct(block.alias("block"), F.lit(home).alias("home"))
+    copies = F.array(
+        place(own, True), F.when(F.col("_timed") & over, place(own + 1, False)), F.when(F.col("_timed") & early, place(own - 1, False))
+    )
+    names = list(SEGMENT)
+    sides = [
+        _cells(rows.select(*keys, *SEGMENT), keys, width).select(*keys, F.lit(side).alias("side"), *SEGMENT, "_at", "_to", F.inline(copies))
+        for side, rows in (("p", primary), ("s", secondary))
+    ]
+    both = sides[0].unionByName(sides[1]).where("home IS NOT NULL")
+    # Segments are dealt by one number, that of their block, so that rows are sorted by it and not by the keys; those
+    # without times have one of their own.
+    number = F.when(F.col("block").isNotNull(), F.xxhash64(*keys, "block")).otherwise(F.xxhash64(*keys, "side", *SEGMENT))
+    first = F.col("side") == "p"
+    dealt = both.withColumn("segment_no", number).repartition("segment_no").groupBy("segment_no", *keys, "block").agg(
+        F.collect_set(F.when(~first & F.col("home"), F.struct(*names, "_at", "_to"))).alias("own"),
+        F.collect_list(F.when(~first & ~F.col("home"), F.struct("_at", "_to"))).alias("near"),
+        F.collect_set(F.when(first & F.col("home"), F.struct(*names, "_at", "_to"))).alias("lone"),
+        F.collect_list(F.when(first, F.struct(F.col("seg_index").cast("bigint").alias("i"), F.col("text").alias("t"), "_at", "_to"))).alias("held"),
+    )
+    timed = F.col("block").isNotNull()
+    meet = lambda a, b: timed & (a["_at"] < b["_to"]) & (b["_at"] < a["_to"])
+    hit = lambda h: F.struct(h["i"].alias("i"), h["t"].alias("t"))
+    found = lambda x: F.sort_array(F.transform(F.filter("held", lambda h: meet(x, h)), hit))
+    row = lambda side, x, hits: F.struct(F.lit(side).alias("side"), *[x[c].alias(c) for c in names], hits.alias("hits"))
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<i: BIGINT, t: STRING>>)")
+    free = F.filter("lone", lambda x: ~F.exists("own", lambda y: meet(x, y)) & ~F.exists("near", lambda y: meet(x, y)))
+    out = F.concat(F.transform("own", lambda x: row("s", x, found(x))), F.transform(free, lambda x: row("p", x, none)))
+    return dealt.select(*keys, F.inline(out))
+
+
+def _folded_by_index(primary: DataFrame, secondary: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
+    """:func:`_folded` of any samples. Segments and pairs meet in one aggregation, so the pairs are computed once; of a
+    primary segment's partners only the number counts.
     """
     mark = F.xxhash64("text")
     own = ["seg_index", "start_ms", "end_ms", "mark"]
@@ -114,6 +197,8 @@ def _folded(primary: DataFrame, secondary: DataFrame, keys: Sequence[str], width
         found.repartition("segment_no")
         .groupBy("segment_no", *keys, "side", *own)
         .agg(F.any_value("text", True).alias("text"), F.sort_array(F.collect_list("hit")).alias("hits"), F.sum("partners").alias("partners"))
+        .where("side = 's' OR partners = 0")
+        .select(*keys, "side", *SEGMENT, "hits")
     )
 
 
@@ -155,11 +240,26 @@ def align(
     """Alignment rows: one per secondary segment, and one per primary segment without a partner.
 
     Without the ratio, risk rests on missing partners and token differences alone and every step
-    stays native. Segments without index or times have no partner but keep their row.
+    stays native. Segments without index or times have no partner but keep their row. Python workers see the samples whose
+    texts need Unicode's rules, after a look at all, and with the ratio the texts it can't be told for.
     """
-    tokens = lambda c: tokens_of(nfkc(F.col(c))).alias(f"_{c}")
+    build = lambda one, two, stable: _aligned(one, two, keys, width, with_ratio, stable)
+    found = [rows.where(needs_unicode(F.col("text"))).select(*keys) for rows in (primary, secondary)]
+    some = materialize(found[0].unionByName(found[1]).distinct())
+    if some.isEmpty():
+        return build(primary, secondary, True)
+    # Null keys are samples here, as they are where rows are grouped.
+    said = some.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    rest, hard = ([rows.join(said, same, how) for rows in (primary, secondary)] for how in ("left_anti", "left_semi"))
+    return build(*rest, True).unionByName(build(*hard, False))
+
+
+def _aligned(primary: DataFrame, secondary: DataFrame, keys: Sequence[str], width: int, with_ratio: bool, stable: bool) -> DataFrame:
+    """:func:`align` of samples whose texts are ``stable`` (see :func:`capsieve.functions.text.by_need`), or of any."""
+    tokens = lambda c: tokens_of(nfkc(F.col(c), stable)).alias(f"_{c}")
     lone = F.col("side") == "p"
-    rows = _texts(_folded(primary, secondary, keys, width).filter("side = 's' OR partners = 0")).withColumns(
+    rows = _texts(_folded(primary, secondary, keys, width)).withColumns(
         {
             "secondary_index": F.when(~lone, F.col("seg_index")),
             "primary_indexes": F.when(lone, F.array(F.col("seg_index").cast("bigint"))).otherwise(F.col("primary_indexes")),
@@ -174,7 +274,10 @@ def align(
     risky = lone | (F.size("primary_indexes") == 0) | (F.size("token_mismatch") > 0)
     ratio = F.lit(None).cast("double")
     if with_ratio:
-        ratio = similarity(comparison_text(F.col("primary_text")), comparison_text(F.col("secondary_text")))
+        # Generated too, as the measure names both often.
+        compared = [comparison_text(F.col(c), stable).alias(f"_{c}") for c in ("primary_text", "secondary_text")]
+        rows = rows.select("*", F.inline(F.array(F.struct(*compared))))
+        ratio = similarity(F.col("_primary_text"), F.col("_secondary_text"))
         risky = risky | (F.col("_ratio") < RISK_RATIO)
     return rows.withColumn("_ratio", ratio).select(
         *keys, "secondary_index", "primary_indexes", "start_ms", "end_ms", "primary_text", "secondary_text",

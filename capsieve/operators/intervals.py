@@ -23,13 +23,13 @@ WIDTH_MS = 5_000
 NEAR = 4  # cells
 
 
-def _floor_div(name: str, width: int) -> str:
+def floor_div(name: str, width: int) -> str:
     return f"(({name} - pmod({name}, {width}L)) div {width}L)"
 
 
 def cover(width: int, start: str = "start", end: str = "end") -> Column:
     """Dyadic cells (``level``, ``cell``) that partition the cells of ``start`` to ``end`` (exclusive); exact for all longs."""
-    low, high = _floor_div(start, width), f"({_floor_div(f'({end} - 1)', width)} + 1)"
+    low, high = floor_div(start, width), f"({floor_div(f'({end} - 1)', width)} + 1)"
     first, last = f"(-shiftright(-{low}, k))", f"shiftright({high}, k)"
     cell = lambda at: f"named_struct('level', k, 'cell', {at})"
     odd = lambda x: f"{first} < {last} AND ({x}) & 1 = 1"
@@ -40,7 +40,7 @@ def cover(width: int, start: str = "start", end: str = "end") -> Column:
 
 def ancestors(width: int, levels: str, start: str = "start") -> Column:
     """The cells that hold ``start``, at each level that the array ``levels`` names."""
-    return F.expr(f"transform({levels}, k -> named_struct('level', k, 'cell', shiftright({_floor_div(start, width)}, k)))")
+    return F.expr(f"transform({levels}, k -> named_struct('level', k, 'cell', shiftright({floor_div(start, width)}, k)))")
 
 
 def _stored(rows: DataFrame, keys: Sequence[str], start: str, end: str, width: int, side: str) -> DataFrame:
@@ -50,7 +50,7 @@ def _stored(rows: DataFrame, keys: Sequence[str], start: str, end: str, width: i
     )
     at, to = (f"CAST(`{side}__{c}` AS BIGINT)" for c in (start, end))
     return named.where(f"{to} > {at}").withColumns(
-        {"_first": F.expr(_floor_div(at, width)), "_last": F.expr(_floor_div(f"({to} - 1)", width))}
+        {"_first": F.expr(floor_div(at, width)), "_last": F.expr(floor_div(f"({to} - 1)", width))}
     )
 
 
