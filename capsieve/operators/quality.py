@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capsieve.functions.text import by_need, comparison_text, normalize_text
 from capsieve.operators.ordering import running_sum_in_blocks
+from capsieve.session import materialize
 
 KEYS = ("run_id", "sample_id")
 RUN_BLOCK = 4096
@@ -70,11 +71,14 @@ def joined_lengths(segments: DataFrame, keys: Sequence[str], text: str = "t") ->
     return together.join(apart, list(keys)).select(*keys, (F.col("_together") - F.col("_apart")).alias("joined"))
 
 
+def _joining(text: Column) -> Column:
+    # None of the letters is ASCII; such texts are told by their lengths, without a search.
+    return (F.octet_length(text) > F.char_length(text)) & text.rlike(f"[{JOINING}{SPACING}]")
+
+
 def _suspects(segments: DataFrame, keys: Sequence[str]) -> DataFrame | None:
     """The segments of the samples in whose texts joining letters occur; None, after a look at the texts, without any."""
-    # None of the letters is ASCII; such texts are told by their lengths, without a search.
-    wide = F.octet_length("text") > F.char_length("text")
-    found = segments.filter(wide & F.col("text").rlike(f"[{JOINING}{SPACING}]")).select(*keys)
+    found = segments.filter(_joining(F.col("text"))).select(*keys)
     return None if found.isEmpty() else segments.join(found.distinct(), list(keys), "left_semi").select(*keys, "seg_index", "text")
 
 
@@ -86,16 +90,18 @@ def transcript_metrics(primary: DataFrame, secondary: DataFrame, keys: Sequence[
     table stays small.
     """
 
+    # No letter that joins is stable, so only the other texts are searched.
+    joins = lambda stable: F.lit(False) if stable else F.coalesce(_joining(F.col("text")), F.lit(False))
+
     def shown_sizes(rows: DataFrame, stable: bool) -> DataFrame:
         # One generated element: without it the rules would be repeated above and below the UDF. What is stable stays so.
-        shown = rows.select(*keys, F.explode(F.array(normalize_text(F.col("text"), stable))).alias("caption"))
-        return shown.select(
-            *keys, F.char_length("caption").alias("c"), F.char_length(comparison_text(F.col("caption"), stable)).alias("n"), F.lit(1).alias("p")
-        )
+        shown = rows.select(*keys, joins(stable).alias("j"), F.explode(F.array(normalize_text(F.col("text"), stable))).alias("caption"))
+        size = F.char_length(comparison_text(F.col("caption"), stable))
+        return shown.select(*keys, "j", F.char_length("caption").alias("c"), size.alias("n"), F.lit(1).alias("p"))
 
     def plain_sizes(rows: DataFrame, stable: bool) -> DataFrame:
         size = F.char_length(comparison_text(F.col("text"), stable))
-        return rows.select(*keys, F.lit(None).cast("int").alias("c"), size.alias("n"), F.lit(0).alias("p"))
+        return rows.select(*keys, joins(stable).alias("j"), F.lit(None).cast("int").alias("c"), size.alias("n"), F.lit(0).alias("p"))
 
     first, second = by_need(primary, shown_sizes), by_need(secondary, plain_sizes)
     side = lambda p, c: F.coalesce(F.sum(F.when(F.col("p") == p, c)), F.lit(0)).cast("bigint")
@@ -111,15 +117,18 @@ def transcript_metrics(primary: DataFrame, secondary: DataFrame, keys: Sequence[
             F.count(shown).alias("caption_count"),
             F.percentile(shown, 0.5).alias("median_text_chars"),
             F.max(shown).cast("bigint").alias("max_text_chars"),
+            *[F.coalesce(F.bool_or(F.when(F.col("p") == p, F.col("j"))), F.lit(False)).alias(f"_{name}") for name, p in (("primary_chars", 1), ("secondary_chars", 0))],
         )
     )
+    # One row a sample, written out so that the look at it and its readers don't count twice.
+    counted = materialize(counted)
     shapes = {"primary_chars": (primary, normalize_text(F.col("text"))), "secondary_chars": (secondary, F.col("text"))}
     for name, (side, shown_as) in shapes.items():
-        some = _suspects(side, keys)
+        some = None if counted.filter(f"_{name}").isEmpty() else _suspects(side, keys)
         if some is not None:
             more = joined_lengths(some.select(*keys, "seg_index", F.explode(F.array(shown_as)).alias("t")), keys)
             counted = counted.join(more, list(keys), "left").withColumn(name, F.col(name) + F.coalesce("joined", F.lit(0))).drop("joined")
-    return counted
+    return counted.drop(*[f"_{name}" for name in shapes])
 
 
 def longest_duplicate_run(segments: DataFrame, keys: Sequence[str] = KEYS, block: int = RUN_BLOCK) -> DataFrame:

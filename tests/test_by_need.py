@@ -37,3 +37,16 @@ def test_stable_texts_meet_no_python(spark):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         union = plan[plan.index("Union") :]
         assert union.count("ArrowEvalPython") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_no_joining_letter_is_stable(spark):
+    signs = spark.range(1, 0xFFFF).filter("id < 55296 OR id > 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("text"))
+    both = signs.filter(quality._joining(F.col("text")) & ~needs_unicode(F.col("text")))
+    assert signs.filter(quality._joining(F.col("text"))).count() > 1_000 and both.count() == 0
+
+
+def test_segments_are_searched_where_letters_join_alone(spark, monkeypatch):
+    """Without joining letters in the metrics' own pass the segments aren't read once more for them."""
+    monkeypatch.setattr(quality, "_suspects", lambda *_: 1 / 0)
+    df = spark.createDataFrame([r for r in rows(60) if r[5] is None or r[5].isascii()], SCHEMA)
+    assert quality.transcript_metrics(df, df).count() == 9
