@@ -181,6 +181,7 @@ def _folded_by_index(primary: DataFrame, secondary: DataFrame, keys: Sequence[st
     primary segment's partners only the number counts.
     """
     mark = F.xxhash64("text")
+    secondary = secondary.select(*keys, *SEGMENT).distinct()
     own = ["seg_index", "start_ms", "end_ms", "mark"]
     marked = {side: rows.select(*keys, *SEGMENT, mark.alias("mark")) for side, rows in (("s", secondary), ("p", primary))}
     none = "CAST(NULL AS STRUCT<i: BIGINT, t: STRING>)"
