@@ -24,6 +24,8 @@ from capsieve.session import materialize
 BITS, ROWS, QUERY_ROWS = 6, 2048, 512
 #: Query blocks whose lower bounds a task holds before it hands them on (20 kB each for k = 5).
 HELD_BLOCKS = 2000
+#: Pairs of a query and a candidate for one task, and tasks of a small job; bytes of queries that a task keeps at hand.
+TASK_PAIRS, LEAST_TASKS, HELD_QUERIES = 1 << 27, 32, 16 << 20
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -57,7 +59,7 @@ def cells(rows: int = ROWS):
 def estimates(r) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ids of a block of candidates and of queries, the middle of each pair's bounds (-inf for the query's own id), and half their width by query."""
     ids, asked = np.frombuffer(r.ids, np.int64), np.frombuffer(r.query_ids, np.int64)
-    q = np.frombuffer(r.queries, np.int64).reshape(len(asked), r.dim).astype(float)
+    q = np.frombuffer(r.queries, r.kind).reshape(len(asked), r.dim).astype(float)
     low, step = np.frombuffer(r.low, np.int64), np.frombuffer(r.step, np.int64)
     half = (step - 1) / 2
     centre = np.frombuffer(r.cells, np.uint8).reshape(len(ids), r.dim) * step + (low + half)
@@ -107,7 +109,8 @@ def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def query_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks of queries of one dimension: ids, vectors, the score that counts, and a hash that names the block."""
+    """Blocks of queries of one dimension: ids, vectors in the narrowest integers that hold them and the kind of those, the score that counts, and a
+    hash that names the block."""
     for batch in batches:
         for dim, group in batch.groupby(batch["vector"].map(len), sort=True):
             for at in range(0, len(group), QUERY_ROWS):
@@ -115,7 +118,21 @@ def query_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 x = np.array(part["vector"].tolist(), np.int64).reshape(len(part), dim)
                 ids, least = part["vec_id"].to_numpy(np.int64).tobytes(), part["least"].to_numpy(float).tobytes()
                 name = hashlib.blake2b(ids + x.tobytes(), digest_size=16).digest()
-                yield pd.DataFrame([(dim, name, ids, x.tobytes(), least)], columns=["dim", "block", "query_ids", "queries", "least"])
+                low, high = (x.min(), x.max()) if x.size else (0, 0)
+                kind = next(t for t in ("<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+                yield pd.DataFrame([(dim, name, ids, kind, x.astype(kind).tobytes(), least)], columns=["dim", "block", "query_ids", "kind", "queries", "least"])
+
+
+def grid(pairs: int, candidate_bytes: int, query_bytes: int, slots: int) -> tuple[int, int]:
+    """Over how many slots candidates are dealt, and over how many groups queries.
+
+    Each slot meets each group in a task of its own, so candidates are copied for each group and queries for each slot.
+    The number of tasks follows the pairs, not the partitions, and they are cut so that the least bytes are copied;
+    a group of queries stays small enough to be kept at hand.
+    """
+    tasks = max(min(slots, LEAST_TASKS), -(-pairs // TASK_PAIRS))
+    groups = max(1, round((tasks * query_bytes / max(1, candidate_bytes)) ** 0.5), -(-query_bytes // HELD_QUERIES))
+    return -(-tasks // groups), groups
 
 
 def bounds(candidates: DataFrame, asked: DataFrame, k: int, rows: int = ROWS) -> DataFrame:
@@ -123,15 +140,24 @@ def bounds(candidates: DataFrame, asked: DataFrame, k: int, rows: int = ROWS) ->
 
     Their number depends on the vectors, not on how candidates are cut into blocks or dealt over tasks.
     """
-    slots = shuffle_partitions(candidates.sparkSession)
+    parts = shuffle_partitions(candidates.sparkSession)
+    (n, size), (m, wide) = (df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0))).first() for df in (candidates, asked))
+    slots, groups = grid(n * m, 8 * n + size, 16 * m + 2 * wide, parts)
     blocks = candidates.mapInPandas(cells(rows), "dim int, first long, ids binary, cells binary, low binary, step binary")
     blocks = materialize(blocks.withColumn("slot", F.pmod(F.xxhash64("first", "dim"), F.lit(slots))))
 
+    def each(count: int) -> Column:
+        return F.explode(F.sequence(*(F.lit(i).cast("long") for i in (0, count - 1))))
+
     def met(queries: DataFrame) -> DataFrame:
-        """Each block of queries beside each block of candidates."""
-        wanted = queries.coalesce(slots).mapInPandas(query_blocks, "dim int, block binary, query_ids binary, queries binary, least binary")
-        wanted = wanted.withColumn("slot", F.explode(F.sequence(*(F.lit(n).cast("long") for n in (0, slots - 1)))))
-        return blocks.join(wanted, ["slot", "dim"])
+        """Each block of queries beside each block of candidates.
+
+        The planner sees the queries before they are copied for the slots, so it would take them for small: they are
+        kept from being broadcast.
+        """
+        wanted = queries.coalesce(parts).mapInPandas(query_blocks, "dim int, block binary, query_ids binary, kind string, queries binary, least binary")
+        wanted = wanted.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups))).withColumn("slot", each(slots))
+        return blocks.withColumn("group", each(groups)).join(wanted.hint("merge"), ["slot", "group", "dim"])
 
     lowest = met(asked.withColumn("least", F.lit(0.0))).mapInPandas(largest(k), "query_id long, lower double")
     by_query = Window.partitionBy("query_id").orderBy(F.desc("lower"))

@@ -55,3 +55,26 @@ def test_pairs_do_not_grow_with_the_blocks(spark):
 def test_held_bounds_are_handed_on(spark, monkeypatch):
     monkeypatch.setattr(topk, "HELD_BLOCKS", 1)
     test_brute_force(spark, 8, 20, 5)
+
+
+def test_queries_are_never_broadcast(spark, monkeypatch):
+    """Copied for each slot, the queries of a large table are far more than the planner sees."""
+    rows = made(4, 150, 8, 20)
+    df = spark.createDataFrame([(i, v, 0, "x", 1) for i, v in rows], SCHEMA)
+    vectors = topk.materialize(df.select("vec_id", topk.quantised(F.col("embedding")).alias("vector")))
+    plan = topk.bounds(vectors, vectors.where("vec_id % 10 = 0"), 5)._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Broadcast" in line and "slot" in line]
+    test_brute_force(spark, 8, 20, 5)
+    monkeypatch.setattr(topk, "TASK_PAIRS", 400)
+    monkeypatch.setattr(topk, "HELD_QUERIES", 500)
+    test_brute_force(spark, 8, 20, 5)
+    test_brute_force(spark, 2, 1000, 1)
+
+
+def test_copies_follow_the_pairs_not_the_partitions():
+    """On 615,384 vectors of 64 components with 12,312 queries."""
+    n, m = 615_384, 12_312
+    sizes = {topk.grid(n * m, 72 * n, 144 * m, parts) for parts in (100, 600, 3000)}
+    ((slots, groups),) = sizes
+    assert slots * groups >= n * m / topk.TASK_PAIRS and slots * 144 * m + groups * 72 * n < 256 * n
+    assert topk.grid(0, 0, 0, 600) == (32, 1) and topk.grid(1 << 40, 1 << 30, 1 << 30, 8)[1] >= 64
