@@ -10,16 +10,21 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capsieve.llm.wordhash import pack_sorted, unpack_sorted
+from capsieve.session import materialize
 
 #: Bits of a cell's number: a bit for each cell is sent to the executors, 128 MB at most, whatever the input. Beyond
 #: some hundred million hashes the estimate lets more and more through.
 LEAST_BITS, MOST_BITS = 20, 30
-#: Bytes of text whose hashes make one part of their range, and the least number of parts.
-SHARD_BYTES, LEAST_SHARDS = 256 << 20, 24
+#: Bytes of text whose hashes make one part of their range, and the least number of parts. A task holds a part unpacked: some
+#: 2.5 million hashes with what belongs to them, should all of them be repeated.
+SHARD_BYTES, LEAST_SHARDS = 16 << 20, 24
+#: Cells of a part of the sketch, as a power of two: the driver fetches and sends one part (16 MB) after the other.
+PART_BITS = 27
 #: Cells of a piece of the sketch, as a power of two.
 PIECE_BITS = 20
 
@@ -71,18 +76,40 @@ def shards(length: int) -> int:
 
 def repeated(
     docs: DataFrame, length: int, hashes: Callable[[list[str | None]], Iterable[np.ndarray]]
-) -> tuple[int, np.ndarray]:
-    """Bits of a cell's number, and the merged sketch of the hashes of all rows' ``text``: a bit for each cell."""
+) -> tuple[int, list[Broadcast]]:
+    """Bits of a cell's number, and the merged sketch of the hashes of all rows' ``text``: a bit for each cell, in parts
+    that are broadcast one by one, so the driver never holds the whole."""
     bits = min(MOST_BITS, max(LEAST_BITS, int(length // 2).bit_length()))
     pieces = docs.select("text").mapInPandas(cells(hashes, bits), "piece int, seen binary, twice binary")
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    each = (1 << PIECE_BITS) // 8
-    for r in pieces.groupBy("piece").applyInPandas(merge, "piece int, bits binary").toLocalIterator():
-        out[r["piece"] * each : (r["piece"] + 1) * each] = np.frombuffer(r["bits"], np.uint8)
-    return bits, out
-
-
-def estimated(h: np.ndarray, bits: int, sketch: np.ndarray) -> np.ndarray:
+    # Merged by all tasks before the first part is fetched, which else would compute it alone.
+    merged = materialize(pieces.groupBy("piece").applyInPandas(merge, "piece int, bits binary"))
+    part_bits = max(PIECE_BITS, min(bits, PART_BITS))
+    count, each = 1 << (part_bits - PIECE_BITS), (1 << PIECE_BITS) // 8
+    parts = []
+    for first in range(0, 1 << (bits - PIECE_BITS), count):
+        out = np.zeros(count * each, np.uint8)
+        for r in merged.where((F.col("piece") >= first) & (F.col("piece") < first + count)).coalesce(1).toLocalIterator():
+            at = (r["piece"] - first) * each
+            out[at : at + each] = np.frombuffer(r["bits"], np.uint8)
+        parts.append(docs.sparkSession.sparkContext.broadcast(out))
+    return bits, parts
+
+
+def forget(sketch: list[Broadcast]) -> None:
+    """Free the memory of a sketch that nothing reads any more."""
+    for part in sketch:
+        part.destroy()
+
+
+def estimated(h: np.ndarray, bits: int, sketch: list[Broadcast]) -> np.ndarray:
     """Which hashes may be repeated."""
     cell = h >> np.uint64(64 - bits)
-    return (sketch[(cell >> np.uint64(3)).astype(np.int64)] >> (7 - (cell & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+    byte, bit = (cell >> np.uint64(3)).astype(np.int64), 7 - (cell & np.uint64(7)).astype(np.uint8)
+    if len(sketch) == 1:
+        return (sketch[0].value[byte] >> bit & 1).astype(bool)
+    out, each = np.zeros(len(h), bool), len(sketch[0].value)
+    of = byte // each
+    for i, part in enumerate(sketch):
+        at = np.flatnonzero(of == i)
+        out[at] = part.value[byte[at] - i * each] >> bit[at] & 1
+    return out

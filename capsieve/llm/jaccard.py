@@ -31,8 +31,9 @@ from capsieve.session import materialize
 SPARE = 15
 #: Sets of a cluster that meet in one task, two such chunks at most.
 CHUNK = 1024
-#: Rows up to which the table of clustered documents is broadcast (24 bytes each); a larger one is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Rows up to which the table of clustered documents is broadcast (some 200 bytes each, with the names of its tasks); a larger
+#: one is joined by shuffle, where only documents of its ids go to, if those are so few that they can be broadcast (64 bytes each).
+BROADCAST_ROWS, BROADCAST_IDS = 100_000, 500_000
 #: Words of a parity sketch.
 SKETCH = 32
 
@@ -144,7 +145,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n_shingles long, digest binary")
 
 
-def common(sets: list[np.ndarray], rule: Rule, bits: int, sketch: np.ndarray) -> list[bool]:
+def common(sets: list[np.ndarray], rule: Rule, bits: int, sketch: list) -> list[bool]:
     """Sets with a share of possibly repeated features that a link to another set needs."""
     size = np.array([len(s) for s in sets], np.int64)
     if not len(size):
@@ -161,7 +162,7 @@ def spread(docs: DataFrame, width: int, rule: Rule, shards: int, bits: int, sket
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, sets in blocks(batches, width):
             first: dict[bytes, int] = {}
-            fit = common(sets, rule, bits, sketch.value)
+            fit = common(sets, rule, bits, sketch)
             for i in np.argsort(ids, kind="stable"):
                 if not fit[i]:
                     continue
@@ -343,22 +344,23 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int
 
     Equal sets are represented by the least id before sets are compared. Sets are compared by 64-bit hashes.
     """
-    spark, rule = docs.sparkSession, Rule(percent)
+    rule = Rule(percent)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = materialize(describe(rows, width))
     reps = materialize(known.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles")))
     length = countmin.length(rows)
     # Most features of a set must be repeated, so a sketch of half the usual size tells sets apart.
     bits, sketch = countmin.repeated(rows, length // 2, lambda texts: grouped(texts, width))
-    shared = spark.sparkContext.broadcast(sketch)
-    del sketch
-    edges = spread(rows, width, rule, countmin.shards(length), bits, shared).groupBy("shard").applyInPandas(meet, "a long, b long")
+    edges = spread(rows, width, rule, countmin.shards(length), bits, sketch).groupBy("shard").applyInPandas(meet, "a long, b long")
     stars = connected(edges)
+    countmin.forget(sketch)
     nodes = stars.select(F.col("a").alias("cluster"), F.col("b").alias("doc_id")).union(stars.select("a", "a").distinct())
     clusters = nodes.join(reps.select(F.col("rep").alias("doc_id"), "n_shingles").distinct(), "doc_id")
     tasks = materialize(meetings(clusters, rule))
-    few = tasks.count() <= BROADCAST_ROWS
-    held = rows.join(F.broadcast(tasks) if few else tasks, "doc_id")
+    count = tasks.count()
+    if BROADCAST_ROWS < count <= BROADCAST_IDS:
+        rows = rows.join(F.broadcast(tasks.select("doc_id")), "doc_id", "left_semi")
+    held = rows.join(F.broadcast(tasks) if count <= BROADCAST_ROWS else tasks.hint("merge"), "doc_id")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -5,7 +5,7 @@ import string
 import numpy as np
 import pytest
 
-from capsieve.llm import jaccard
+from capsieve.llm import countmin, jaccard
 from capsieve.llm.jaccard import Rule, join, signatures
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -89,3 +89,31 @@ def test_every_linked_pair_shares_a_signature():
 
 def test_empty(documents):
     assert join(documents([(1, "a")]).limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("ids", [0, 10**6])
+def test_many_clustered_documents_are_not_broadcast_with_their_tasks(documents, monkeypatch, ids):
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", ids)
+    rows = corpus(11, 6)
+    got = join(documents(rows).repartition(3)).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(repr(tuple(r)) for r in got) == brute(rows)
+
+
+def test_the_driver_never_holds_the_whole_sketch(documents, monkeypatch):
+    monkeypatch.setattr(countmin, "PIECE_BITS", 12)
+    monkeypatch.setattr(countmin, "PART_BITS", 15)
+    rows = documents(corpus(3)).select("doc_id", "text").repartition(3)
+    bits, parts = countmin.repeated(rows, 1 << 19, lambda texts: jaccard.grouped(texts, 5))
+    assert bits == 20 and [len(p.value) for p in parts] == [(1 << 15) // 8] * 32
+    h = np.concatenate([s for r in rows.toLocalIterator() for s in jaccard.shingle_sets([r["text"]], 5)])
+    _, place, many = np.unique(h, return_inverse=True, return_counts=True)
+    told = countmin.estimated(h, bits, parts)
+    assert told[many[place] > 1].all() and not told.all()
+    whole = countmin.estimated(h, bits, [Held(np.concatenate([p.value for p in parts]))])
+    assert (told == whole).all()
+
+
+class Held:
+    def __init__(self, value):
+        self.value = value

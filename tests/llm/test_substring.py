@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from capsieve.llm import countmin, substring
@@ -62,3 +63,27 @@ def test_a_full_sketch_loses_nothing(documents, monkeypatch):
 
 def test_empty(documents):
     assert remove_repeats(documents([(1, "a")]).limit(0)).collect() == []
+
+
+def test_parts_of_the_hash_range_stay_small():
+    """Memory of a task that answers follows its part of the hashes, so parts follow the input."""
+    for length in (1 << 30, 10 << 30, 50 << 30):
+        assert length / countmin.shards(length) <= 16 << 20
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 10, 50])
+def test_equal_windows_have_equal_anchors_and_few_of_them(size):
+    pick = random.Random(size)
+    word = lambda: "".join(pick.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(3 * size)]
+    texts = [" ".join([*[word() for _ in range(pick.randint(0, 99))], *passage, *[word() for _ in range(3000)]]) for _ in range(3)] + [None, "one"]
+    ((_, text, place, anchor, _),) = substring.window_hashes(texts, size, 0)
+    seen = defaultdict(set)
+    for t, p, a in zip(text, place, anchor):
+        seen[tuple(texts[t].split()[p : p + size])].add(a)
+    assert all(len(a) == 1 for a in seen.values())
+    (counted,) = substring.anchors(texts, size)
+    assert set(counted) == set(anchor)
+    assert len(counted) < 1.3 * len(anchor) * 2 / (substring.spanned(size) + 1) or size < 3
+    repeated = {a for a, n in zip(*np.unique(counted, return_counts=True)) if n > 1}
+    assert {a for w, s in seen.items() for a in s if w in {tuple(passage[i : i + size]) for i in range(2 * size + 1)}} <= repeated
