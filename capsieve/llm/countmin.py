@@ -23,6 +23,8 @@ LEAST_BITS, MOST_BITS = 20, 30
 #: Bytes of text whose hashes make one part of their range, and the least number of parts. A task holds a part unpacked: some
 #: 2.5 million hashes with what belongs to them, should all of them be repeated.
 SHARD_BYTES, LEAST_SHARDS = 16 << 20, 24
+#: Hashes that are looked up at a time, as what a look-up needs is larger than they are.
+LOOKED_UP = 1 << 18
 #: Cells of a part of the sketch, as a power of two: the driver fetches and sends one part (16 MB) after the other.
 PART_BITS = 27
 #: Cells of a piece of the sketch, as a power of two.
@@ -103,13 +105,12 @@ def forget(sketch: list[Broadcast]) -> None:
 
 def estimated(h: np.ndarray, bits: int, sketch: list[Broadcast]) -> np.ndarray:
     """Which hashes may be repeated."""
-    cell = h >> np.uint64(64 - bits)
-    byte, bit = (cell >> np.uint64(3)).astype(np.int64), 7 - (cell & np.uint64(7)).astype(np.uint8)
-    if len(sketch) == 1:
-        return (sketch[0].value[byte] >> bit & 1).astype(bool)
     out, each = np.zeros(len(h), bool), len(sketch[0].value)
-    of = byte // each
-    for i, part in enumerate(sketch):
-        at = np.flatnonzero(of == i)
-        out[at] = part.value[byte[at] - i * each] >> bit[at] & 1
+    for start in range(0, len(h), LOOKED_UP):
+        cell = h[start : start + LOOKED_UP] >> np.uint64(64 - bits)
+        byte, bit = (cell >> np.uint64(3)).astype(np.int64), 7 - (cell & np.uint64(7)).astype(np.uint8)
+        of = byte // each
+        for i, part in enumerate(sketch):
+            at = np.flatnonzero(of == i)
+            out[start + at] = part.value[byte[at] - i * each] >> bit[at] & 1
     return out
